@@ -14,6 +14,7 @@ from llm.common import positions, table, words
 
 SHINGLE_WORDS = 5
 SKETCH_SIZE = 128
+NO_ID = -(1 << 63)  # stands for a null id
 _ALL = 1 << 30  # slice() overflows beyond
 
 
@@ -40,7 +41,8 @@ def shingle_hashes(text: Column, width: int = SHINGLE_WORDS) -> Column:
 
 
 def bottom_k(hashes: Column, k: int = SKETCH_SIZE) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
+    """The k smallest distinct hashes, of which the upper 32 bits are kept."""
+    return F.transform(F.slice(F.sort_array(F.array_distinct(hashes)), 1, k), lambda h: F.shiftright(h, 32).cast("int"))
 
 
 def sketch(text: Column, k: int = SKETCH_SIZE, width: int = SHINGLE_WORDS) -> Column:
@@ -62,8 +64,7 @@ def resemblance(a: Column, b: Column, k: int = SKETCH_SIZE) -> Column:
 
 def distinct_shingles(a: Column, k: int = SKETCH_SIZE) -> Column:
     """The estimated number of distinct shingles; exact below k."""
-    lowest = float(-(1 << 63))
-    spread = (F.element_at(a, -1).cast("double") - F.lit(lowest)) / float(1 << 64)
+    spread = (F.element_at(a, -1).cast("double") + float(1 << 31)) / float(1 << 32)
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise(F.lit(float(k - 1)) / spread)
 
 
@@ -73,8 +74,8 @@ def containment(a: Column, b: Column, k: int = SKETCH_SIZE) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), both / F.greatest(distinct_shingles(a, k), F.lit(1.0))))
 
 
-def as_hex(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+def as_string(a: Column) -> Column:
+    return F.array_join(a.cast("array<string>"), " ")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -85,13 +86,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     document is its own next. An empty table gives no rows. Other columns of ``docs`` are neither read nor returned.
 
     The order comes from a distributed sort of narrow rows. Texts are shuffled once, by id; both joins use that
-    shuffle, and what travels to the preceding document is the piece that it needs and a sketch of fixed size.
+    shuffle, which carries their sketches, and what travels to the preceding document is the piece that it needs and a
+    sketch of fixed size.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col("doc_id").isNull(), text).alias("hash"), "doc_id", text.alias("text")
-    )
-    narrow = whole.select("id", "hash", F.col("doc_id").isNull().alias("none"), F.char_length("text").alias("n"))
+    none = F.col("doc_id").isNull()
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(none, text).alias("hash"), none.alias("none"), text.alias("text"))
+    whole = named.select("id", "hash", "text", sketch(F.col("text")).alias("own"))
+    narrow = named.select("id", "hash", "none", F.char_length("text").alias("n"))
     ordered = positions(narrow.distinct(), F.col("none").asc(), F.col("id").desc(), F.col("hash").asc()).drop("none")
     total = ordered.count()
     repeated = docs.select("doc_id").count() > total
@@ -100,20 +102,20 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     ahead = ordered.select(F.col("id").alias("to_id"), F.col("hash").alias("to_hash"), F.floor(F.col("n") / 3).cast("int").alias("need"), F.expr(f"(position + 1) % {max(total, 1)}L").alias("position"))
     wanted = ordered.select("id", "hash", "position").join(ahead, "position").drop("position")
     pieces = texts.join(wanted, ["id", "hash"]).select(
-        F.col("to_id").alias("id"), F.col("to_hash").alias("hash"), F.expr("substring(text, 1, need)").alias("piece"), sketch(F.col("text")).alias("next_sketch")
+        F.col("to_id").alias("id"), F.col("to_hash").alias("hash"), F.expr("substring(text, 1, need)").alias("piece"), F.col("own").alias("next_sketch")
     )
     n = F.char_length("text")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 3)"), F.col("piece"))
-    joined = texts.join(pieces, ["id", "hash"]).select("id", "hash", "doc_id", n.cast("long").alias("n_chars"), sketch(F.col("text")).alias("own"), edited.alias("edited"), "next_sketch")
+    joined = texts.join(pieces, ["id", "hash"]).select("id", "hash", n.cast("long").alias("n_chars"), "own", edited.alias("edited"), "next_sketch")
     done = joined.select("*", sketch(F.col("edited")).alias("changed"))
     result = done.select(
         "id",
         "hash",
-        "doc_id",
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_hex(F.col("own")).alias("fingerprint"),
-        as_hex(F.col("changed")).alias("edited_fingerprint"),
+        as_string(F.col("own")).alias("fingerprint"),
+        as_string(F.col("changed")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
         resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"),
     )
