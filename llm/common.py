@@ -73,3 +73,23 @@ def positions(df: DataFrame, *order: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = numbered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     return numbered.join(F.broadcast(starts), "part").withColumn("position", F.col("_start") + F.col("idx")).drop("part", "idx", "_start")
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once an application."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = Path(__file__).parent
+    file = Path(tempfile.mkdtemp(prefix="code-")) / "llm_code.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for module in sorted(here.glob("*.py")):
+            z.write(module, f"{here.name}/{module.name}")
+    context.addPyFile(str(file))
+    _shipped.add(context.applicationId)
