@@ -1,20 +1,22 @@
 """Operator 8: byte-level BPE encoding and decoding.
 
-A piece is merged with a queue of merge ranks: each rank has a bucket of positions in the piece's linked list, a
-hierarchical bitmap marks the ranks whose bucket holds any, and find-first-set over its levels yields the next rank.
-Entries that a merge made stale are skipped when they come up. A merge costs a few word operations, so a piece takes
-time in proportion to its length, even a very long one.
+The pieces of a batch of texts that aren't known yet are merged together, as one linked list with a stop between
+pieces. A queue of merge ranks holds list positions: each rank has a bucket, a two-level bitmap marks the buckets
+that hold any, and find-first-set yields the next rank. A bucket is merged at once over arrays, entries that an
+earlier merge made stale are skipped, and new neighbours go to their buckets. Time is in proportion to the bytes,
+for very long pieces too.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -22,116 +24,223 @@ from pyspark.sql import functions as F
 
 from llm.common import ship_code, table
 
-#: A Python worker remembers the ids of so many pieces, and of as many before them.
+#: A Python worker forgets the pieces that it knows when they are more than these.
 REMEMBERED = 1 << 19
-#: Longer texts are cut into pieces step by step instead of at once.
-AT_ONCE = 1 << 20
+#: Characters of text that are cut into pieces at a time.
+GROUP = 1 << 22
 #: Unicode white space, which the pattern's \s means.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
-
-#: Ranks under a word of the bitmap; a power of two near the square root of common vocabulary sizes.
+#: Ranks under a word of the bitmap's lower level.
 SPAN_BITS = 8
+NONE = -1
+
+
+class PairRanks:
+    """The merged rank of two neighbouring tokens, looked up for arrays of them in an open-addressing table."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bits = 20
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left = ranks.get(token[:i])
+                if left is not None and (right := ranks.get(token[i:])) is not None:
+                    pairs[left << self.bits | right] = rank
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        values = np.fromiter(pairs.values(), np.int32, len(pairs))
+        self.size_bits = max(4, int(len(pairs) * 3).bit_length())
+        self.keys, self.values = np.full(1 << self.size_bits, -1, np.int64), np.full(1 << self.size_bits, NONE, np.int32)
+        slots = self._slot(keys)
+        while len(keys):  # what finds its slot taken goes on to the next one
+            free = self.keys[slots] < 0
+            first = np.zeros(len(keys), bool)
+            first[np.unique(slots, return_index=True)[1]] = True
+            now = free & first
+            self.keys[slots[now]], self.values[slots[now]] = keys[now], values[now]
+            keys, values, slots = keys[~now], values[~now], (slots[~now] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.size_bits)).view(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << self.bits | right
+        slots = self._slot(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.values[slots], NONE)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & (len(self.keys) - 1)
+            found = self.keys[slots[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[slots[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
 
 
 class RankQueue:
-    """Positions by rank, with a hierarchical bitmap of the ranks that have any.
+    """Buckets of positions by rank under a two-level bitmap.
 
-    ``words[i]`` marks the ranks from ``i << SPAN_BITS`` whose bucket isn't empty; ``top`` marks the words that aren't
-    zero. Empty between pieces, so that one queue serves them all.
+    The lower level is built only for the word of ranks that is being emptied; what comes in for another word waits
+    in an inbox, which is dealt out by word when the present one is empty or a lower one comes up.
     """
 
-    def __init__(self, ranks: int):
-        self.words = [0] * ((ranks >> SPAN_BITS) + 1)
-        self.buckets: dict[int, list[int]] = {}
-
-
-class Encoding(dict):
-    """Packed ids by piece, filled as pieces come up; ids are little-endian unsigned 32-bit integers."""
+    def __init__(self) -> None:
+        self.top = 0  # the words that hold any
+        self.word = NONE  # the word whose buckets are open
+        self.marked = 0  # its ranks that hold any
+        self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        self.inbox: list[tuple[np.ndarray, np.ndarray]] = []
+        self.lowest = 1 << 60  # of the words in the inbox
+        self.buckets: dict[int, list[np.ndarray]] = defaultdict(list)
+
+    def push(self, ranks: np.ndarray, at: np.ndarray) -> None:
+        if not len(ranks):
+            return
+        own = ranks >> SPAN_BITS == self.word
+        if own.any():
+            self._open(ranks[own], at[own])
+            ranks, at = ranks[~own], at[~own]
+        if len(ranks):
+            self.inbox.append((ranks, at))
+            self.lowest = min(self.lowest, int(ranks.min()) >> SPAN_BITS)
+
+    def _open(self, ranks: np.ndarray, at: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, at = ranks[order], at[order]
+        starts = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1])))
+        for rank, part in zip(ranks[starts].tolist(), np.split(at, starts[1:])):
+            self.buckets[rank].append(part)
+            self.marked |= 1 << (rank & ((1 << SPAN_BITS) - 1))
+
+    def _deal(self) -> None:
+        if self.inbox:
+            ranks, at = (np.concatenate(x) for x in zip(*self.inbox))
+            self.inbox, self.lowest = [], 1 << 60
+            words = (ranks >> SPAN_BITS).astype(np.int16)
+            order = np.argsort(words, kind="stable")
+            ranks, at, words = ranks[order], at[order], words[order]
+            starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+            for word, r, p in zip(words[starts].tolist(), np.split(ranks, starts[1:]), np.split(at, starts[1:])):
+                self.waiting[word].append((r, p))
+                self.top |= 1 << word
+
+    def pop(self) -> tuple[int, np.ndarray] | None:
+        """The least rank and its positions in order, each once."""
+        while not self.marked or self.lowest < self.word:
+            if self.marked:  # a lower word comes first: close this one
+                for rank, parts in self.buckets.items():
+                    self.waiting[self.word] += [(np.full(len(x), rank, np.int32), x) for x in parts]
+                self.top |= 1 << self.word
+                self.buckets.clear()
+                self.marked = 0
+            self._deal()
+            if not self.top:
+                self.word = NONE
+                return None
+            self.word = (self.top & -self.top).bit_length() - 1
+            self.top &= self.top - 1
+            ranks, at = (np.concatenate(x) for x in zip(*self.waiting.pop(self.word)))
+            self._open(ranks, at)
+        low = (self.marked & -self.marked).bit_length() - 1
+        self.marked &= self.marked - 1
+        rank = self.word << SPAN_BITS | low
+        return rank, np.unique(np.concatenate(self.buckets.pop(rank)))
+
+
+class Encoding:
+    """A vocabulary; packed ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, pattern: str):
-        super().__init__()
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.older: dict[str, bytes] = {}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.queue = RankQueue(max(self.tokens) + 1)
+        self.pair_ranks = PairRanks(self.ranks)
+        self.stop = (1 << self.pair_ranks.bits) - 1
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pattern = regex.compile(pattern.replace(r"[^\s", rf"[^{_SPACE}").replace(r"\s", rf"[{_SPACE}]").replace(r"\S", rf"[^{_SPACE}]"))
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        packed = self.older.get(piece)
-        if packed is None:
-            packed = array("I", self.merged(piece.encode("utf-8", "surrogatepass"))).tobytes()
-        self[piece] = packed
-        return packed
-
-    def merged(self, piece: bytes) -> list[int]:
-        """The ids of a piece. The queue's operations are written out here: they run for every byte of every new piece."""
-        get, n = self.ranks.get, len(piece)
-        if (whole := get(piece)) is not None:
-            return [whole]
-        words, buckets, low, top = self.queue.words, self.queue.buckets, (1 << SPAN_BITS) - 1, 0
-        after, before = list(range(1, n + 2)), list(range(-1, n + 1))
-        pair = [get(piece[i : i + 2]) for i in range(n - 1)]
-        pair += (None, None)
-        for i, rank in enumerate(pair):
-            if rank is not None:
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    buckets[rank] = [i]
-                    word = rank >> SPAN_BITS
-                    words[word] |= 1 << (rank & low)
-                    top |= 1 << word
-        while top:
-            word = (top & -top).bit_length() - 1  # find-first-set, level by level
-            marked = words[word]
-            bit = marked & -marked
-            rank = word << SPAN_BITS | bit.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) == 1:
-                i = bucket[0]
-                del buckets[rank]
-                marked ^= bit
-                words[word] = marked
-                if not marked:
-                    top ^= 1 << word
-            else:
-                i = heappop(bucket)  # the leftmost
-            if pair[i] != rank:
-                continue  # stale
-            gone = after[i]
+        self.known: dict[str, bytes] = {}
+
+    def merged(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of every piece, none of them empty."""
+        raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        stops = np.cumsum(sizes + 1) - 1
+        token = self.bytes[raw]
+        token[stops] = self.stop
+        n = len(token)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, bool)
+        alive[stops] = False
+        pair = np.full(n, NONE, np.int32)
+        pair[:-1] = self.pair_ranks(token[:-1], token[1:])
+        queue = RankQueue()
+        at = np.flatnonzero(pair >= 0)
+        queue.push(pair[at], at)
+        while (top := queue.pop()) is not None:
+            rank, at = top
+            at = at[pair[at] == rank]  # the others are stale
+            if len(at) > 1:
+                # Of overlapping pairs every second one is merged, from the left.
+                follows = np.concatenate(([False], after[at[:-1]] == at[1:]))
+                if follows.any():
+                    place = np.arange(len(at))
+                    at = at[(place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
             end = after[gone]
-            pair[gone] = None
-            after[i] = end
-            before[end] = i
-            new = pair[i] = get(piece[i : after[end]]) if end < n else None
-            left = before[i]
-            for j in (i, left) if left >= 0 else (i,):
-                if j != i:
-                    new = pair[j] = get(piece[j:end])
-                if new is not None:
-                    if new in buckets:
-                        heappush(buckets[new], j)
-                    else:
-                        buckets[new] = [j]
-                        word = new >> SPAN_BITS
-                        words[word] |= 1 << (new & low)
-                        top |= 1 << word
-        ids, i, ranks = [], 0, self.ranks
-        while i < n:
-            end = after[i]
-            ids.append(ranks[piece[i:end]])
-            i = end
-        return ids
+            after[at], before[end] = end, at
+            token[at], pair[gone], alive[gone] = rank, NONE, False
+            left = before[at]
+            has = left >= 0
+            near, right = np.concatenate((at, left[has])), np.concatenate((end, at[has]))
+            new = self.pair_ranks(token[near], token[right])
+            pair[near] = new
+            got = new >= 0
+            queue.push(new[got], near[got])
+        ids = token[alive].astype("<u4")
+        return np.split(ids, np.cumsum(np.add.reduceat(alive, stops - sizes))[:-1])
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        whole, parts = {}, []
+        for piece in pieces:
+            raw = piece.encode("utf-8", "surrogatepass")
+            if (rank := self.ranks.get(raw)) is not None:
+                self.known[piece] = rank.to_bytes(4, "little")
+            else:
+                whole[piece] = None
+                parts.append(raw)
+        if parts:
+            self.known.update(zip(whole, (x.tobytes() for x in self.merged(parts))))
+
+    def _packed(self, cut: list[list[str]]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if missing := set().union(*cut).difference(self.known):
+            self._learn(missing)
+        find = self.known.__getitem__
+        return [b"".join(map(find, pieces)) for pieces in cut]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The packed ids of each text, in order. Texts are taken in groups, very long ones in parts."""
+        group, size = [], 0
+        for text in texts:
+            if len(text) > GROUP:
+                yield from self._packed([self.pattern.findall(x) for x in group])
+                group, size = [], 0
+                pieces = (m.group() for m in self.pattern.finditer(text))
+                yield b"".join(self._packed([part])[0] for part in iter(lambda: list(islice(pieces, GROUP // 8)), []))
+                continue
+            group.append(text)
+            size += len(text)
+            if size >= GROUP:
+                yield from self._packed([self.pattern.findall(x) for x in group])
+                group, size = [], 0
+        yield from self._packed([self.pattern.findall(x) for x in group])
 
     def encode(self, text: str) -> bytes:
-        if len(text) <= AT_ONCE:
-            return b"".join(map(self.__getitem__, self.pattern.findall(text)))
-        return b"".join(self[m.group()] for m in self.pattern.finditer(text))
+        return next(self.encode_all([text]))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I")))
@@ -155,7 +264,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoding(path, pattern)
         for batch in batches:
-            yield batch.map(lambda t: own.encode(t or ""), na_action=None)
+            yield pd.Series(list(own.encode_all(t or "" for t in batch)), index=batch.index, dtype=object)
 
     ship_code(docs.sparkSession)
     return docs.withColumn("_ids", packed("text"))
@@ -179,10 +288,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoding(path, pattern)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                packed = own.encode(text or "")
-                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(packed)).hexdigest()))
+            ids = own.encode_all(t or "" for t in batch["text"])
+            rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(own.decode(x)).hexdigest()) for x in ids]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=batch["doc_id"].values)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
     ship_code(docs.sparkSession)
