@@ -20,9 +20,9 @@ from llm.common import cut, ship_code, table
 #: Pivots are drawn from all usable vectors by the least id hashes: a bounded, documented sample.
 PIVOTS = 128
 #: How many nearest pivots post a vector, and how many a query looks up.
-POSTED, LOOKED_UP = 12, 16
+POSTED, LOOKED_UP = 16, 24
 #: The share of a block's rows that the footrule distance leaves for reranking.
-RERANKED = 0.4
+RERANKED = 0.6
 NEIGHBOURS = 20
 #: Rows of the index and queries in a task.
 INDEX_BLOCK, QUERY_BLOCK = 4096, 2048
@@ -56,7 +56,7 @@ def search_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.nd
     bounds = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1))
     rows, places = by_pivot // posted.shape[1], by_pivot % posted.shape[1]
     missing = looked.shape[1]
-    keep = max(4 * k, int(np.ceil(RERANKED * len(ids))))
+    keep = max(25 * k, int(np.ceil(RERANKED * len(ids))))
     out = []
     for query_id, vector, own in zip(query_ids.tolist(), q, looked):
         # footrule over the query's pivots: a pivot that a row doesn't post counts as at the end
