@@ -24,7 +24,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; a document of which nothing is left goes."""
     done = line_dedup.deduplicated(docs)
-    left = done.where((F.size("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = done.where((F.size("_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

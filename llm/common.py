@@ -7,10 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space that separates words: space and U+0009 to U+000D.
-SPACES = "\t\n\x0b\x0c\r "
-#: A word: a maximal run of other characters.
-WORD = r"[^\x20\x09-\x0D]+"
+#: A word is a maximal run of characters other than space and U+0009 to U+000D; Java's \s means just these.
+WORD, SPACE = r"\S++", r"\s++"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -36,8 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text, in order; an empty array for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def word_count(text: Column) -> Column:

@@ -32,7 +32,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 def _full_lines(text: Column) -> Column:
     """(at, line) of the lines that have a word."""
     numbered = F.transform(F.split(text, "\n"), lambda line, at: F.struct(at.alias("at"), line.alias("line")))
-    return F.filter(numbered, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
+    return F.filter(numbered, lambda x: x["line"].rlike(r"\S"))
 
 
 def _ranked(keys: DataFrame, *by: str, to: str) -> DataFrame:

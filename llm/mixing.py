@@ -17,14 +17,13 @@ from llm.common import cut, range_numbered, table, word_count
 
 #: Up to so many sources their plan is broadcast; its size is counted first.
 BROADCAST_SOURCES = 10_000
-SYMBOLS = "!#$%&*|"
 
 
 def quality(text: Column) -> Column:
-    """A quality weight from 0.05 to 1 that falls with the share of symbol characters."""
-    length = F.length(text)
-    share = (length - F.length(F.translate(text, SYMBOLS, ""))).cast("double") / F.greatest(length, F.lit(1)).cast("double")
-    return F.coalesce(F.greatest(F.lit(0.05), F.lit(1.0) - F.lit(4.0) * share), F.lit(0.05))
+    """A quality weight from 0.05 to 1: the mean length of a word, with its space, should be as in prose."""
+    mean = F.length(text).cast("double") / word_count(text).cast("double")
+    weight = F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.lit(1.5) - F.abs(mean - 6.5) / 10.0))
+    return F.when(word_count(text) > 0, weight).otherwise(F.lit(0.05))
 
 
 def sampling_key(doc_id: Column, text: Column, weight: Column, seed: int) -> Column:
@@ -148,13 +147,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 with base as (
   select doc_id, source, text,
-    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    coalesce(greatest(0.05::double, 1.0::double - 4.0::double * ((length(text) - length(translate(text, '!#$%&*|', '')))::double / greatest(length(text), 1)::double)), 0.05::double) as q
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
   from documents),
+weighed as (
+  select *, case when size > 0 then least(1.0::double, greatest(0.05::double, 1.5::double - abs(length(text)::double / size::double - 6.5::double) / 10.0::double)) else 0.05::double end as q
+  from base),
 keyed as (
   select doc_id, source, size,
     -ln((('0x' || substr(md5('0:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double) / q as key
-  from base),
+  from weighed),
 sizes as (select source, sum(size)::bigint as source_size from keyed group by 1),
 ranked as (select *, row_number() over (order by source nulls last) - 1 as rnk from sizes),
 capped as (select *, [5.0::double, 2.0::double, 1.0::double][rnk % 3 + 1] as w, 3.0::double * source_size::double as cap from ranked),
