@@ -47,7 +47,7 @@ def raw_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.when(fault == 1, "").when(fault == 2, '"heart_rate":"N/A",').when(fault == 3, '"heart_rate":400,').otherwise(F.concat(F.lit('"heart_rate":'), number("heart_rate"), F.lit(",")))
     swap = F.coalesce(fault == 4, F.lit(False))
     text = F.concat(
-        F.lit('{"schema_version":1,"event_id":"'), F.col("event_id").cast("string"), F.lit('","patient_id":"'), F.when(fault == 6, "P950").otherwise(F.col("patient_id")), F.lit('",'), rate,
+        F.lit('{"schema_version":1,"event_id":"'), F.col("event_id").cast("string"), F.lit('","patient_id":"'), F.when((fault == 6) & ((F.col("event_id") / 350).cast("long") % 2 == 1), "X95").when(fault == 6, "P950").otherwise(F.col("patient_id")), F.lit('",'), rate,
         F.lit('"spo2":'), number("spo2"), F.lit(',"systolic_bp":'), F.when(swap, number("diastolic_bp")).otherwise(number("systolic_bp")),
         F.lit(',"diastolic_bp":'), F.when(swap, number("systolic_bp")).otherwise(number("diastolic_bp")),
         F.lit(',"temperature":'), F.concat(F.expr("cast(round(temperature * 10) as bigint) div 10").cast("string"), F.lit("."), (tenths % 10).cast("string")),
@@ -61,7 +61,7 @@ def raw_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_VITALS_SQL = READINGS_SQL + """,
 faulty as (select *, case when event_id % 50 = 7 then (event_id // 50) % 7 end as fault, round(temperature * 10)::bigint as t10 from readings),
 texts as (
-  select event_id, '{"schema_version":1,"event_id":"' || event_id || '","patient_id":"' || (case when fault = 6 then 'P950' else patient_id end) || '",'
+  select event_id, '{"schema_version":1,"event_id":"' || event_id || '","patient_id":"' || (case when fault = 6 and (event_id // 350) % 2 = 1 then 'X95' when fault = 6 then 'P950' else patient_id end) || '",'
     || (case when fault = 1 then '' when fault = 2 then '"heart_rate":"N/A",' when fault = 3 then '"heart_rate":400,' else '"heart_rate":' || heart_rate::bigint || ',' end)
     || '"spo2":' || spo2::bigint || ',"systolic_bp":' || (case when fault = 4 then diastolic_bp else systolic_bp end)::bigint || ',"diastolic_bp":'
     || (case when fault = 4 then systolic_bp else diastolic_bp end)::bigint || ',"temperature":' || (t10 // 10) || '.' || (t10 % 10)
