@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from llm.common import ship_code, table
 
 #: A Python worker forgets the pieces that it knows when they are more than these.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Characters of text that are cut into pieces at a time.
-GROUP = 1 << 22
+GROUP = 1 << 21
 #: Unicode white space, which the pattern's \s means.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 

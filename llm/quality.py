@@ -23,7 +23,7 @@ SHARDS, EPOCHS = 4, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.0
 THRESHOLD = 0.3
 #: Bytes of text that are turned into features at a time.
-PART = 1 << 20
+PART = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
