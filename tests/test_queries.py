@@ -14,6 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 def normal(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if str(df[c].dtype).startswith("Int") or df[c].dtype.kind == "i":  # whole numbers with nulls come as floats from one side
+            df[c] = df[c].astype("float64")
         if df[c].dtype.kind == "f":
             df[c] = df[c].round(5) + 0.0
     return df.astype(str).replace({"None": "nan", "<NA>": "nan"}).sort_values(list(df.columns)).values.tolist()
