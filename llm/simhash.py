@@ -8,7 +8,6 @@ many copies there are; exact copies are one fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -41,16 +40,15 @@ def simhash(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprint_column(spark: SparkSession, text: str = "text") -> Column:
+    """The fingerprint of a text column as a signed long."""
+    ship_code(spark)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.array([simhash(t) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp})
+    @F.pandas_udf("long")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([simhash(t) for t in texts], np.uint64).view(np.int64))
 
-    ship_code(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, fp long")
+    return prints(F.col(text))
 
 
 def variants(fp: Column, radius: int = RADIUS) -> Column:
@@ -73,6 +71,12 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.select(F.col("fp").alias("a"), least.alias("b")).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).distinct()
 
 
+def _roots(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) for every distinct fingerprint; the root is the least fingerprint that links reach."""
+    found = connected_components(linked_fingerprints(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach, itself included) for every row.
 
@@ -80,15 +84,29 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     component of null ids alone has a null component_id. Repeated rows each get a row. An empty table gives no rows.
     Other columns of ``docs`` are neither read nor returned. Texts are not shuffled.
     """
-    prints = cut(fingerprints(docs))
+    prints = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(docs.sparkSession).alias("fp")))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(linked_fingerprints(distinct.select("fp"), radius))
-    rooted = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rooted = cut(_roots(distinct, radius))
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(components, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each component: the smallest doc_id, null after all others; of equal ids the first row.
+
+    A row is told by its place in the checkpointed table, so repeated rows, rows of one id with several texts, and null
+    ids are resolved like others. All columns of ``docs`` are kept; clashing names don't matter. An empty table gives
+    no rows.
+    """
+    spark = docs.sparkSession
+    rows = cut(docs.select(F.struct("*").alias("doc"), fingerprint_column(spark).alias("fp"), F.monotonically_increasing_id().alias("row")))
+    first = F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").cast("long").alias("doc_id"), "row")
+    distinct = cut(rows.groupBy("fp").agg(F.min(first).alias("first")))
+    kept = _roots(distinct, radius).groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(cut(kept.select(F.col("first.row").alias("row"))), "row", "left_semi").select("doc.*")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -166,6 +166,16 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_group(spark, empty):
+    long, other, third = ("alpha beta gamma delta epsilon zeta eta theta " * 9, "one two three four five six seven " * 9, "red green blue black white brown " * 9)
+    rows = [(5, long, "a"), (3, long, "b"), (3, long, "b"), (9, other, "c"), (9, long, "d"), (None, third, "e"), (None, third, "f"), (None, long, "g"), (11, None, "h"), (12, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.deduplicated(docs).collect())
+    assert got == sorted([(3, long), (9, other), (0, third), (11, "")])
+    assert simhash.deduplicated(docs).columns == docs.columns
+    assert simhash.deduplicated(empty).count() == 0
+
+
 def test_simhash_links_every_close_pair(spark):
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(20)]
