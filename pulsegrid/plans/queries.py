@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import rules
 from pulsegrid.functions import validation as val
-from pulsegrid.operators import monitors, report, tables, windows
+from pulsegrid.operators import monitors, report, serving, tables, windows
 from pulsegrid.sources import fixtures as fx
 
 DAY = 86400
@@ -499,3 +499,153 @@ def monitor_sustained(s, d):
 def table_row_counts(s, d):
     counts = [s.read.parquet(f"{d}/{t}.parquet").agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("events", "lineitem")]
     return counts[0].unionByName(counts[1])
+
+
+# Serving views and ledgers ----------------------------------------------------------------------------------------------
+def _acks(alerts):
+    digit = F.left("alert_id", F.lit(1))
+    nurse = alerts.where(digit < "8").select("alert_id", (F.col("window_end") + F.expr("interval 1 hour")).alias("acknowledged_at"), F.lit("nurse").alias("acknowledged_by"))
+    doctor = alerts.where(digit < "4").select("alert_id", (F.col("window_end") + F.expr("interval 2 hours")).alias("acknowledged_at"), F.lit("doctor").alias("acknowledged_by"))
+    return nurse.unionByName(doctor)
+
+
+def _acknowledged(s, d):
+    alerts = _alerts(s, d)
+    return serving.acknowledged(alerts, _acks(alerts))
+
+
+_ACK_SQL = """,
+acked as (select *, left(alert_id, 1) < '8' as acknowledged, case when left(alert_id, 1) < '4' then 'doctor' when left(alert_id, 1) < '8' then 'nurse' end as acknowledged_by from alerts)"""
+
+
+@query("with " + ALERTS_SQL + _ACK_SQL + " select alert_id, patient_id, acknowledged, acknowledged_by from acked")
+def alerts_with_ack(s, d):
+    return _acknowledged(s, d).select("alert_id", "patient_id", "acknowledged", "acknowledged_by")
+
+
+@query("with " + ALERTS_SQL + _ACK_SQL + "," + fx.ROSTER_SQL + """,
+live as (select patient_id, max_by(risk_tier, ws) as risk_tier from scores group by 1),
+opened as (select patient_id, count(*) as n from acked where not acknowledged group by 1),
+tests as (select patient_id, test_type, max(collected_at) > timestamp '2024-01-29' as counts_toward_score from labs group by 1, 2)
+select patient_id, bed, risk_tier, coalesce(n, 0)::bigint as active_alerts, test_type, counts_toward_score from roster left join live using (patient_id) left join opened using (patient_id) left join tests using (patient_id)""")
+def patient_detail(s, d):
+    live = live_status(s, d).select("patient_id", "risk_tier")
+    patients = fx.roster(s, d).select("patient_id", "bed").join(live, "patient_id", "left")
+    return serving.patient_detail(patients, fx.labs(s, d), _acknowledged(s, d), F.expr(NOW))
+
+
+def _live(s, d):
+    live = tables.resolve(_scores(s, d).withColumn("_at", F.col("window_start")), ["patient_id"], ["_at"])
+    return live.join(fx.roster(s, d).where("active").select("patient_id", "bed"), "patient_id")
+
+
+_LIVE_ALL = SCORES_SQL + "," + fx.ROSTER_SQL + ", live as (select * from (select *, row_number() over (partition by patient_id order by ws desc) as nth from scores) join roster using (patient_id) where nth = 1 and active)"
+
+
+@query("with " + _LIVE_ALL + """ select patient_id, bed, risk_tier, total_score, ews_score::int as ews_score, lab_adjustment, trend, round(heart_rate_avg) as hr, round(spo2_avg) as spo2,
+  round(systolic_bp_avg) as sbp, round(temperature_avg, 1) as temp, array_to_string(flags, ', ') as lab_flags from live order by total_score desc, patient_id""")
+def dash_patients(s, d):
+    rounded = [F.round(f"{v}_avg", n).alias(a) for v, n, a in (("heart_rate", 0, "hr"), ("spo2", 0, "spo2"), ("systolic_bp", 0, "sbp"), ("temperature", 1, "temp"))]
+    return _live(s, d).orderBy(F.desc("total_score"), "patient_id").select("patient_id", "bed", "risk_tier", "total_score", "ews_score", "lab_adjustment", "trend", *rounded, F.array_join("lab_flags", ", ").alias("lab_flags"))
+
+
+@query("with " + _LIVE_ALL + """ select count(*) as patients_reporting, round(avg(heart_rate_avg), 1) as hr_avg, round(avg(spo2_avg), 1) as spo2_avg, round(avg(systolic_bp_avg), 1) as sbp_avg,
+  round(avg(temperature_avg), 2) as temp_avg, count(*) filter (where trend = 'deteriorating') as deteriorating from live""")
+def ward_averages(s, d):
+    means = [F.round(F.avg(f"{v}_avg"), n).alias(a) for v, n, a in (("heart_rate", 1, "hr_avg"), ("spo2", 1, "spo2_avg"), ("systolic_bp", 1, "sbp_avg"), ("temperature", 2, "temp_avg"))]
+    return _live(s, d).agg(F.count("*").alias("patients_reporting"), *means, F.count_if(F.col("trend") == "deteriorating").alias("deteriorating"))
+
+
+@query("with " + REPORT_SQL + """, counted as (select report_date, risk_tier, count(*) as n, count(*) filter (where tier_change = 'escalated') as up from report group by 1, 2)
+  select report_date, string_agg(risk_tier || '=' || n, ',' order by risk_tier) as tiers, sum(up)::bigint as escalated_by_labs, sum(n)::bigint as patients from counted group by 1""")
+def report_envelope(s, d):
+    text = F.array_join(F.transform(F.map_entries("tiers"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return serving.report_envelope(_report(s, d)).select(F.col("report_date").cast("string").alias("report_date"), text.alias("tiers"), "escalated_by_labs", "patients")
+
+
+@query("with " + REPORT_SQL + """ select patient_id, vitals_only_tier, risk_tier, case when tier_change = 'escalated' then '↑ raised by labs' else '' end as change, total_score
+  from report where report_date = (select max(report_date) from report)""")
+def dash_lab_effect(s, d):
+    return serving.lab_effect(_report(s, d))
+
+
+def _gappy_ledger(s, d):
+    return tables.ledger_state(_ledger(s, d).where((F.dayofmonth("file_day") % 5 != 0) & ((F.dayofmonth("file_day") % 3 != 0) | (F.col("event") != "result"))))
+
+
+_GAPPY_SQL = """e as (select ts::date as file_day, event_id as seq, user_id as rows_valid, case when event_type = 'click' then 'duplicate' when event_id % 7 = 0 then 'missing' else 'result' end as event,
+  case when event_id % 3 = 0 then 'quarantined' else 'loaded' end as status from events),
+led as (select file_day, coalesce(max_by(status, seq) filter (where event = 'result'), 'missing') as status, coalesce(max_by(rows_valid, seq) filter (where event = 'result'), 0)::bigint as rows_valid
+  from e where day(file_day) % 5 <> 0 and (day(file_day) % 3 <> 0 or event <> 'result') group by 1)"""
+
+
+@query("with " + _GAPPY_SQL + " select file_day::varchar as file_day, status from led")
+def ledger_missing_guard(s, d):
+    return _gappy_ledger(s, d).select(F.col("file_day").cast("string").alias("file_day"), "status")
+
+
+@query("with " + _GAPPY_SQL + " select file_day::varchar as file_day, status, rows_valid from led where status <> 'missing' order by led.file_day desc limit 1")
+def latest_lab_file(s, d):
+    return _gappy_ledger(s, d).where("status != 'missing'").orderBy(F.desc("file_day")).limit(1).select(F.col("file_day").cast("string").alias("file_day"), "status", "rows_valid")
+
+
+@query("with " + _GAPPY_SQL + """, days as (select distinct ts::date as file_day from events)
+  select days.file_day::varchar as file_day from days where timestamp '2024-01-31' > days.file_day + interval '34 hours' and days.file_day not in (select file_day from led where status in ('loaded', 'quarantined'))""")
+def lab_missing_days(s, d):
+    days = s.read.parquet(f"{d}/events.parquet").select(F.to_date("ts").alias("file_day")).distinct()
+    return serving.missing_days(days, _gappy_ledger(s, d), F.expr(NOW)).select(F.col("file_day").cast("string").alias("file_day"))
+
+
+@query("with " + _GAPPY_SQL + """, asked as (select event_id, ts, (ts::date - interval '1 day')::date as file_day from events),
+late as (select event_id, case when l.file_day is not null then 0 else greatest((epoch_us(ts) - epoch_us(asked.file_day + interval '30 hours'))::double / 3600000000.0::double, 0) end as h
+  from asked left join (select file_day from led where status in ('loaded', 'quarantined')) l on l.file_day = asked.file_day)
+  select event_id, (h > 4)::int as overdue, round(h, 2) as hours_late from late""")
+def lab_overdue(s, d):
+    moments = s.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("now"))
+    asked = serving.overdue(moments.select("now").distinct(), _gappy_ledger(s, d))
+    return moments.join(asked, "now").select("event_id", "overdue", "hours_late")
+
+
+@query("""select event_id, case when ts + to_hours(24 + event_id % 12) <= date_trunc('day', ts) + interval '31 hours' then 'on_time' else 'late' end as arrival from events""")
+def lab_arrival(s, d):
+    came = F.col("ts").cast("timestamp") + F.make_dt_interval(F.lit(1), (F.col("event_id") % 12).cast("int"))
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", tables.arrival(F.to_date("ts"), came).alias("arrival"))
+
+
+@query("""with c as (select event_id, timestamp '2024-01-01' + to_microseconds((epoch_us(least(ts, timestamp '2024-01-20')) - epoch_us(timestamp '2024-01-01')) * 288) as sim, least(ts, timestamp '2024-01-20') as re from events)
+  select event_id, strftime(sim, '%Y-%m-%d %H:%M:%S') as sim_time, strftime(re, '%Y-%m-%d %H:%M:%S') as real_time from c""")
+def sim_time_convert(s, d):
+    start = F.expr("timestamp'2024-01-01 00:00:00'")
+    clock = serving.SimClock(start, start, 300, F.expr("timestamp'2024-01-20 00:00:00'"))
+    sim = clock.to_sim(F.col("ts").cast("timestamp"))
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", at(sim).alias("sim_time"), at(clock.to_real(sim)).alias("real_time"))
+
+
+def _runs(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    n, failed = F.col("event_id"), F.col("event_id") % 13 == 0
+    log = e.select(
+        F.col("event_type").alias("dag_id"), F.to_date("ts").cast("string").alias("run_id"), F.concat(F.lit("task"), (F.col("user_id") % 5).cast("string")).alias("task_id"), (n % 3).cast("int").alias("try_number"), n.alias("seq"),
+        F.col("at").alias("started_at"), F.when(n % 11 != 0, F.timestamp_micros(F.unix_micros("at") + n % 977 * 1000000)).alias("ended_at"), F.when(failed, "failed").otherwise("success").alias("state"), F.when(failed, F.repeat(F.lit("x"), (n % 900).cast("int"))).alias("error"),
+    )
+    return serving.task_runs(log)
+
+
+_RUNS_SQL = """runs_log as (select event_type as dag_id, ts::date::varchar as run_id, 'task' || (user_id % 5) as task_id, (event_id % 3)::int as try_number, event_id as seq, ts as started_at,
+  case when event_id % 11 <> 0 then ts + to_seconds(event_id % 977) end as ended_at, case when event_id % 13 = 0 then 'failed' else 'success' end as state, case when event_id % 13 = 0 then repeat('x', (event_id % 900)::int) end as error from events),
+runs as (select *, (epoch_us(ended_at) - epoch_us(started_at))::double / 1000000.0::double as duration_s from (select *, row_number() over (partition by dag_id, run_id, task_id, try_number order by seq desc) as nth from runs_log) where nth = 1)"""
+
+
+@query("with " + _RUNS_SQL + " select dag_id, run_id, task_id, try_number, state, duration_s, length(left(error, 500))::int as error_chars from runs")
+def pipeline_runs_state(s, d):
+    return _runs(s, d).select("dag_id", "run_id", "task_id", "try_number", "state", "duration_s", F.char_length("error").alias("error_chars"))
+
+
+@query("with " + _RUNS_SQL + " select dag_id, task_id, max_by(duration_s, (ended_at, run_id, try_number)) as duration_s from runs where duration_s is not null group by 1, 2")
+def task_last_duration(s, d):
+    return serving.last_durations(_runs(s, d)).select("dag_id", "task_id", "duration_s")
+
+
+@query("with " + _RUNS_SQL + " select dag_id, task_id, count(*) as failed from runs where state = 'failed' and ended_at > timestamp '2024-01-15' group by 1, 2")
+def monitor_failed_tasks(s, d):
+    return serving.failed_tasks(_runs(s, d), F.expr("timestamp'2024-01-15 00:00:00'"))
