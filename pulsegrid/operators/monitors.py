@@ -26,3 +26,10 @@ def sustained(states: DataFrame, key: str, at: str, flag: str, seconds: int) ->
 def stale_sources(events: DataFrame, key: str, at: str, now, seconds: int) -> DataFrame:
     last = events.groupBy(key).agg(F.max(F.unix_timestamp(at)).alias("last_seen"))
     return last.withColumn("stale", F.coalesce(F.lit(now) - F.col("last_seen") > seconds, F.lit(True)))
+
+
+def trailing_count(events: DataFrame, key: str, at: str, bad, seconds: int, limit: int) -> DataFrame:
+    """For every second with events: how many bad rows the trailing range has, and whether that is above the limit."""
+    counts = events.groupBy(key, F.unix_timestamp(at).alias("t")).agg(F.count_if(bad).alias("m"))
+    n = F.sum("m").over(Window.partitionBy(key).orderBy("t").rangeBetween(-seconds, 0))
+    return counts.select(key, "t", n.alias("n")).withColumn("firing", F.col("n") > limit)

@@ -85,7 +85,7 @@ ews as (select *, {_s} as ews_score, {_r} as ews_red from stats)"""
 TRENDS_SQL = """
 slid as (select r.*, time_bucket(interval '1 day', event_time, timestamp '1970-01-01') - to_days(o.o) as ws from readings r, (select unnest([0, 1, 2, 3])::int as o) o),
 slopes as (
-  select patient_id, ws, count(*) as n_readings, """ + ", ".join(f"regr_slope({v}, epoch_us(event_time)::double / 86400000000.0::double) as {v}_slope" for v in rules.TREND_SIGNALS) + f"""
+  select patient_id, ws, count(*) as n_readings, """ + ", ".join(f"case when min(event_time) < max(event_time) then regr_slope({v}, epoch_us(event_time)::double / 86400000000.0::double) end as {v}_slope" for v in rules.TREND_SIGNALS) + f"""
   from slid group by 1, 2),
 indexed as (select *, {_index_sql(1)} as worse, {_index_sql(-1)} as better from slopes),
 trends as (

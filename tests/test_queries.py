@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from pulsegrid.plans.queries import ORACLES, QUERIES
+from pulsegrid.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import rules, validation
-from pulsegrid.operators import monitors, tables, windows
-from pulsegrid.streaming import jobs
+from pulsegrid.operators import delivery, monitors, tables, windows
+from pulsegrid.streaming import jobs, progress
 
 START = dt.datetime(2026, 1, 3, 8)
 READING = "event_id string, patient_id string, heart_rate double, spo2 double, systolic_bp double, diastolic_bp double, temperature double, event_time timestamp, produced_at timestamp"
@@ -118,3 +119,56 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     before = log.count()
     jobs.write_log(out)(batch.select(*[c for c in log.columns if c not in ("epoch", "batch_id")]), 0)
     assert spark.read.parquet(out).where("batch_id = 0").count() == batch.count() <= before
+
+
+def test_repeated_deliveries(spark):
+    day = dt.date(2026, 1, 3)
+    came = [("a", "quarantined"), ("b", "loaded"), ("b", "loaded"), ("c", "quarantined"), ("b", "loaded"), ("d", "loaded"), ("b", "loaded")]
+    files = spark.createDataFrame([(day, i, c, x) for i, (c, x) in enumerate(came)], "file_day date, seq int, checksum string, decision string")
+    got = [r["outcome"] for r in delivery.deliveries(files).orderBy("seq").collect()]
+    assert got == ["quarantined", "loaded", "duplicate", "quarantined_file_only", "duplicate", "loaded", "loaded"]
+
+
+def test_six_significant_digits(spark):
+    values = [0.0, 12.0, 0.1, 181.9, 1234567.0, 3.14159265, 0.00123456789, 99999.94]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(delivery.significant(F.col("v"))).collect()]
+    assert [float(x) for x in got] == [float(f"{v:g}") for v in values] and got[:4] == ["0", "12", "0.1", "181.9"]
+
+
+def test_source_lag(spark):
+    cases = [('{"t":{"0":10,"1":5}}', '{"t":{"0":4,"1":9}}', 6), ('{"t":{"0":10}}', "{}", 0), (None, None, 0), ("broken", '{"t":{"0":1}}', 0)]
+    df = spark.createDataFrame([([(a, b)], n) for a, b, n in cases], "sources array<struct<latest: string, end: string>>, expected long")
+    assert all(r["lag"] == r["expected"] for r in progress.source_lag(df).collect())
+
+
+def test_progress_log_and_late_rows(spark, tmp_path):
+    known = spark.createDataFrame([("P001",)], "patient_id string")
+    schema = "key binary, value binary, topic string, partition int, offset long"
+
+    def put(n, hours):
+        rows = []
+        for i, h in enumerate(hours):
+            when = (START + dt.timedelta(hours=h)).strftime("%Y-%m-%dT%H:%M:%SZ")
+            rows.append((b"P001", json.dumps(GOOD | {"event_id": f"e{n}-{i}", "timestamp": when, "produced_at": when}).encode(), "vitals.raw", 0, n * 100 + i))
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={n}"))
+
+    log = progress.ProgressLog(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(log)
+    try:
+        for n, hours in enumerate(([0, 1, 2], [9, 10], [0.5, 10.5], [11, 12])):  # 0.5 comes hours after the watermark passed it
+            put(n, hours)
+            raw = jobs.source(spark, "parquet", schema, str(tmp_path / "in"), recursiveFileLookup="true")
+            jobs.start(jobs.trends(raw, known), "trends", jobs.write_log(str(tmp_path / "out")), str(tmp_path / "ckpt")).awaitTermination()
+        for _ in range(100):
+            done = progress.read_log(spark, str(tmp_path / "progress")) if (tmp_path / "progress").exists() else None
+            if done is not None and done.agg(F.sum("input_rows")).first()[0] == 9:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    share = progress.late_share(done).first()
+    assert (share["name"], share["rows"]) == ("trends", 9) and share["dropped"] >= 1
+    windows_out = spark.read.parquet(str(tmp_path / "out"))
+    assert windows_out.count() == windows_out.select("patient_id", "window_start").distinct().count()  # each window once
+    first = windows_out.where(F.col("window_start") == START).first()
+    assert first["n_readings"] == 3  # without the late row
