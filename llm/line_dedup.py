@@ -97,7 +97,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = named.join(every.select("id", "hash", "k", F.col("pos").alias("tail"), F.col("rank").alias("tail_rank")), ["id", "hash", "tail", "k"])
     named = cut(named.select("id", "hash", "pos", "lines", "head_rank", "tail_rank"))
     intervals = named.groupBy("lines", "head_rank", "tail_rank").agg(F.min(F.struct("id", "hash", "pos")).alias("kept"), F.count("*").alias("n"))
-    later = named.join(intervals.where("n > 1"), ["lines", "head_rank", "tail_rank"]).where(F.struct("id", "hash", "pos") != F.col("kept"))
+    # written first: a join of two plain shuffles is one whose hot keys Spark splits
+    later = named.join(cut(intervals.where("n > 1")), ["lines", "head_rank", "tail_rank"]).where(F.struct("id", "hash", "pos") != F.col("kept"))
     gone = later.select("id", "hash", F.explode(F.expr("sequence(pos, pos + lines - 1)")).alias("pos"))
     return gone.groupBy("id", "hash").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
