@@ -8,7 +8,7 @@ many copies there are; exact copies are one fingerprint.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,7 @@ def simhash(text: str | None, width: int = SHINGLE_WORDS) -> int:
     grams = zip(*(words[i:] for i in range(width))) if len(words) >= width else iter([words])
     total, counts, digest, join = 0, np.zeros(64, np.int64), xxhash.xxh64_intdigest, b" ".join
     while True:
-        hashes = np.fromiter((digest(join(g), 42) for g, _ in zip(grams, range(_CHUNK))), np.uint64)
+        hashes = np.fromiter((digest(join(g), 42) for g in islice(grams, _CHUNK)), np.uint64)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(hashes)
         if len(hashes) < _CHUNK:

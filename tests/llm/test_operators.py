@@ -166,6 +166,15 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_hashes_every_shingle_of_long_texts(monkeypatch):
+    rnd = random.Random(11)
+    for n in (65536, 65537, 140000):
+        text = " ".join(str(rnd.randrange(10**6)) for _ in range(n + 2))
+        assert simhash.simhash(text) == brute_simhash(text)
+    monkeypatch.setattr(simhash, "_CHUNK", 8)
+    assert all(simhash.simhash(r[1]) == brute_simhash(r[1]) for r in corpus())
+
+
 def test_simhash_keeps_one_row_of_each_group(spark, empty):
     long, other, third = ("alpha beta gamma delta epsilon zeta eta theta " * 9, "one two three four five six seven " * 9, "red green blue black white brown " * 9)
     rows = [(5, long, "a"), (3, long, "b"), (3, long, "b"), (9, other, "c"), (9, long, "d"), (None, third, "e"), (None, third, "f"), (None, long, "g"), (11, None, "h"), (12, "", "i")]
