@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, line_dedup, mixing, quality, simhash
+from llm import bpe, line_dedup, mixing, near_dedup, quality
 from llm.common import checkpoint_dir, table
 
 
@@ -29,8 +29,9 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: the one with the smallest id, null after all others, the first of equals."""
-    return simhash.deduplicated(docs)
+    """One row of each group of texts linked by a Jaccard index of five-word shingles of 0.8 or more: the one with the
+    smallest id, null after all others, the first of equals."""
+    return near_dedup.deduplicated(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ STAGES = [
     ("token_encoding", token_encoding),
 ]
 
-#: SQL can express neither the classifier, nor SimHash, nor BPE.
+#: SQL can express neither the classifier, nor MinHash, nor BPE.
 ORACLE_SQL = None
 
 

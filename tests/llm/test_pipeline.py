@@ -35,3 +35,17 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     done = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(own.decode(bytes(r["ids"])).decode() for r in done) == texts
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_deduplication_drops_edited_copies(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(i, prose(rnd, 120)) for i in range(60)]
+    for i in range(30):  # 2 words of 120 differ: an index of about 0.84; half of them: below
+        words = rows[i][1].split()
+        for at in (30, 90) if i < 20 else range(0, 120, 2):
+            words[at] = "edited" + str(at)
+        rows.append((100 + i, " ".join(words)))
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = dict(corpus_pipeline.STAGES)["near_deduplication"](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(60), *range(120, 130)]
