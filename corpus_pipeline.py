@@ -40,11 +40,12 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids, the byte-level BPE ids of the text as little-endian unsigned 32-bit integers."""
+    """doc_id, source, n_tokens, ids and decoded_sha256: the byte-level BPE ids of the text as little-endian unsigned
+    32-bit integers, and the SHA-256 of the bytes that they decode to, which is the text's."""
     import public_tokenizers
 
-    done = bpe.encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return done.select("doc_id", "source", (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.col("_ids").alias("ids"))
+    done = bpe.encode_and_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return done.select("doc_id", "source", (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.col("_ids").alias("ids"), F.col("_decoded_sha256").alias("decoded_sha256"))
 
 
 STAGES = [

@@ -282,6 +282,21 @@ def decode_ids(path: str, pattern: str):
     return decoded
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` with ``_ids`` as encode_texts has it, and ``_decoded_sha256``, the SHA-256 of the bytes that these ids decode to."""
+
+    @F.pandas_udf("ids binary, decoded_sha256 string")
+    def done(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = encoding(path, pattern)
+        for batch in batches:
+            ids = list(own.encode_all(t or "" for t in batch))
+            yield pd.DataFrame({"ids": ids, "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]}, dtype=object)
+
+    ship_code(docs.sparkSession)
+    both = docs.withColumn("_done", done("text"))
+    return both.select(*docs.columns, F.col("_done.ids").alias("_ids"), F.col("_done.decoded_sha256").alias("_decoded_sha256"))
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again."""
 

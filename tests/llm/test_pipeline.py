@@ -1,5 +1,6 @@
 """The pipeline on a small fixture: each stage's decisions take effect and its last rows decode to the texts before."""
 
+import hashlib
 import random
 
 import public_tokenizers
@@ -49,3 +50,13 @@ def test_near_deduplication_drops_edited_copies(spark, tmp_path):
     out = dict(corpus_pipeline.STAGES)["near_deduplication"](spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [*range(60), *range(120, 130)]
+
+
+def test_token_encoding_decodes_what_it_encodes(spark, tmp_path):
+    texts = ["", "one two", "é漢😀 \n\t x" * 50, None]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(None, "last", "s")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["token_encoding"](spark, docs, str(tmp_path)).collect()}
+    own = bpe.Encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for k, t in [*enumerate(texts), (None, "last")]:
+        assert got[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+        assert bytes(got[k]["ids"]) == own.encode(t or "") and got[k]["n_tokens"] * 4 == len(got[k]["ids"])
