@@ -1,8 +1,8 @@
 """Operator 10: the main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines, one a block element; scripts, styles and the parts that are marked as furniture (menus,
-headers, footers, sidebars, adverts, notices, forms, reader comments) become empty lines. The lengths of the lines are
-summed over a sliding window; the text begins where the sum surges and ends where it dives to nothing.
+headers, footers, sidebars, adverts, notices, forms, reader comments) are left out. The lengths of the other lines are
+summed over a sliding window; the text begins where the sum surges.
 """
 
 from __future__ import annotations
@@ -46,12 +46,17 @@ def _marks(attributes: str) -> set[str]:
     return {w for m in _MARKS.finditer(attributes) for w in _WORDS.findall(next(x for x in m.groups() if x is not None).lower())}
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool]]:
-    """The page's non-empty lines in order: text, whether a main element holds it, whether it is furniture."""
+def lines_of(html: str, articles: bool = False) -> list[tuple[str, bool, bool]]:
+    """The page's non-empty lines in order: text, whether a main element holds it, whether it is furniture.
+
+    A main element that isn't furniture itself ends the furniture that only a hint marks, such as a layout class; with
+    ``articles`` an article does so too, unless the hint is one that counts for articles.
+    """
     lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     main = at = 0
     skip, depth = "", 0  # the furniture element that is open, and how many of its kind
+    soft = False  # whether only a hint that doesn't count for main elements marks it
 
     def flush() -> None:
         if parts:
@@ -101,6 +106,10 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
                     skip = ""
             elif name in ("article", "main") and main and not skip:
                 main -= 1
+        elif skip and soft and (name == "main" or articles and name == "article") and not _marks(attributes) & NOT_MAIN:
+            flush()
+            skip, depth = "", 0
+            main += 1
         elif skip:
             if name == skip:
                 if name in ("p", "li"):  # ends the open one
@@ -112,6 +121,7 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
             if name in FURNITURE or marks & (NOT_MAIN if name in MAIN else HINTS):
                 flush()
                 skip, depth = name, 1
+                soft = name not in FURNITURE and not marks & NOT_MAIN
             elif name in ("article", "main") or {"articlebody"} & marks:
                 main += name in ("article", "main")
     flush()
@@ -119,22 +129,17 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
 
 
 def main_text(html: str | None) -> str:
-    """The lines between surge and dive points of the page's line-block distribution, joined by line feeds."""
+    """The lines from the surge point of the page's line-block distribution on but for furniture, joined by line feeds."""
     lines = lines_of(html or "")
+    if not any(inside for _, inside, furniture in lines if not furniture):  # its articles, if any, are in hinted elements
+        lines = lines_of(html or "", True)
     marked = any(inside and not furniture for _, inside, furniture in lines)
-    # Where the page marks its text, only marked lines weigh, and each of them enough to surge.
-    weights = [0 if furniture or marked and not inside else len(text) + SURGE * marked for text, inside, furniture in lines]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    kept, inside = [False] * len(lines), False
-    for i, total in enumerate(sums):
-        if not inside and total >= SURGE and weights[i]:
-            inside = True
-        if inside and not weights[i] and not total:
-            inside = False
-        kept[i] = inside and weights[i] > 0
-    if not any(kept):  # too little text for a surge: all that isn't furniture
-        kept = [w > 0 for w in weights]
-    return "\n".join(text for (text, _, _), keep in zip(lines, kept) if keep)
+    # Where the page marks its text, only marked lines count, and all of them; furniture takes no place in the window.
+    texts = [text for text, inside, furniture in lines if not furniture and (inside or not marked)]
+    if not marked:
+        surges = (i for i in range(len(texts)) if sum(map(len, texts[i : i + WINDOW])) >= SURGE)
+        texts = texts[next(surges, 0) :]  # without a surge: all that isn't furniture
+    return "\n".join(texts)
 
 
 def extract(pages: DataFrame) -> DataFrame:

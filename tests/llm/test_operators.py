@@ -313,3 +313,14 @@ def test_neighbours_reach_recall(spark):
     few = neighbours.nearest_neighbours(spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 20 == 0)
     assert [r["rank"] for r in few.orderBy("rank").collect()] == [1, 2, 3]
     assert neighbours.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>, label int"), F.lit(True)).count() == 0
+
+
+def test_html_keeps_articles_in_hinted_elements_and_short_paragraphs():
+    long = ("Words of the text that go on and on, for a line that is long enough to count. " * 2).strip()
+    page = "<body><div class=menu>x</div><div class='layout has-sidebar'>{}</div><div class=footer>y</div></body>"
+    for inner in (f"<article><p>Short.</p><p>{long}</p></article>", f"<div><main><p>Short.</p><p>{long}</p></main></div>"):
+        assert html_text.main_text(page.format(inner)) == f"Short.\n{long}"
+    assert html_text.main_text(f"<article>{long}</article><div class=sidebar><article>Teaser</article></div>") == long
+    assert html_text.main_text(f"<p>{long}</p><div class=related><article>Teaser</article></div>") == long
+    furniture = "<nav><p>a</p><p>b</p><p>c</p></nav>"
+    assert html_text.main_text(f"{furniture}<p>Short.</p>{furniture}<p>{long}</p>{furniture}<p>End.</p>{furniture}") == f"Short.\n{long}\nEnd."
