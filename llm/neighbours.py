@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from llm.common import cut, ship_code, table
 
-#: Pivots are drawn from all usable vectors by the least id hashes: a bounded, documented sample.
+#: Pivots are drawn from all usable vectors of the most frequent length by the least id hashes: a bounded, documented sample.
 PIVOTS = 128
 #: How many nearest pivots post a vector, and how many a query looks up.
 POSTED, LOOKED_UP = 16, 24
@@ -45,6 +45,12 @@ def _orders(v: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(top, order, 1)
 
 
+def block_pivots(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Pivots for lengths other than the most frequent one: rows of the block, evenly over its order by id."""
+    order = np.argsort(ids, kind="stable")
+    return v[order[np.unique(np.linspace(0, len(ids) - 1, PIVOTS).astype(int))]]
+
+
 def search_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query_id, vec_id, score) of each query's nearest rows of one block of the index."""
     order = np.argsort(ids, kind="stable")
@@ -82,23 +88,24 @@ def search_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.nd
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFrame:
     """query_id, rank from 1, vec_id, score: each query's k nearest rows found, or all if there are fewer.
 
-    Vectors that are null, zero, hold null or non-finite components, have a null id or another length than most take
-    no part. Nearest first, ties to the smaller id; equal vectors are ranked and reranked alike. A repeated row is a
-    neighbour of its own, but not of a query with its id. An empty table gives no rows; other columns are not read.
+    Vectors that are null, zero, hold null or non-finite components or have a null id take no part; each length is
+    searched among its own rows. Nearest first, ties to the smaller id; equal vectors are ranked and reranked alike. A
+    repeated row is a neighbour of its own, but not of a query with its id; k copies of a row are all that can be
+    ranked, so no more are indexed. An empty table gives no rows; other columns are not read.
     """
     ship_code(vectors.sparkSession)
     all_rows = usable(vectors)
     lengths = all_rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     size = lengths["n"] if lengths else 0
-    rows = all_rows.where(F.size("v") == size)
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # at most PIVOTS rows
+    drawn = all_rows.where(F.size("v") == size).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # at most PIVOTS rows
     pivots = np.array([r["v"] for r in drawn], float).reshape(len(drawn), size)
 
-    rows = rows.withColumn("_query", is_query)
+    copies = all_rows.withColumn("_query", is_query).groupBy("vec_id", "v", "_query").agg(F.least(F.count("*"), F.lit(k)).alias("copies"))
+    rows = copies.select("vec_id", "v", "_query", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     total, asked = rows.agg(F.count("*"), F.coalesce(F.count_if("_query"), F.lit(0))).first()
     index_blocks, query_blocks = max(1, -(-total // INDEX_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(index_blocks))
-    asking = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(query_blocks))
+    own = F.pmod(F.xxhash64("vec_id", "v", "copy"), F.lit(index_blocks))
+    asking = F.pmod(F.xxhash64(F.lit(3), "vec_id", "v"), F.lit(query_blocks))
     every = F.sequence(F.lit(0), F.lit(query_blocks - 1))
     index = rows.select("vec_id", "v", F.lit(False).alias("asks"), own.cast("int").alias("block"), F.explode(every).alias("query_block"))
     blocks = F.sequence(F.lit(0), F.lit(index_blocks - 1))
@@ -106,11 +113,14 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy(bool)
-        ids, v = rows["vec_id"].to_numpy(np.int64), np.array(rows["v"].tolist(), float).reshape(len(rows), size)
-        found = search_block(ids[~asks], v[~asks], ids[asks], v[asks], pivots, k) if asks.any() and not asks.all() else []
+        ids, v = rows["vec_id"].to_numpy(np.int64), np.array(rows["v"].tolist(), float)
+        found = []
+        if asks.any() and not asks.all():
+            near = pivots if v.shape[1] == size else block_pivots(ids[~asks], v[~asks])
+            found = search_block(ids[~asks], v[~asks], ids[asks], v[asks], near, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = index.unionByName(queries).groupBy("block", "query_block").applyInPandas(search, "query_id long, vec_id long, score double")
+    found = index.unionByName(queries).groupBy(F.size("v").alias("n"), "block", "query_block").applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return cut(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

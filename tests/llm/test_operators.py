@@ -324,3 +324,20 @@ def test_html_keeps_articles_in_hinted_elements_and_short_paragraphs():
     assert html_text.main_text(f"<p>{long}</p><div class=related><article>Teaser</article></div>") == long
     furniture = "<nav><p>a</p><p>b</p><p>c</p></nav>"
     assert html_text.main_text(f"{furniture}<p>Short.</p>{furniture}<p>{long}</p>{furniture}<p>End.</p>{furniture}") == f"Short.\n{long}\nEnd."
+
+
+def test_neighbours_search_every_length_and_deal_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(90)] + [(200, rng.normal(size=8).tolist()) for _ in range(60)] + [(300, [1.0] * 5)] * 40
+    whole = neighbours.INDEX_BLOCK
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (whole, 16):
+        monkeypatch.setattr(neighbours, "INDEX_BLOCK", block)
+        got = {}
+        for r in neighbours.nearest_neighbours(frame, F.col("vec_id").isin(3, 4, 9, 10)).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert set(got) == {3, 4, 9, 10}
+        for q, near in got.items():
+            own = np.array(dict(rows)[q])
+            want = sorted(((-float(own @ np.array(v)), i) for i, v in rows if i != q and len(v) == len(own)))[:20]
+            assert [i for _, i, _ in sorted(near)] == [i for _, i in want] and [x for _, _, x in sorted(near)] == pytest.approx([-s for s, _ in want])
