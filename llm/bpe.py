@@ -12,15 +12,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, partial
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from llm.common import ship_code, table
 
@@ -28,6 +30,9 @@ from llm.common import ship_code, table
 REMEMBERED = 1 << 18
 #: Characters of text that are cut into pieces at a time.
 GROUP = 1 << 21
+#: Rows of a batch that are in Python at a time.
+ROWS = 1 << 9
+Path = str | Callable[[], str]
 #: Unicode white space, which the pattern's \s means.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -252,66 +257,63 @@ def encoding(path: str, pattern: str) -> Encoding:
     return Encoding(path, pattern)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with one more column ``_ids``, the packed ids of every whole text; null texts count as empty.
+def _column(result: str, path: Path, pattern: str, each: Callable[[Encoding, pa.Array], list]):
+    """A function of a column, by Arrow batches of a few rows at a time."""
 
-    ``path`` names the ranks (a token in base64 and its rank a line), a file on every machine; ``pattern`` cuts texts
-    into pieces, which are merged separately. Special tokens are ordinary text. Empty texts have no ids. Rows may
-    repeat; other columns stay as they are. No shuffle: texts are independent of each other.
-    """
+    kind = to_arrow_type(StructType.fromDDL(f"x {result}")[0].dataType)
 
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoding(path, pattern)
+    @F.arrow_udf(result)
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = encoding(path() if callable(path) else path, pattern)
         for batch in batches:
-            yield pd.Series(list(own.encode_all(t or "" for t in batch)), index=batch.index, dtype=object)
+            parts = [pa.array(each(own, batch.slice(at, ROWS)), kind) for at in range(0, len(batch), ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
-    ship_code(docs.sparkSession)
-    return docs.withColumn("_ids", packed("text"))
+    return column
 
 
-def decode_ids(path: str, pattern: str):
-    """A function of a column of packed ids: the bytes that they stand for."""
+def _texts(batch: pa.Array) -> list[str]:
+    return [t or "" for t in batch.to_pylist()]
 
-    @F.pandas_udf("binary")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoding(path, pattern)
-        for batch in batches:
-            yield batch.map(lambda x: own.decode(x or b""))
 
-    return decoded
+def encoded(text: Column, path: Path, pattern: str) -> Column:
+    """The packed ids of every whole text of a column, little-endian unsigned 32-bit integers; null counts as empty.
 
+    ``path`` names the ranks (a token in base64 and its rank a line), a file on every machine, or is a function that
+    finds it there; ``pattern`` cuts texts into pieces, which are merged separately. Special tokens are ordinary text.
+    Empty texts have no ids. No other column is touched, and nothing is shuffled: texts are independent of each other.
+    """
+    return _column("binary", path, pattern, lambda own, batch: list(own.encode_all(_texts(batch))))(text)
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with ``_ids`` as encode_texts has it, and ``_decoded_sha256``, the SHA-256 of the bytes that these ids decode to."""
 
-    @F.pandas_udf("ids binary, decoded_sha256 string")
-    def done(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = encoding(path, pattern)
-        for batch in batches:
-            ids = list(own.encode_all(t or "" for t in batch))
-            yield pd.DataFrame({"ids": ids, "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]}, dtype=object)
+def decoded(ids: Column, path: Path, pattern: str) -> Column:
+    """The bytes that packed ids stand for; null counts as none."""
+    return _column("binary", path, pattern, lambda own, batch: [own.decode(x or b"") for x in batch.to_pylist()])(ids)
 
-    ship_code(docs.sparkSession)
-    both = docs.withColumn("_done", done("text"))
-    return both.select(*docs.columns, F.col("_done.ids").alias("_ids"), F.col("_done.decoded_sha256").alias("_decoded_sha256"))
 
+def encoded_and_decoded(text: Column, path: Path, pattern: str) -> Column:
+    """A struct of ``ids`` as ``encoded`` has them, and ``decoded_sha256``, the SHA-256 of the bytes that these ids decode to."""
+    row = lambda own, ids: {"ids": ids, "decoded_sha256": hashlib.sha256(own.decode(ids)).hexdigest()}
+    return _column("struct<ids: binary, decoded_sha256: string>", path, pattern, lambda own, batch: [row(own, x) for x in own.encode_all(_texts(batch))])(text)
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoding(path, pattern)
-        for batch in batches:
-            ids = own.encode_all(t or "" for t in batch["text"])
-            rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(own.decode(x)).hexdigest()) for x in ids]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=batch["doc_id"].values)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+def round_trip(docs: DataFrame, path: Path, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again.
+
+    Null texts count as empty. Ids of any value and null ones stay as they are, repeated rows repeat, and an empty table
+    gives no rows. Very long texts are encoded in parts, cut where the pattern cuts. Other columns are not read.
+    """
+
+    def row(own: Encoding, ids: bytes) -> dict:
+        return {"n": len(ids) // 4, "ids": hashlib.sha256(ids).hexdigest(), "bytes": hashlib.sha256(own.decode(ids)).hexdigest()}
 
     ship_code(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    done = _column("struct<n: bigint, ids: string, bytes: string>", path, pattern, lambda own, batch: [row(own, x) for x in own.encode_all(_texts(batch))])
+    both = docs.select("doc_id", done(F.col("text")).alias("d"))
+    return both.select("doc_id", F.col("d.n").alias("n_tokens"), F.col("d.ids").alias("ids_sha256"), F.col("d.bytes").alias("decoded_sha256"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip(table(spark, sf_dir, "documents"), partial(public_tokenizers.path, "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

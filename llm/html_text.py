@@ -1,22 +1,27 @@
 """Operator 10: the main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one a block element; scripts, styles and the parts that are marked as furniture (menus,
-headers, footers, sidebars, adverts, notices, forms, reader comments) are left out. The lengths of the other lines are
-summed over a sliding window; the text begins where the sum surges.
+Markup is stripped to lines, one a block element. Scripts, styles and furniture (menus, page headers, footers,
+sidebars, adverts, notices, forms, reader comments) are stripped with what they hold. The lengths of the other lines
+are summed over a sliding window; a stretch of lines is text where that sum surges, and ends where it dives to nothing.
+
+Markup gives lines a level: those in a main element, those in an article inside a part that a layout class marks, and
+the others. The text is that of the highest level at which the distribution surges.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from llm.common import ship_code, table
 
-#: Lines in a window, and the characters a window without marked text must have to surge.
+#: Lines in a window, and the characters it must have to surge; on a page without so many, as many as its fullest has.
 WINDOW, SURGE = 3, 80
 
 RAW = frozenset("script style noscript template iframe svg math object textarea select title xmp noembed noframes".split())
@@ -25,50 +30,110 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class, id or role that mark furniture.
+#: Names in a class, id or role that mark furniture, alone or with PLACES and each other ("site-header", "cookie_notice").
 HINTS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal "
     "overlay nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar complementary contentinfo comment comments disqus respond "
     "reply replies share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget".split()
 )
-#: Elements that hold a page's text; furniture words in their class don't count but for these.
-MAIN, NOT_MAIN = frozenset(("article", "main", "body", "html")), frozenset("ad ads advert comment comments reply related promo sponsored".split())
+PLACES = frozenset("site page main global top bottom left right primary secondary wrapper wrap container box bar block area section list item inner outer slot unit form thread reader user".split())
+#: Hints that hold for articles and main elements, too, and for articles in them.
+NOT_MAIN = frozenset("ad ads adbox advert adverts advertisement advertising comment comments disqus reply replies related recommended promo promotion sponsor sponsored".split())
+MAIN = frozenset(("article", "main"))
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
-_MARKS = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+# Possessive, so that a tag is read once: its name, then attributes with closed quotes. From the first tag of a page that
+# has none of these on, which is read to the end in vain, tags go up to the next ">".
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+_PARTS = re.compile(r"[^\W_]+")
+_LONG_NUMBER = re.compile(r"&#0*+(\d*+);?")
+#: Levels of lines.
+PLAIN, HELD, MARKED = 1, 2, 3
 
 
-def _marks(attributes: str) -> set[str]:
-    if "=" not in attributes:
-        return set()
-    return {w for m in _MARKS.finditer(attributes) for w in _WORDS.findall(next(x for x in m.groups() if x is not None).lower())}
+def hints(attributes: str) -> set[str]:
+    """The hints among the whole names of class, id and role."""
+    found: set[str] = set()
+    if "=" in attributes:
+        for m in _MARKS.finditer(attributes):
+            value = next(x for x in m.groups() if x is not None)
+            for name in value.lower().split():
+                parts = set(_PARTS.findall(name))
+                if parts & HINTS and parts <= HINTS | PLACES:
+                    found |= parts & HINTS
+            if value.strip().lower() == "main":
+                found.add("main")
+    return found
 
 
-def lines_of(html: str, articles: bool = False) -> list[tuple[str, bool, bool]]:
-    """The page's non-empty lines in order: text, whether a main element holds it, whether it is furniture.
+def _decoded(piece: str) -> str:
+    if "&" not in piece:
+        return piece
+    if "&#" in piece:  # numbers beyond every character, however long
+        piece = _LONG_NUMBER.sub(lambda m: m[0] if not m[1] else f"&#{m[1]};" if len(m[1]) < 8 else "�", piece)
+    return unescape(piece)
 
-    A main element that isn't furniture itself ends the furniture that only a hint marks, such as a layout class; with
-    ``articles`` an article does so too, unless the hint is one that counts for articles.
-    """
-    lines: list[tuple[str, bool, bool]] = []
+
+@dataclass(slots=True)
+class Line:
+    text: str
+    mass: int  # its length, outside of main elements and headings without links
+    level: int
+    region: int  # which main element, from 1; 0 outside
+
+
+@dataclass(slots=True)
+class _Open:
+    """A furniture, hinted or main element that is open, and how many of its name are in it."""
+
+    name: str
+    kind: str
+    hard: bool
+    depth: int = 1
+
+
+def lines_of(html: str) -> list[Line]:
+    """The page's non-empty lines in order, without furniture. Every character is read a fixed number of times."""
+    lines: list[Line] = []
     parts: list[str] = []
-    main = at = 0
-    skip, depth = "", 0  # the furniture element that is open, and how many of its kind
-    soft = False  # whether only a hint that doesn't count for main elements marks it
+    linked = heading = at = region = 0
+    stack: list[_Open] = []
+    names: dict[str, int] = {}  # of the stack
+    kinds = {"furniture": 0, "hint": 0, "main": 0, "held": 0, "hard": 0}
+    in_link, quotes = False, True
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                lines.append((text, main > 0, bool(skip)))
-            parts.clear()
+                main = kinds["main"] + kinds["held"] > 0
+                mass = len(text) if main or heading else max(0, len(text) - linked)
+                lines.append(Line(text, mass, MARKED if kinds["main"] else HELD if main else PLAIN, region if main else 0))
+        parts.clear()
+        linked = 0
+
+    def push(name: str, kind: str, hard: bool = False) -> None:
+        stack.append(_Open(name, kind, hard))
+        names[name] = names.get(name, 0) + 1
+        kinds[kind] += 1
+        kinds["hard"] += hard
+
+    def pop() -> None:
+        gone = stack.pop()
+        names[gone.name] -= 1
+        kinds[gone.kind] -= 1
+        kinds["hard"] -= gone.hard
 
     while True:
         start = html.find("<", at)
-        piece = html[at:] if start < 0 else html[at:start]
-        if piece:
-            parts.append(unescape(piece) if "&" in piece else piece)
+        piece = _decoded(html[at:] if start < 0 else html[at:start])
+        if piece and not kinds["furniture"] and not kinds["hint"]:
+            parts.append(piece)
+            if in_link:
+                linked += len(piece)
         if start < 0:
             break
         if html.startswith("<!--", start):
@@ -79,85 +144,127 @@ def lines_of(html: str, articles: bool = False) -> list[tuple[str, bool, bool]]:
             end = html.find(">", start)
             at = len(html) if end < 0 else end + 1
             continue
-        tag = _TAG.match(html, start)
-        if tag is None:
-            parts.append("<")
+        if not re.match("/?[a-zA-Z]", html[start + 1 : start + 3]):
+            if not kinds["furniture"] and not kinds["hint"]:
+                parts.append("<")
             at = start + 1
             continue
+        tag = _TAG.match(html, start) if quotes else None
+        if tag is None:
+            quotes = False
+            tag = _LOOSE.match(html, start)
+        if tag is None:  # no tag ends any more
+            break
         at = tag.end()
-        closing, name, attributes = tag.group(1, 2, 3) if tag.group(2) else tag.group(4, 5, 6)
+        closing, name, attributes = tag.groups()
         name = name.lower()
         if name in RAW:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{name}[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+                stop = html.find(">", end.end()) if end else -1
+                at = stop + 1 if stop >= 0 else len(html)
             continue
+        if name == "a":
+            in_link = not closing
         if name == "br":
             parts.append(" ")
         if name in BLOCKS:
             flush()
+            in_link = False
+            if name in HEADINGS:
+                heading = 0 if closing else 1
         if name in VOID:
             continue
+        top = stack[-1] if stack else None
         if closing:
-            if skip == name:
-                depth -= 1
-                if not depth:
-                    flush()
-                    skip = ""
-            elif name in ("article", "main") and main and not skip:
-                main -= 1
-        elif skip and soft and (name == "main" or articles and name == "article") and not _marks(attributes) & NOT_MAIN:
-            flush()
-            skip, depth = "", 0
-            main += 1
-        elif skip:
-            if name == skip:
-                if name in ("p", "li"):  # ends the open one
-                    skip, depth = "", 0
-                else:
-                    depth += 1
-        else:
-            marks = _marks(attributes)
-            if name in FURNITURE or marks & (NOT_MAIN if name in MAIN else HINTS):
-                flush()
-                skip, depth = name, 1
-                soft = name not in FURNITURE and not marks & NOT_MAIN
-            elif name in ("article", "main") or {"articlebody"} & marks:
-                main += name in ("article", "main")
+            if names.get(name):
+                while stack[-1].name != name:  # closed with what holds them
+                    pop()
+                stack[-1].depth -= 1
+                if not stack[-1].depth:
+                    pop()
+            continue
+        if top and top.name == name and name in ("p", "li"):  # ends the open one
+            pop()
+            top = None
+        found = hints(attributes)
+        main = (name in MAIN or "main" in found) and not found & NOT_MAIN
+        if main and not kinds["hard"]:
+            within = kinds["hint"] > 0
+            while stack and stack[-1].kind in ("furniture", "hint"):  # a layout class or a page-wide form
+                pop()
+            region += not kinds["main"] + kinds["held"]
+            push(name, "held" if within and name == "article" else "main")
+            continue
+        if name in FURNITURE and not (name == "header" and kinds["main"] + kinds["held"]):
+            push(name, "furniture", name != "form")
+            continue
+        if not main and (found & NOT_MAIN if name in MAIN or name in ("body", "html") else found):
+            push(name, "hint", bool(found & NOT_MAIN))
+            continue
+        if top and top.name == name:
+            top.depth += 1
     flush()
     return lines
 
 
+def block_sums(lines: list[Line]) -> list[int]:
+    """The distribution: for each line the mass of the window that it begins."""
+    return [sum(x.mass for x in lines[i : i + WINDOW]) for i in range(len(lines))]
+
+
+def stretches(lines: list[Line], level: int) -> list[list[Line]]:
+    """The lines between dives, a whole window without mass, and between main elements if these count; without massless ends."""
+    out: list[list[Line]] = [[]]
+    massless = 0
+    for line in lines:
+        massless = 0 if line.mass else massless + 1
+        run = out[-1]
+        if run and (massless >= WINDOW or level > PLAIN and line.region != run[-1].region):
+            out.append(run := [])
+        if line.mass or run:
+            run.append(line)
+    for run in out:
+        while run and not run[-1].mass:
+            run.pop()
+    return [run for run in out if run]
+
+
 def main_text(html: str | None) -> str:
-    """The lines from the surge point of the page's line-block distribution on but for furniture, joined by line feeds."""
-    lines = lines_of(html or "")
-    if not any(inside for _, inside, furniture in lines if not furniture):  # its articles, if any, are in hinted elements
-        lines = lines_of(html or "", True)
-    marked = any(inside and not furniture for _, inside, furniture in lines)
-    # Where the page marks its text, only marked lines count, and all of them; furniture takes no place in the window.
-    texts = [text for text, inside, furniture in lines if not furniture and (inside or not marked)]
-    if not marked:
-        surges = (i for i in range(len(texts)) if sum(map(len, texts[i : i + WINDOW])) >= SURGE)
-        texts = texts[next(surges, 0) :]  # without a surge: all that isn't furniture
-    return "\n".join(texts)
+    """The text between the surges and dives of the page's line-block distribution, its lines joined by line feeds."""
+    every = lines_of(html or "")
+    levels = [(level, [x for x in every if x.level >= level]) for level in (MARKED, HELD, PLAIN)]
+    fullest = [max(block_sums(lines), default=0) for _, lines in levels]
+    # the highest level that surges, else the highest with text
+    chosen = next((i for i, most in enumerate(fullest) if most >= SURGE), next((i for i, most in enumerate(fullest) if most), 0))
+    level, lines = levels[chosen]
+    least = min(SURGE, fullest[chosen])
+    return "\n".join(x.text for run in stretches(lines, level) if max(block_sums(run)) >= least for x in run)
+
+
+def text_column(html: Column) -> Column:
+    """The main text of a column of pages; null counts as empty."""
+
+    @F.pandas_udf("string")
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([main_text(x) for x in batch], dtype=object)
+
+    return texts(html)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page.
 
     Null html counts as empty; a page without text gives the empty text. Character references are decoded, white space
-    inside a block becomes one space, and blocks are joined in page order by one line feed. Tags that are never closed
-    reach to the end, as browsers have it. Pages repeat as they are given, an empty table gives no rows, and other
-    columns are neither read nor returned. No shuffle: pages are independent of each other.
+    inside a block becomes one space, and blocks are joined in page order by one line feed. A tag or comment that never
+    ends reaches to the end, as browsers have it; very long pages, however broken, take time in proportion to their
+    length. Pages repeat as they are given, ids of any value and null ones stay as they are, an empty table gives no
+    rows, and other columns are neither read nor returned. No shuffle: pages are independent of each other.
     """
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [main_text(h) for h in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
     ship_code(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInPandas(each, "page_id long, url string, text string, n_chars long")
+    done = pages.select("page_id", "url", text_column(F.col("html")).alias("text"))
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

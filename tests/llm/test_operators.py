@@ -219,10 +219,18 @@ def test_bpe_is_as_tiktoken(docs, empty):
     for r in docs.collect():
         assert got[r["doc_id"]]["n_tokens"] == len(theirs.encode_ordinary(r["text"] or "")) and got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
     assert bpe.round_trip(empty, PATH, PATTERN).count() == 0
-    back = bpe.encode_texts(docs, PATH, PATTERN).select("text", bpe.decode_ids(PATH, PATTERN)("_ids").alias("b")).collect()
+    back = docs.select("text", bpe.decoded(bpe.encoded(F.col("text"), PATH, PATTERN), PATH, PATTERN).alias("b")).collect()
     assert all(bytes(r["b"]).decode() == (r["text"] or "") for r in back)
 
 
+def test_bpe_leaves_ids_beside_null_ones(spark):
+    big = 1 << 60
+    docs = spark.createDataFrame([(big + 1, "a b"), (None, None), (big + 3, ""), (big + 3, "word " * 300_000)], "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in bpe.round_trip(docs, lambda: PATH, PATTERN).collect()]
+    assert [i for i, *_ in got] == [big + 1, None, big + 3, big + 3] and [n for _, n, _ in got][:3] == [2, 0, 0]
+    assert [h for *_, h in got] == [hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.collect()]
+
+
 def test_bpe_takes_long_texts_in_parts(monkeypatch):
     text = " ".join(f"word{i}" for i in range(3000))
     whole = bpe.Encoding(PATH, PATTERN).encode(text)
@@ -326,6 +334,26 @@ def test_html_keeps_articles_in_hinted_elements_and_short_paragraphs():
     assert html_text.main_text(f"{furniture}<p>Short.</p>{furniture}<p>{long}</p>{furniture}<p>End.</p>{furniture}") == f"Short.\n{long}\nEnd."
 
 
+def test_neighbours_of_repeated_ids_and_short_files(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 16)).tolist()
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(1, 300)] + [(0, a), (0, b), (400, a), (400, a), (401, b)]
+    rows += [(500 + i, [9.0] * 16) for i in range(150)]  # a large group of equal vectors
+    frame = spark.createDataFrame([*rows, (None, a)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "LOOKED_UP", 1)  # files hold too few rows for some queries
+    got = {}
+    for r in neighbours.nearest_neighbours(frame, F.col("vec_id").isin(0, 7, 510)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {0, 7, 510} and all([n for n, *_ in sorted(x)] == list(range(1, 21)) for x in got.values())
+    assert not any(i == q for q, x in got.items() for _, i, _ in x)
+    assert [i for _, i, _ in sorted(got[510])] == [500 + i for i in range(21) if i != 10]
+    monkeypatch.setattr(neighbours, "RERANKED", 1.0)
+    monkeypatch.setattr(neighbours, "LOOKED_UP", 500)  # all files: exact
+    exact = sorted((r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest_neighbours(frame, F.col("vec_id") == 0).collect())
+    want = sorted((-max(float(np.dot(v, a)), float(np.dot(v, b))), i) for i, v in rows if i != 0)[:20]
+    assert [(n, i) for n, i, _ in exact] == [(n + 1, i) for n, (_, i) in enumerate(want)] and [s for *_, s in exact] == pytest.approx([-s for s, _ in want])
+
+
 def test_neighbours_search_every_length_and_deal_repeated_ids(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(90)] + [(200, rng.normal(size=8).tolist()) for _ in range(60)] + [(300, [1.0] * 5)] * 40
