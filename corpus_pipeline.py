@@ -7,12 +7,13 @@ checkpoint folder and reads it back as the next stage's docs. All stages but the
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import bpe, line_dedup, mixing, near_dedup, quality
-from llm.common import checkpoint_dir, table
+from llm.common import checkpoint_dir, ship_code, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +45,10 @@ def token_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     32-bit integers, and the SHA-256 of the bytes that they decode to, which is the text's."""
     import public_tokenizers
 
-    done = bpe.encode_and_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return done.select("doc_id", "source", (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.col("_ids").alias("ids"), F.col("_decoded_sha256").alias("decoded_sha256"))
+    ship_code(spark)
+    path = partial(public_tokenizers.path, "byte_bpe_50k.tiktoken")
+    done = docs.select("doc_id", "source", bpe.encoded_and_decoded(F.col("text"), path, public_tokenizers.PATTERN).alias("d"))
+    return done.select("doc_id", "source", (F.octet_length("d.ids") / 4).cast("long").alias("n_tokens"), F.col("d.ids").alias("ids"), F.col("d.decoded_sha256").alias("decoded_sha256"))
 
 
 STAGES = [
