@@ -26,9 +26,9 @@ PIVOTS, GROWN, MOST_PIVOTS = 256, 50_000, 4096
 #: So many lengths, the most frequent ones, have pivots; vectors of other lengths are one file each, reranked whole.
 LENGTHS = 8
 #: In how many files a vector is posted, how many a query looks up with PIVOTS pivots, and the places of an order.
-POSTED, LOOKED_UP, PREFIX = 8, 28, 128
+POSTED, LOOKED_UP, PREFIX = 8, 36, 128
 #: The share of a file's rows that the footrule distance leaves for reranking, besides twice the wanted neighbours.
-RERANKED = 0.2
+RERANKED = 0.3
 NEIGHBOURS = 20
 #: Rows and queries of a file in a task.
 INDEX_BLOCK, QUERY_BLOCK = 4096, 2048
