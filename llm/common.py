@@ -12,16 +12,26 @@ WORD, SPACE = r"\S++", r"\s++"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: what the session or the cluster has set, else a temporary one.
+    """The shared folder for checkpoints: what the session or the cluster has set in ``spark.checkpoint.dir``.
 
-    The temporary folder serves local tests only; a cluster names ``spark.checkpoint.dir``.
+    Where none is set a session on one machine gets a temporary one; on a cluster, whose machines don't share theirs,
+    that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return context.getCheckpointDir()
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: later jobs neither recompute it nor lose it."""
     checkpoint_dir(df.sparkSession)

@@ -103,26 +103,39 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.groupBy("id", "hash").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
+def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc, all of a row's columns; text, what is left; lines, removed)."""
+    named = _identified(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"))
+    joined = named.join(later_copies(docs, min_words), ["id", "hash"], "left")
+    split = F.split("text", "\n")
+    places = F.transform(F.col("gone"), lambda p: F.get(F.col("full"), p)["at"])
+    found = joined.withColumn("full", F.when(F.col("gone").isNotNull(), _full_lines(F.col("text")))).withColumn("removed", F.coalesce(places, F.array().cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all"), i)), "\n"))
+    return found.withColumn("all", split).select("doc", left.alias("text"), F.size(F.coalesce("all", F.array())).cast("long").alias("lines"), "removed")
+
+
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without later copies of runs of lines, with two more columns, ``_lines`` and ``_removed``.
 
     A run is a stretch of lines of one document, of ``min_words`` words or more, that occurs elsewhere in the corpus
-    or in the document. Its copy with the least (doc_id, text hash, place) stays; null ids come last. Lines without a
-    word are no part of a run and always stay. ``_lines`` counts the lines of a text and ``_removed`` lists the places
-    of deleted ones from 0. Null texts stay null, and null and empty texts have nothing to delete. Rows with equal id
-    and text are one document and end alike. An empty table gives no rows; other columns stay as they are.
+    or in the document. Its copy with the least (doc_id, text hash, place) stays; null ids come last. Copies within a
+    document may overlap: of a line that repeats on and on each run but the first goes, also the lines that it shares
+    with the first, so fewer than ``min_words`` words of it may stay. Lines without a word are no part of a run and
+    always stay. ``_lines`` counts the lines of a text and ``_removed`` lists the places of deleted ones from 0. Null
+    texts stay null, and null and empty texts have nothing to delete. Very long texts are one row a line. Rows with equal
+    id and text are one document and end alike. An empty table gives no rows; other columns stay as they are.
     """
-    named = _identified(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text"))
-    gone = later_copies(docs, min_words)
-    joined = named.join(gone, ["id", "hash"], "left")
-    split = F.split("text", "\n")
-    places = F.transform(F.col("gone"), lambda p: F.get(F.col("_full"), p)["at"])
-    found = joined.withColumn("_full", F.when(F.col("gone").isNotNull(), _full_lines(F.col("text")))).withColumn("_removed", F.coalesce(places, F.array().cast("array<int>")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed"))
-    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_all"), i)), "\n"))
-    done = found.withColumn("_all", split).select("_doc", new.alias("_text"), F.size(F.coalesce("_all", F.array())).cast("long").alias("_lines"), "_removed")
-    columns = [F.col("_text").alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns]
-    return done.select(*columns, "_lines", "_removed")
+    done = _cleaned(docs, min_words)
+    columns = [F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]
+    return done.select(*columns, F.col("lines").alias("_lines"), F.col("removed").alias("_removed"))
+
+
+def remaining(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` as above in its own columns, with n_chars, if there, counted anew; a document of which no word is left goes."""
+    done = _cleaned(docs, min_words).where((F.size("removed") == 0) | F.col("text").rlike(r"\S"))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return done.select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Logistic regression over hashed word n-grams, trained with follow-the-regularised-leader (FTRL-proximal) updates and
 scored as sparse dot products. The words of a text enter as they are and by their shape (upper and lower case, digits,
-punctuation, with runs collapsed), shapes also as bigrams, and a word that repeats the one before it is a feature too.
+punctuation, with runs collapsed), both also as bigrams, and a word that repeats the one before it is a feature too.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from llm.common import cut, ship_code, table
 
-#: The bound on labelled rows that the model is fitted on; all are used if they are fewer.
+#: The bound on labelled documents that the model is fitted on; all are used if they are fewer.
 TRAIN_ROWS = 8_000
 DIMENSIONS = 1 << 18
 SHARDS, EPOCHS = 4, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.0
 THRESHOLD = 0.3
-#: Bytes of text that are turned into features at a time.
+#: Bytes of text that are turned into features at a time, a multiple of the powers below.
 PART = 1 << 19
 
 _SPACE = np.zeros(256, bool)
@@ -50,22 +50,22 @@ def _slots(hashes: np.ndarray, salt: int) -> np.ndarray:
     return ((mixed * _ODD) >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def _features(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For bytes of which ``starts`` begins each text, after a space: text and slot of each feature, words of each text."""
+def _spelled(inside: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (inside.astype(np.uint64) + np.uint64(1)) * _BYTE_POWERS[place & 0xFFF]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of the bytes begins, the hash of its bytes and that of its shape."""
     data = np.frombuffer(raw, np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
     begin, end = edge[::2], edge[1::2]
-    counts = np.zeros(len(starts), np.int64)
     if not len(begin):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), counts
-    doc = np.searchsorted(starts, begin, side="right") - 1
-    counts = np.bincount(doc, minlength=len(starts))
+        return begin, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     inside = np.flatnonzero(~space)
     first = np.concatenate(([0], np.cumsum(end - begin)[:-1]))
     word = np.repeat(np.arange(len(begin)), end - begin)
-    place = np.arange(len(inside)) - first[word]
-    spelled = np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * _BYTE_POWERS[place & 0xFFF], first)
+    spelled = np.add.reduceat(_spelled(data[inside], np.arange(len(inside)) - first[word]), first)
     kinds = _CLASS[data[inside]]
     # a run begins where a class follows another one or a word begins
     classed = np.flatnonzero(kinds)
@@ -78,56 +78,112 @@ def _features(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         nth = np.arange(len(kinds)) - np.repeat(head, np.diff(np.append(head, len(kinds))))
         shapes[owner[head]] = np.add.reduceat(kinds * _RUN_POWERS[nth & 0x3FF], head)
-    same = doc[1:] == doc[:-1]
-    again = np.flatnonzero(same & (spelled[1:] == spelled[:-1]))
-    pairs = np.flatnonzero(same)
-    two = shapes[pairs] * np.uint64(0xC2B2AE3D27D4EB4F) + shapes[pairs + 1]
-    texts = np.concatenate((doc, doc, doc[pairs], doc[again]))
-    slots = np.concatenate((_slots(spelled, 1), _slots(shapes, 2), _slots(two, 3), _slots(np.zeros(len(again), np.uint64), 4)))
-    return texts, slots, counts
-
-
-def _parts(texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, list[int]]]:
-    """Bytes, the beginnings of texts in them, and which texts; a very long text comes in parts, cut between words."""
-    held, starts, which, size = [], [], [], 0
+    return begin, spelled, shapes
+
+
+def long_word(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of a single word, as word_hashes has them, a part at a time."""
+    spelled, shape, last, runs = np.zeros(1, np.uint64), np.zeros(1, np.uint64), 0, 0
+    for at in range(0, len(raw), PART):
+        data = np.frombuffer(raw[at : at + PART], np.uint8)
+        spelled += _spelled(data, np.arange(len(data))).sum(dtype=np.uint64)
+        kinds = _CLASS[data]
+        kinds = kinds[kinds > 0]
+        if len(kinds):
+            starts = kinds[np.concatenate(([kinds[0] != last], kinds[1:] != kinds[:-1]))]
+            shape += (starts * _RUN_POWERS[(runs + np.arange(len(starts))) & 0x3FF]).sum(dtype=np.uint64)
+            last, runs = kinds[-1], runs + len(starts)
+    return spelled, shape
+
+
+def features(doc: np.ndarray, spelled: np.ndarray, shapes: np.ndarray, carried: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Text and slot of each feature of words in order; a ``carried`` first word counts in its pair alone."""
+    new = slice(1 if carried else 0, None)
+    pairs = np.flatnonzero(doc[1:] == doc[:-1])
+    again = pairs[spelled[pairs] == spelled[pairs + 1]]
+    two = lambda h: h[pairs] * np.uint64(0xC2B2AE3D27D4EB4F) + h[pairs + 1]
+    texts = np.concatenate((doc[new], doc[new], doc[pairs], doc[again], doc[pairs]))
+    slots = (_slots(spelled[new], 1), _slots(shapes[new], 2), _slots(two(shapes), 3), _slots(np.zeros(len(again), np.uint64), 4), _slots(two(spelled), 5))
+    return texts, np.concatenate(slots)
+
+
+def _next_space(raw: bytes, at: int) -> int:
+    """The place of the first space from ``at`` on, or the end."""
+    for start in range(at, len(raw), PART):
+        found = np.flatnonzero(_SPACE[np.frombuffer(raw[start : start + PART], np.uint8)])
+        if len(found):
+            return start + int(found[0])
+    return len(raw)
+
+
+def _parts(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of a very long text's words, in order, cut between words; a word longer than a part is one of its own."""
+    at = 0
+    while at < len(raw):
+        stop = min(at + PART, len(raw))
+        if stop < len(raw):
+            spaces = np.flatnonzero(_SPACE[np.frombuffer(raw[at:stop], np.uint8)])
+            if not len(spaces):
+                stop = _next_space(raw, stop)
+                yield long_word(raw[at:stop])
+                at = stop
+                continue
+            stop = at + int(spaces[-1]) + 1
+        yield word_hashes(raw[at:stop])[1:]
+        at = stop
+
+
+def _counted(raw: bytes) -> tuple[np.ndarray, int]:
+    """How often each slot is a feature of a text, and its words. A text in parts has the features that it has whole."""
+    found, words = np.zeros(DIMENSIONS, np.int64), 0
+    last = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    for spelled, shapes in _parts(raw):
+        if len(spelled):
+            both = np.concatenate((last[0], spelled)), np.concatenate((last[1], shapes))
+            found += np.bincount(features(np.zeros(len(both[0]), np.int8), *both, carried=len(last[0]) > 0)[1], minlength=DIMENSIONS)
+            words += len(spelled)
+            last = spelled[-1:], shapes[-1:]
+    return found, words
+
+
+def dot_products(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
+    """The sum over each text's features of weight times share of the text's words; 0 without words."""
+    total = np.zeros(len(texts))
+    held: list[bytes] = []
+    which: list[int] = []
+
+    def score_held() -> None:
+        starts = np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
+        begin, spelled, shapes = word_hashes(b" ".join(held))
+        doc = np.searchsorted(starts, begin, side="right") - 1
+        owner, slots = features(doc, spelled, shapes)
+        words = np.bincount(doc, minlength=len(held))
+        total[which] = np.bincount(owner, weights[slots], minlength=len(held)) / np.maximum(words, 1)
+        held.clear()
+        which.clear()
+
+    size = 0
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
-        at = 0
-        while at < len(raw):
-            stop = len(raw)
-            if stop - at > PART:
-                stop = next((at + PART + k for k, b in enumerate(raw[at + PART : at + 2 * PART]) if _SPACE[b]), min(stop, at + 2 * PART))
-            starts.append(size)
-            which.append(i)
-            held.append(raw[at:stop])
-            size += stop - at + 1
-            at = stop
-            if size >= PART:
-                yield b" ".join(held) + b" ", np.array(starts), which
-                held, starts, which, size = [], [], [], 0
+        if len(raw) > PART:
+            found, words = _counted(raw)
+            total[i] = found @ weights / max(words, 1)
+            continue
+        held.append(raw)
+        which.append(i)
+        size += len(raw)
+        if size >= PART:
+            score_held()
+            size = 0
     if held:
-        yield b" ".join(held) + b" ", np.array(starts), which
-
-
-def dot_products(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """The sum over each text's features of weight times share of the text's words; 0 without words."""
-    total, counts = np.zeros(len(texts)), np.zeros(len(texts))
-    for raw, starts, which in _parts(texts):
-        owner, slots, words = _features(raw, starts)
-        which = np.array(which)
-        total += np.bincount(which[owner], weights[slots], minlength=len(texts))
-        counts += np.bincount(which, words, minlength=len(texts))
-    return total / np.maximum(counts, 1)
+        score_held()
+    return total
 
 
 def _vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-    slots, words = [], 0
-    for raw, starts, _ in _parts([text]):
-        _, s, counts = _features(raw, starts)
-        slots.append(s)
-        words += int(counts.sum())
-    found, n = np.unique(np.concatenate(slots) if slots else np.zeros(0, np.int64), return_counts=True)
-    return found, n / max(words, 1)
+    found, words = _counted(text.encode("utf-8", "surrogatepass"))
+    slots = np.flatnonzero(found)
+    return slots, found[slots] / max(words, 1)
 
 
 def ftrl(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> np.ndarray:
@@ -154,11 +210,14 @@ def ftrl(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> np.ndarra
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, bound: int) -> DataFrame:
     """(doc_id, text, label) of up to ``bound`` labelled documents that aren't held out: those with the least id hashes.
 
-    The bounded sample is joined to the documents by broadcast. Rows without id or label don't train.
+    The bounded sample is joined to the documents by broadcast. Rows without id or label don't train. Of several texts of
+    one id the one with the least hash does, so that there are no more rows than labels were drawn.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label")).where(~held_out).distinct()
     chosen = cut(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    return cut(found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label"))
 
 
 def held_out(modulus: int, remainder: int) -> Column:
@@ -172,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", apart: Col
     """
     ship_code(docs.sparkSession)
     rows = training_rows(docs, labels, label, apart if apart is not None else held_out(5, 0), bound)
-    sharded = rows.select((F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(SHARDS))).cast("int").alias("shard"), "doc_id", "text", "label")
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(SHARDS)).cast("int"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "label", "text"])
@@ -181,7 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", apart: Col
         at = np.flatnonzero(w)
         return pd.DataFrame({"slot": at, "weight": w[at]})
 
-    fitted = sharded.groupBy("shard").applyInPandas(fit, "slot long, weight double")
+    # by range, so that each shard is a task of its own
+    fitted = sharded.repartitionByRange(SHARDS, "shard").groupBy("shard").applyInPandas(fit, "slot long, weight double")
     shards = sharded.select("shard").distinct().count()
     weights = np.zeros(DIMENSIONS + 1)
     for slot, weight in fitted.groupBy("slot").agg(F.sum("weight")).collect():  # at most DIMENSIONS + 1 rows
@@ -189,30 +249,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", apart: Col
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with one more column ``_score``: the probability of label 1 for the whole text; null counts as empty."""
-    ship_code(docs.sparkSession)
-    packed, bias = weights[:-1].astype(np.float32).tobytes(), float(weights[-1])
+def probability(text: Column, weights: np.ndarray) -> Column:
+    """The probability of label 1 for the whole text of a column; null counts as empty."""
+    small, bias = weights[:-1].astype(np.float32).tobytes(), float(weights[-1])
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = np.frombuffer(packed, np.float32).astype(np.float64)
+        own = np.frombuffer(small, np.float32).astype(np.float64)
         for batch in batches:
             yield pd.Series(1 / (1 + np.exp(-np.clip(dot_products(batch.tolist(), own) + bias, -35, 35))))
 
-    return docs.withColumn("_score", scored("text"))
+    return scored(text)
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
     A model of the documents alone: labels, ids, languages and sources are no inputs of a score. Null texts score as
-    empty ones, a null id is not held out, repeated rows repeat, an empty table gives no rows; other columns are
-    neither read nor returned.
+    empty ones, a null id is not held out, repeated rows repeat, an empty table gives no rows. A very long text, or a
+    text of one very long word, is read in parts and scores as it would whole. Other columns are neither read nor
+    returned.
     """
     apart = held_out(5, 0)
-    done = score(docs.select("doc_id", "text"), train(docs, labels, apart=apart))
-    return done.select("doc_id", apart.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    weights = train(docs, labels, apart=apart)
+    done = docs.select("doc_id", probability(F.col("text"), weights).alias("score"))
+    return done.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

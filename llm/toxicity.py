@@ -1,8 +1,8 @@
 """Operator 9: toxicity by a weighted lexicon.
 
 Texts are folded (case, look-alike letters, digits in place of letters, punctuation to spaces) and scanned by an
-Aho-Corasick automaton of lexicon entries, word beginnings or whole words with a weight each. Exception phrases cancel
-the entries that begin with them. The summed weight and its share of the text's length give the score.
+Aho-Corasick automaton of lexicon entries, word beginnings or whole words with a weight each. Exception phrases of one
+or two words cancel the entries in them. The summed weight and its share of the text's length give the score.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from llm.common import cut, ship_code, table
 from llm.quality import held_out, training_rows
 
-#: The bound on labelled rows that lexicon and score are fitted on; all are used if they are fewer.
+#: The bound on labelled documents that lexicon and score are fitted on; all are used if they are fewer.
 TRAIN_ROWS = 20_000
-#: Entries at most, and how many letters a word beginning has.
-ENTRIES, SHORTEST, LONGEST = 2_000, 3, 12
-#: An entry needs so many different words before it in toxic texts, and so few clean texts for each of those.
-CONTEXTS, CONTEXT_SHARE, CLEAN_SHARE = 3, 0.004, 0.02
+#: An entry's log ratio of rates in toxic and clean texts, and the likelihood-ratio statistic G2 of the two, at least.
+WEIGHT, SIGNIFICANT = 1.5, 24.0
+#: Letters of the longest word beginning that is tried; longer words are tried whole.
+LONGEST = 32
+#: In so many clean texts an exception is at least.
+EXCEPTION = 3
 THRESHOLD = 0.3
 #: Letters of other scripts and digits that stand for Latin letters.
 LOOK_ALIKES = {
@@ -57,63 +59,64 @@ def fold(text: str | None) -> str:
     return f" {(text or '').lower().translate(_FOLDING)} "
 
 
-def word_evidence(rows: DataFrame) -> DataFrame:
-    """(word, clean, contexts): in how many clean training texts a word is, and after how many words in toxic ones.
+def pair_evidence(rows: DataFrame) -> DataFrame:
+    """(prev, word, toxic, clean): in how many toxic and clean training texts a word follows another, or none at the start."""
 
-    Contexts, not texts, are counted in toxic ones, for copies of a text tell nothing more.
-    """
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(fold)
+
+    words = F.array_remove(F.split(F.col("folded"), " +"), "")
+    pairs = F.array_distinct(F.zip_with(F.concat(F.array(F.lit("")), words), words, lambda prev, word: F.concat(prev, F.lit(" "), word)))
+    found = rows.select("label", folded("text").alias("folded")).select("label", F.explode(pairs).alias("pair")).where("pair is not null")
+    counted = found.groupBy("pair").agg(F.count_if(F.expr("label = 1")).alias("toxic"), F.count_if(F.expr("label = 0")).alias("clean"))
+    return counted.select(F.split_part("pair", F.lit(" "), F.lit(1)).alias("prev"), F.split_part("pair", F.lit(" "), F.lit(2)).alias("word"), "toxic", "clean")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text, label in zip(batch["text"], batch["label"]):
-                words = fold(text).split()
-                found = set(zip(words, [""] + words)) if label else {(w, "") for w in words}
-                found = {(w, hash_of(c) if label else 0) for w, c in found if len(w) >= SHORTEST}
-                yield pd.DataFrame({"word": [w for w, _ in found], "context": [c for _, c in found], "toxic": bool(label)}, columns=["word", "context", "toxic"]).astype({"word": "object", "context": "int64", "toxic": "bool"})
 
-    found = rows.mapInPandas(each, "word string, context long, toxic boolean")
-    each_context = found.groupBy("word", "context", "toxic").count()
-    return each_context.groupBy("word").agg(
-        F.coalesce(F.sum(F.when(~F.col("toxic"), F.col("count"))), F.lit(0)).alias("clean"), F.count_if("toxic").alias("contexts")
-    )
+def significance(t: Column, c: Column, toxic: int, clean: int) -> Column:
+    """G2 of t of ``toxic`` against c of ``clean``."""
+    both, rest = t + c, toxic + clean - t - c
 
+    def term(seen: Column, row: int, column: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen.cast("double") * (toxic + clean) / (float(row) * column))).otherwise(0.0)
 
-def hash_of(word: str) -> int:
-    import xxhash
+    return 2 * (term(t, toxic, both) + term(toxic - t, toxic, rest) + term(c, clean, both) + term(clean - c, clean, rest))
 
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
 
+def beginnings(word: str, longest: str) -> str:
+    """SQL: the beginnings of a string that are shorter than it, up to LONGEST letters."""
+    return f"transform(sequence(1, greatest(1, least({LONGEST}, {longest}))), n -> left({word}, n))"
 
-def learn_lexicon(rows: DataFrame, toxic: int) -> tuple[list[tuple[str, float]], list[str]]:
+
+def learn_lexicon(rows: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
     """Entries (pattern, weight) and exception phrases.
 
-    Of the word beginnings that toxic texts have and clean ones don't, the shortest are taken, each as long as it can
-    grow without losing a twentieth of its contexts; one that is nearly always the same word becomes that whole word.
-    A whole word that begins so but is in clean texts is an exception.
+    What counts is after how many different words a word stands in toxic and in clean texts, so copies of a text tell
+    nothing more. Of all beginnings of words, and whole words, those are entries that are significantly more frequent in
+    toxic texts; of several on one line of beginnings the most significant, the longer one of equals. Words, and pairs of
+    words, that hold an entry and are more frequent in clean texts are exceptions. Both are as many as the bounded
+    training rows support.
     """
-    words = cut(word_evidence(rows))
-    begun = words.select(F.explode(F.expr(f"transform(sequence({SHORTEST}, greatest({SHORTEST}, least({LONGEST}, char_length(word)))), n -> left(word, n))")).alias("start"), "clean", "contexts", "word")
-    starts = begun.groupBy("start").agg(F.sum("clean").alias("clean"), F.sum("contexts").alias("contexts"), F.max(F.struct("contexts", "word")).alias("top"))
-    least = max(CONTEXTS, CONTEXT_SHARE * toxic)
-    pure = starts.where((F.col("contexts") >= least) & (F.col("clean") <= CLEAN_SHARE * F.col("contexts")))
-    found = {r["start"]: r for r in pure.orderBy(F.desc("contexts"), "start").limit(ENTRIES).collect()}  # at most ENTRIES rows
-    entries = []
-    for start, row in sorted(found.items()):
-        if any(start[:n] in found for n in range(SHORTEST, len(start))):
-            continue
-        best = start
-        while longer := [s for s in found if len(s) == len(best) + 1 and s.startswith(best) and found[s]["contexts"] >= 0.95 * row["contexts"]]:
-            best = longer[0]
-        whole = row["top"]["contexts"] >= 0.95 * row["contexts"]
-        weight = float(np.log((row["contexts"] + 1) / (row["clean"] + 0.5)))
-        entries.append((f" {row['top']['word']} " if whole else f" {best}", weight))
-    begins = [p[1:] for p, _ in entries if not p.endswith(" ")]
-    exceptions: list[str] = []
-    if begins:
-        kind = F.greatest(*[F.col("word").startswith(b) for b in begins], F.lit(False))
-        benign = words.where(kind & (F.col("clean") > 0) & (F.col("contexts") <= F.col("clean"))).orderBy(F.desc("clean"), "word").limit(ENTRIES)
-        exceptions = [f" {r['word']} " for r in benign.collect()]
-    return entries, exceptions
+    pairs = cut(pair_evidence(rows))
+    toxic, clean, toxic_texts, clean_texts = (float(x or 0) for x in pairs.agg(F.count_if(F.expr("toxic > 0")), F.count_if(F.expr("clean > 0")), F.sum("toxic"), F.sum("clean")).first())
+    words = cut(pairs.groupBy("word").agg(F.count_if(F.expr("toxic > 0")).alias("t"), F.count_if(F.expr("clean > 0")).alias("c")))
+    starts = words.select("t", "c", F.explode(F.expr(f"concat({beginnings('word', 'char_length(word)')}, array(concat(word, ' ')))")).alias("start")).groupBy("start").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+    found = starts.select("start", weight.alias("weight"), significance(F.col("t"), F.col("c"), toxic, clean).alias("g")).where((F.col("weight") >= WEIGHT) & (F.col("g") >= SIGNIFICANT))
+    found = cut(found)
+    lines = found.select("start", "g", F.explode(F.expr(beginnings("start", "char_length(start) - 1"))).alias("begin")).where("begin <> start")
+    lines = lines.join(found.select(F.col("start").alias("begin"), F.col("g").alias("begin_g")), "begin")
+    beaten = lines.select(F.when(F.col("begin_g") > F.col("g"), F.col("start")).otherwise(F.col("begin")).alias("start"))
+    entries = cut(found.join(beaten, "start", "left_anti").select("start", "weight"))
+
+    whole = words.select("word", "t", "c", F.explode(F.expr(f"concat({beginnings('word', 'char_length(word)')}, array(concat(word, ' ')))")).alias("start"))
+    held = cut(whole.join(entries, "start", "left_semi").select("word", "t", "c").distinct())
+    benign = held.where((F.col("c") >= EXCEPTION) & (F.col("c") * toxic > F.col("t") * clean)).select("word")
+    open_ = held.join(benign, "word", "left_anti").select("word")
+    mild = pairs.where((F.col("clean") >= EXCEPTION) & (F.col("clean") * toxic_texts > F.col("toxic") * clean_texts) & (F.col("prev") != ""))
+    phrases = mild.join(open_, "word", "left_semi").unionByName(mild.join(open_.withColumnRenamed("word", "prev"), "prev", "left_semi").select(*mild.columns)).select(F.concat_ws(" ", "prev", "word").alias("word")).distinct()
+    exceptions = sorted(f" {r['word']} " for r in benign.unionByName(phrases).collect())
+    return sorted((f" {r['start']}", r["weight"]) for r in entries.collect()), exceptions
 
 
 def automaton(entries: Sequence[tuple[str, float]], exceptions: Sequence[str]):
@@ -121,10 +124,10 @@ def automaton(entries: Sequence[tuple[str, float]], exceptions: Sequence[str]):
 
     built = ahocorasick.Automaton()
     for phrase in exceptions:
-        built.add_word(phrase, (len(phrase), 0.0, True))
+        built.add_word(phrase, (len(phrase), 0.0, [i for i, c in enumerate(phrase[:-1]) if c == " "]))
     for pattern, weight in entries:
         if pattern not in built:
-            built.add_word(pattern, (len(pattern), weight, False))
+            built.add_word(pattern, (len(pattern), weight, None))
     built.make_automaton()
     return built
 
@@ -135,11 +138,12 @@ def evidence(text: str | None, built) -> tuple[float, float]:
     hits: dict[int, float] = {}
     excused = set()
     if len(built):
-        for end, (length, weight, exception) in built.iter(folded):
-            if exception:
-                excused.add(end - length)
-            else:
-                hits[end - length] = max(weight, hits.get(end - length, 0.0))
+        for end, (length, weight, begins) in built.iter(folded):
+            start = end - length + 1
+            if begins is None:
+                hits[start] = max(weight, hits.get(start, 0.0))
+            else:  # an exception: entries that begin at its words don't count
+                excused.update(start + i for i in begins)
     total = sum(w for at, w in hits.items() if at not in excused)
     return float(np.log1p(total)), float(np.log1p(1000 * total / len(folded)))
 
@@ -157,10 +161,8 @@ def fit_score(features: np.ndarray, labels: np.ndarray, ridge: float = 0.5) -> n
     return w
 
 
-def scored(docs: DataFrame, entries, exceptions, weights: Sequence[float] | None) -> DataFrame:
-    """``docs`` with ``_score``, or with the two features ``_sum`` and ``_share`` if there are no weights yet."""
-    ship_code(docs.sparkSession)
-    weights = None if weights is None else [float(w) for w in weights]
+def measured(text: Column, entries, exceptions) -> Column:
+    """The two features of a column of texts, as a struct."""
 
     @F.pandas_udf("struct<sum: double, share: double>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -168,11 +170,7 @@ def scored(docs: DataFrame, entries, exceptions, weights: Sequence[float] | None
         for batch in batches:
             yield pd.DataFrame([evidence(t, built) for t in batch], columns=["sum", "share"], dtype=float)
 
-    found = docs.withColumn("_f", features("text"))
-    if weights is None:
-        return found.withColumns({"_sum": F.col("_f.sum"), "_share": F.col("_f.share")}).drop("_f")
-    a, b, c = weights
-    return found.withColumn("_score", 1 / (1 + F.exp(-(a * F.col("_f.sum") + b * F.col("_f.share") + c)))).drop("_f")
+    return features(text)
 
 
 def classified(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
@@ -180,18 +178,19 @@ def classified(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> D
 
     Lexicon and score are fitted on labelled texts that aren't held out; labels, ids, languages and sources are no
     inputs of a score. Null texts score as empty ones, a null id is not held out, repeated rows repeat, an empty table
-    gives no rows, and without toxic training rows the lexicon is empty. Other columns are neither read nor returned.
+    gives no rows, and without toxic training rows the lexicon is empty. Very long texts are scanned whole, in time in
+    proportion to their length. Other columns are neither read nor returned.
     """
     ship_code(docs.sparkSession)
     apart = held_out(4, 2)
-    rows = cut(training_rows(docs, labels, "toxic", apart, bound))
-    toxic = rows.where("label = 1").count()
-    entries, exceptions = learn_lexicon(rows, toxic) if toxic else ([], [])
-    sample = scored(rows, entries, exceptions, None).select("_sum", "_share", "label").collect()  # at most ``bound`` rows
+    rows = training_rows(docs, labels, "toxic", apart, bound)
+    entries, exceptions = learn_lexicon(rows) if not rows.where("label = 1").isEmpty() else ([], [])
+    sample = rows.select(measured(F.col("text"), entries, exceptions).alias("f"), "label").select("f.sum", "f.share", "label").collect()  # at most ``bound`` rows
     data = np.array([tuple(r) for r in sample], float).reshape(-1, 3)
-    weights = fit_score(data[:, :2], data[:, 2])
-    done = scored(docs.select("doc_id", "text"), entries, exceptions, weights)
-    return done.select("doc_id", apart.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    a, b, c = (float(w) for w in fit_score(data[:, :2], data[:, 2]))
+    found = docs.select("doc_id", measured(F.col("text"), entries, exceptions).alias("f"))
+    done = found.select("doc_id", apart.alias("held_out"), (1 / (1 + F.exp(-(a * F.col("f.sum") + b * F.col("f.share") + c)))).alias("score"))
+    return done.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

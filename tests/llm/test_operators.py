@@ -260,12 +260,112 @@ def test_quality_holds_out(spark, empty):
     assert quality.classified(empty.select("doc_id", "text"), labels).count() == 0
 
 
+def brute_features(text):
+    """The features by their names: words, shapes, pairs of both, and repeated words."""
+    words = split(text)
+    shapes = [re.sub(r"(.)\\1+", r"\\1", "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in w)) for w in words]
+    pairs = list(zip(words, words[1:]))
+    return [("w", w) for w in words] + [("s", x) for x in shapes] + [("ss", *x) for x in zip(shapes, shapes[1:])] + [("ww", *x) for x in pairs] + [("again",) for a, b in pairs if a == b]
+
+
+def test_quality_features_are_those_of_words_and_shapes():
+    texts = ["One two two, THREE 44 4.4 a", "", " \n\t ", "x", "AAbb!!  AAbb!! c1 c22 ccc333"]
+    slots = {}
+    for text in texts:
+        raw = text.encode()
+        begin, spelled, shapes = quality.word_hashes(raw)
+        got = sorted(quality.features(np.zeros(len(begin), int), spelled, shapes)[1].tolist())
+        names = brute_features(text)
+        assert len(got) == len(names)
+        for name in names:
+            slots.setdefault(name, None)
+    # the same name is the same slot in every text, and the slots of a text are those of its names
+    for name in list(slots):
+        only = {"w": lambda n: n[1], "s": None}.get(name[0])
+        if only:
+            begin, spelled, shapes = quality.word_hashes(only(name).encode())
+            slots[name] = quality.features(np.zeros(1, int), spelled, shapes)[1][0]
+    for text in texts:
+        begin, spelled, shapes = quality.word_hashes(text.encode())
+        got = quality.features(np.zeros(len(begin), int), spelled, shapes)[1][: len(begin)].tolist()
+        assert got == [slots["w", w] for w in split(text)]
+
+
+def test_ftrl_is_as_a_plain_version():
+    rnd = random.Random(3)
+    texts = [prose(rnd, rnd.randint(0, 30)) + (" BAD!! bad!!" if i % 3 == 0 else "") for i in range(60)]
+    labels = [int(i % 3 != 0) for i in range(60)]
+    got = quality.ftrl(texts, labels, epochs=2)
+    z, n = {}, {}
+
+    def weight(j):
+        v = z.get(j, 0.0)
+        return 0.0 if abs(v) <= quality.L1 else -(np.sign(v) * (abs(v) - quality.L1)) / ((quality.BETA + np.sqrt(n.get(j, 0.0))) / quality.ALPHA + quality.L2)
+
+    for _ in range(2):
+        for text, y in zip(texts, labels):
+            slots, values = quality._vector(text)
+            x = dict(zip(slots.tolist(), values.tolist())) | {quality.DIMENSIONS: 1.0}
+            w = {j: weight(j) for j in x}
+            p = 1 / (1 + np.exp(-sum(w[j] * v for j, v in x.items())))
+            for j, v in x.items():
+                g = (p - y) * v
+                sigma = (np.sqrt(n.get(j, 0.0) + g * g) - np.sqrt(n.get(j, 0.0))) / quality.ALPHA
+                z[j], n[j] = z.get(j, 0.0) + g - sigma * w[j], n.get(j, 0.0) + g * g
+    assert set(np.flatnonzero(got).tolist()) == {j for j in z if weight(j)}
+    assert all(got[j] == pytest.approx(weight(j), rel=1e-9, abs=1e-12) for j in z)
+
+
 def test_quality_parts_of_a_long_text_score_as_one(monkeypatch):
+    rnd = random.Random(6)
     w = np.random.default_rng(0).normal(size=quality.DIMENSIONS)
-    texts = ["word. " * 900, "", None, "A b " * 500]
-    whole = quality.dot_products(texts, w)
-    monkeypatch.setattr(quality, "PART", 1000)
-    assert np.allclose(quality.dot_products(texts, w), whole, rtol=0.05)
+    texts = ["word. " * 9000, "", None, "A b " * 5000, "x" * 9000, "aB1" * 9000 + " " + prose(rnd, 3000) + " " + "Zz9!" * 5000 + " end", " " * 20000, prose(rnd, 4000) + " " + "q" * 8192, "é" * 9001 + " é"]
+    whole, counted = quality.dot_products(texts, w), [quality._counted((t or "").encode()) for t in texts]
+    monkeypatch.setattr(quality, "PART", 1 << 12)
+    for text, (slots, words) in zip(texts, counted):
+        found, n = quality._counted((text or "").encode())
+        assert n == words == len(split(text)) and np.array_equal(found, slots)
+    assert np.allclose(quality.dot_products(texts, w), whole, rtol=1e-9, atol=1e-9)
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)] + [(3, f"copy {i % 2}") for i in range(500)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(3, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    assert quality.training_rows(docs, labels, "quality", F.lit(False), 4).count() == 4
+    rows = quality.training_rows(docs, labels, "quality", F.lit(False), 100).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(9))
+
+
+def test_lexicon_is_found_and_scanned_as_a_naive_scan_has_it(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(300):
+        words = prose(rnd, 40).split()
+        if i % 3 == 0:
+            for at in range(3):
+                words.insert(rnd.randrange(len(words)), rnd.choice(["zorbish", "zorbling", "zorbed", "vex"]))
+        elif i % 3 == 1:
+            words[7:7] = ["mild", "vex"]  # clean, unlike its second word
+            if i % 5 == 0:
+                words.insert(rnd.randrange(len(words)), "zorbonne")  # begins as an entry, and is clean
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    entries, exceptions = toxicity.learn_lexicon(frame)
+    assert any(" zorb".startswith(p) or p.startswith(" zorb") for p, _ in entries)
+    assert " zorbonne " in exceptions
+    built = toxicity.automaton(entries, [*exceptions, " mild vex "])
+    for _, text, label in rows[:60] + [(0, "A mild vex, zorbonne; ZORBED!", 1), (0, "", 0)]:
+        folded = toxicity.fold(text)
+        total = 0.0
+        for at, c in enumerate(folded):
+            best = max((w for p, w in entries if folded.startswith(p, at)), default=0.0)
+            words_before = folded[: at + 1]
+            excused = any(folded.startswith(e, at - i) for e in [*exceptions, " mild vex "] for i, x in enumerate(e[:-1]) if x == " " and at >= i)
+            total += 0.0 if excused or not words_before else best
+        got = toxicity.evidence(text, built)
+        assert got == pytest.approx((np.log1p(total), np.log1p(1000 * total / len(folded))))
+    assert toxicity.evidence("a mild vex", built)[0] == 0.0
+    assert toxicity.learn_lexicon(frame.where("label = 0")) == ([], []) and len(toxicity.fold("x" * 1_000_000)) == 1_000_002
 
 
 def test_toxicity_holds_out(spark, empty):

@@ -60,3 +60,32 @@ def test_token_encoding_decodes_what_it_encodes(spark, tmp_path):
     for k, t in [*enumerate(texts), (None, "last")]:
         assert got[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
         assert bytes(got[k]["ids"]) == own.encode(t or "") and got[k]["n_tokens"] * 4 == len(got[k]["ids"])
+
+
+def test_stages_take_nulls_empty_texts_and_clashing_names(spark, tmp_path):
+    rnd = random.Random(5)
+    passage = prose(rnd, 60)
+    names = ["_score", "_lines", "_removed", "_doc", "_n", "_ids", "_f", "id", "hash", "row", "key", "size", "set", "band", "gone", "part", "idx", "lines", "removed", "target", "source_size"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    texts = [(i, prose(rnd, 40) + "\n" + passage) for i in range(12)] + [(None, prose(rnd, 30)), (20, None), (21, ""), (22, " \n"), (None, None), (23, "x " * 100_000), (3, prose(rnd, 20))]
+    texts += [texts[0]] * 2
+    rows = [(i, t, "en", None if k % 4 == 0 else f"s{k % 2}", 1, *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(texts)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    for data in (rows, []):
+        seen = spark.createDataFrame(data, schema)
+        columns = seen.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, seen, str(tmp_path))
+            out.write.mode("overwrite").parquet(str(tmp_path / f"{name}{len(data)}"))
+            seen = spark.read.parquet(str(tmp_path / f"{name}{len(data)}"))
+            if name != "token_encoding":
+                assert seen.columns == columns
+                own = {r["_score"]: r for r in seen.collect()}
+                assert all(all(r[n] == f"{n}{k[6:]}" for n in names) for k, r in own.items())
+            if name == "quality_filter":
+                assert seen.count() == len(data)
+            if name == "line_deduplication" and data:
+                assert sum(passage in (r["text"] or "") for r in own.values()) == 3  # the first document is there three times
+            if name == "near_deduplication" and data:
+                assert sum(not (r["text"] or "").strip() for r in own.values()) == 1
+        assert (seen.count() > 0) == bool(data)
