@@ -1,72 +1,5 @@
-"""A corpus pipeline of five stages over ``documents``: STAGES and run().
+"""The corpus pipeline of ``llm.pipeline``: STAGES, run() and ORACLE_SQL."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared
-checkpoint folder and reads it back as the next stage's docs. All stages but the last return the columns of documents.
-"""
+from llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-from functools import partial
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from llm import bpe, line_dedup, mixing, near_dedup, quality
-from llm.common import checkpoint_dir, ship_code, table
-
-
-def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labelled ones among them."""
-    weights = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights).where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
-
-
-def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated line runs; a document of which nothing is left goes."""
-    done = line_dedup.deduplicated(docs)
-    left = done.where((F.size("_removed") == 0) | F.col("text").rlike(r"\S"))
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
-
-
-def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts linked by a Jaccard index of five-word shingles of 0.8 or more: the one with the
-    smallest id, null after all others, the first of equals."""
-    return near_dedup.deduplicated(docs)
-
-
-def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of the sources takes them."""
-    return mixing.mixed_rows(docs).select(*docs.columns)
-
-
-def token_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids and decoded_sha256: the byte-level BPE ids of the text as little-endian unsigned
-    32-bit integers, and the SHA-256 of the bytes that they decode to, which is the text's."""
-    import public_tokenizers
-
-    ship_code(spark)
-    path = partial(public_tokenizers.path, "byte_bpe_50k.tiktoken")
-    done = docs.select("doc_id", "source", bpe.encoded_and_decoded(F.col("text"), path, public_tokenizers.PATTERN).alias("d"))
-    return done.select("doc_id", "source", (F.octet_length("d.ids") / 4).cast("long").alias("n_tokens"), F.col("d.ids").alias("ids"), F.col("d.decoded_sha256").alias("decoded_sha256"))
-
-
-STAGES = [
-    ("quality_filter", quality_filter),
-    ("line_deduplication", line_deduplication),
-    ("near_deduplication", near_deduplication),
-    ("source_mixing", source_mixing),
-    ("token_encoding", token_encoding),
-]
-
-#: SQL can express neither the classifier, nor MinHash, nor BPE.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
