@@ -51,13 +51,17 @@ def looked_up(pivots: int) -> int:
     return min(pivots, PREFIX, ceil(LOOKED_UP * (max(pivots, PIVOTS) / PIVOTS) ** 0.72))
 
 
+def order_type(pivots: int) -> type:
+    return np.uint8 if pivots <= 256 else np.int16
+
+
 def pivot_orders(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The nearest pivots of each vector, by inner product, in order."""
+    """The nearest pivots of each vector, by inner product, in order; a byte each where that names them all."""
     near = v @ pivots.T
     n = min(PREFIX, near.shape[1])
     top = np.argpartition(-near, n - 1, axis=1)[:, :n]
     order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-    return np.take_along_axis(top, order, 1).astype(np.int16)
+    return np.take_along_axis(top, order, 1).astype(order_type(len(pivots)))
 
 
 def packed(v: np.ndarray) -> bytes:
@@ -106,11 +110,11 @@ class InvertedFile:
         return found, scores
 
 
-def _search(index: DataFrame, queries: DataFrame, k: int, share: float) -> DataFrame:
+def _search(index: DataFrame, queries: DataFrame, pivots: dict[int, int], k: int, share: float) -> DataFrame:
     """(query_id, row, vec_id, score): the nearest rows of every file that a query looks up.
 
     ``index`` has row, vec_id, packed, orders and posted, ``queries`` vec_id, packed, orders and posted, the files that
-    they look up. The sizes of the files, at most LENGTHS x MOST_PIVOTS and one a rare length, are joined by statistics.
+    they look up, and ``pivots`` the number of pivots by length. The sizes of the files, at most LENGTHS x MOST_PIVOTS and one a rare length, are joined by statistics.
     """
     file = ["length", "pivot"]
     posted = index.select("length", "row", "vec_id", "packed", "orders", F.explode("posted").alias("pivot"))
@@ -126,12 +130,12 @@ def _search(index: DataFrame, queries: DataFrame, k: int, share: float) -> DataF
         length = int(found["length"].iloc[0])
         asks = found["row"].to_numpy() < 0
         ids, v = found["vec_id"].to_numpy(np.int64), unpacked(found["packed"].tolist(), length)
-        orders = np.frombuffer(b"".join(found["orders"]), np.int16).reshape(len(found), -1)
+        orders = np.frombuffer(b"".join(found["orders"]), order_type(pivots.get(length, 0))).reshape(len(found), -1)
         own = InvertedFile(ids[~asks], v[~asks], orders[~asks])
-        numbers = found["row"].to_numpy()[~asks]
+        row = found["row"].to_numpy()[~asks]
         out = [(q, *own.nearest(q, vector, order, k, share)) for q, vector, order in zip(ids[asks].tolist(), v[asks], orders[asks])] if not asks.all() else []
         at = np.concatenate([np.zeros(0, np.int64), *(x for _, x, _ in out)])
-        return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in out], [len(x) for _, x, _ in out]).astype(np.int64), "row": numbers[at], "vec_id": own.ids[at], "score": np.concatenate([np.zeros(0), *(s for *_, s in out)])})
+        return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in out], [len(x) for _, x, _ in out]).astype(np.int64), "row": row[at], "vec_id": own.ids[at], "score": np.concatenate([np.zeros(0), *(s for *_, s in out)])})
 
     met = rows.unionByName(asked).groupBy(*file, "block", "query_block").applyInPandas(search, "query_id long, row long, vec_id long, score double")
     return met.groupBy("query_id", "row", "vec_id").agg(F.max("score").alias("score"))
@@ -156,6 +160,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS
         drawn = kept.where(F.size("v") == length["length"]).orderBy(F.xxhash64("vec_id"), "vec_id", "v").select("v").limit(pivot_count(length["count"])).collect()
         pivots[length["length"]] = np.unique([r["v"] for r in drawn], axis=0)
 
+    numbers = {length: len(own) for length, own in pivots.items()}
+
     @F.pandas_udf("length int, packed binary, orders binary, near array<smallint>")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,19 +173,19 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS
                 at = np.flatnonzero(lengths == length)
                 if len(at):
                     for i, order in zip(at.tolist(), pivot_orders(np.array([rows[i] for i in at], float), own)):
-                        orders[i], near[i] = order.tobytes(), order[: looked_up(len(own))]
+                        orders[i], near[i] = order.tobytes(), order[: looked_up(len(own))].astype(np.int16)
             yield pd.DataFrame({"length": lengths, "packed": [packed(np.asarray(x, float)) for x in rows], "orders": orders, "near": near})
 
     index = kept.select("vec_id", described("v").alias("d"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     index = cut(index.select("vec_id", "d.length", "d.packed", "d.orders", F.slice("d.near", 1, POSTED).alias("posted")).withColumn("row", F.monotonically_increasing_id()))
     queries = cut(counted.where("_query").select("vec_id", described("v").alias("d")).select("vec_id", "d.length", "d.packed", "d.orders", F.col("d.near").alias("posted")))
-    found = cut(_search(index, queries, k, RERANKED))
+    found = cut(_search(index, queries, numbers, k, RERANKED))
 
     full = found.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= k)
     short = cut(queries.join(full, "vec_id", "left_anti"))
     if not short.isEmpty():
         files = index.select("length", F.explode("posted").alias("pivot")).groupBy("length").agg(F.collect_set("pivot").alias("posted"))  # at most MOST_PIVOTS
-        again = _search(index, short.drop("posted").join(files, "length"), k, 1.0)
+        again = _search(index, short.drop("posted").join(files, "length"), numbers, k, 1.0)
         found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
