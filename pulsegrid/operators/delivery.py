@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import rules
+from pulsegrid.functions.validation import LAB_COLUMNS
 from pulsegrid.operators.tables import resolve
 
-LAB_FIELDS = ("sample_id", "patient_id", "test_type", "result_value", "unit", "reference_range", "collected_at")
 
 
 def lab_events(rows: DataFrame, schema_version: int = 1) -> DataFrame:
     """(key, value) messages of valid lab rows: cells trimmed, the test in upper case, the result as a number."""
-    cells = {c: F.trim(F.col(c).cast("string")) for c in LAB_FIELDS}
+    cells = {c: F.trim(F.col(c).cast("string")) for c in LAB_COLUMNS}
     cells["test_type"] = F.upper(cells["test_type"])
     cells["result_value"] = cells["result_value"].try_cast("double")
     body = F.struct(*[x.alias(c) for c, x in cells.items()], F.lit(schema_version).alias("schema_version"), "source_file", F.col("file_day").cast("string").alias("file_day"), "row_number")
@@ -22,7 +22,7 @@ def lab_events(rows: DataFrame, schema_version: int = 1) -> DataFrame:
 
 def rejected_rows(rows: DataFrame) -> DataFrame:
     """Dead letters of rejected lab rows; the origin is file and row."""
-    row = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in LAB_FIELDS]))
+    row = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in LAB_COLUMNS]))
     return rows.where(F.size("error_reasons") > 0).select(
         F.lit("labs").alias("source"), F.concat_ws(":", "source_file", "row_number").alias("origin"), "error_reasons", row.alias("raw_payload"), F.lit("batch").alias("detected_by")
     )

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.validation import LAB_COLUMNS, lab_errors
+
+_MARK = "\u0001"
+
 
 def resolve(log: DataFrame, key: Sequence[str], order: Sequence[str], first: bool = False) -> DataFrame:
     """One row a key: the last by ``order`` (last write wins), or the first (insert if absent). Partial aggregates combine before the shuffle."""
@@ -42,7 +46,7 @@ def file_duplicates(rows: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     valid = F.size("error_reasons") == 0
-    nth = F.row_number().over(Window.partitionBy("source_file", "sample_id", "test_type", valid).orderBy("row_number"))
+    nth = F.row_number().over(Window.partitionBy("source_file", F.trim("sample_id"), F.upper(F.trim("test_type")), valid).orderBy("row_number"))
     return rows.withColumn("error_reasons", F.when(valid & (nth > 1), F.array(F.lit("duplicate_row"))).otherwise(F.col("error_reasons")))
 
 
@@ -53,6 +57,12 @@ def file_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_file").agg(total.alias("rows_total"), valid.alias("rows_valid"), (total - valid).alias("rows_rejected"), F.coalesce(F.try_divide((total - valid).cast("double"), total.cast("double")), F.lit(1.0)).alias("reject_rate"))
 
 
+def reject_reasons(rows: DataFrame) -> DataFrame:
+    """(source_file, reason, n): the rejected rows of each file by their first reason."""
+    first = F.get("error_reasons", F.lit(0))
+    return rows.where(first.isNotNull()).groupBy("source_file", first.alias("reason")).agg(F.count("*").alias("n"))
+
+
 def file_decision(stats: DataFrame, limit: float = 0.2) -> DataFrame:
     return stats.withColumn("status", F.when((F.col("rows_total") == 0) | (F.col("reject_rate") > limit), "quarantined").otherwise("loaded"))
 
@@ -67,13 +77,37 @@ def arrival(day: Column, arrived: Column, hour: int = 6, grace_hours: int = 1) -
 
 
 def csv_rows(spark, folder: str) -> DataFrame:
-    """(source_file, file_day, checksum, row_number, cells) of waiting lab files; undecodable or oddly headed files give one row without cells."""
+    """(source_file, file_day, checksum, good_header, row_number, the cells by name, wrong_count) of waiting lab files.
+
+    Rows are numbered from 1 as data rows; blank lines are none. Cells may be quoted. A row with more cells than the
+    header has ``wrong_count``; one with fewer lacks the last ones. Files that can't be decoded or whose name or header is
+    another give one row without number and cells.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "labs_*.csv").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     text = F.when(F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8"))
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: x != "")
-    header = F.lit("sample_id,patient_id,test_type,result_value,unit,reference_range,collected_at")
-    good = F.coalesce(F.get(lines, F.lit(0)) == header, F.lit(False))
+    good = F.coalesce(F.get(lines, F.lit(0)) == ",".join(LAB_COLUMNS), F.lit(False)) & file_day(name).isNotNull()
     base = files.select(name.alias("source_file"), file_day(name).alias("file_day"), F.sha2("content", 256).alias("checksum"), good.alias("good_header"), F.when(good, F.slice(lines, 2, 1 << 30)).alias("lines"))
     rows = base.select("source_file", "file_day", "checksum", "good_header", F.posexplode_outer("lines").alias("at", "line"))
-    return rows.select("source_file", "file_day", "checksum", "good_header", (F.col("at") + 1).alias("row_number"), F.split("line", ",").alias("cells"))
+    # a mark after the last cell tells a row of as many cells as the header from others
+    schema = ", ".join(f"{c} string" for c in (*LAB_COLUMNS, "mark"))
+    cells = rows.withColumn("c", F.from_csv(F.concat("line", F.lit(f",{_MARK}")), schema, {"mode": "PERMISSIVE"}))
+    short = F.array_contains(F.array(*[F.coalesce(F.col(f"c.{x}"), F.lit("")) for x in LAB_COLUMNS]), _MARK)
+    wrong = F.col("line").isNotNull() & ~short & ~F.coalesce(F.col("c.mark") == _MARK, F.lit(False))
+    return cells.select("source_file", "file_day", "checksum", "good_header", (F.col("at") + 1).alias("row_number"), *[F.nullif(F.col(f"c.{x}"), F.lit(_MARK)).alias(x) for x in LAB_COLUMNS], wrong.alias("wrong_count"))
+
+
+def checked_files(spark, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """The numbered rows of the files with ``error_reasons``: their count of cells, else the contract, else repeats in the file."""
+    rows = lab_errors(csv_rows(spark, folder).where("row_number is not null"), known)
+    wrong = F.when(F.col("wrong_count"), F.array(F.lit("wrong_column_count"))).otherwise(F.col("error_reasons"))
+    return file_duplicates(rows.withColumn("error_reasons", wrong))
+
+
+def file_checks(spark, folder: str, known: DataFrame | None = None, limit: float = 0.2) -> DataFrame:
+    """One row a waiting file: day, checksum, header, counts and status; one with another header or without rows is quarantined."""
+    files = csv_rows(spark, folder).select("source_file", "file_day", "checksum", "good_header").distinct()
+    stats = files.join(file_stats(checked_files(spark, folder, known)), "source_file", "left")
+    counted = stats.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows_total", "rows_valid", "rows_rejected")} | {"reject_rate": F.coalesce("reject_rate", F.lit(1.0))})
+    return file_decision(counted, limit)

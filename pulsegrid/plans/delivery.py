@@ -47,14 +47,11 @@ def deadletter_table(s, d):
 
 
 def _lab_rows(s, d):
-    unit = F.create_map(*[F.lit(x) for t, (u, *_) in rules.LAB_CATALOGUE.items() for x in (t, u)])
-    rows = q._coded_labs(s, d).withColumn("unit", F.coalesce(unit[F.col("test_type")], F.lit("mg/L")))
     name = F.concat(F.lit("labs_"), F.col("file_day").cast("string"), F.lit(".csv"))
-    return rows.withColumns({"source_file": name, "row_number": F.element_at(F.split("sample_id", "-"), 2).cast("int")})
+    return q._coded_labs(s, d).withColumn("source_file", name)
 
 
-_unit = "case test_type " + " ".join(f"when '{t}' then '{u}'" for t, (u, *_) in rules.LAB_CATALOGUE.items()) + " else 'mg/L' end"
-_MESSAGE_SQL = q.LAB_CODED_SQL + f", full_rows as (select *, {_unit} as unit, 'labs_' || file_day || '.csv' as source_file, split_part(sample_id, '-', 2)::int as row_number from coded)"
+_MESSAGE_SQL = q.LAB_CODED_SQL + ", full_rows as (select *, 'labs_' || file_day || '.csv' as source_file from coded)"
 
 
 @query("with " + _MESSAGE_SQL + """ select patient_id as key, to_json({'sample_id': sample_id, 'patient_id': patient_id, 'test_type': test_type, 'result_value': value, 'unit': unit, 'reference_range': reference_range,

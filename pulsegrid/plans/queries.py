@@ -72,7 +72,7 @@ def _tier_sql(score, red):
     return f"case when {score} >= 7 then 'HIGH' when {score} >= 5 or {red} then 'MEDIUM' else 'LOW' end"
 
 
-_breach = {a: f"{v} {how} {limit}" for a, (v, how, limit, _) in rules.THRESHOLDS.items()}
+_breach = {a: f"{v} {how} {limit}" for a, (v, how, limit, *_) in rules.THRESHOLDS.items()}
 STATS_SQL = fx.READINGS_SQL + """,
 stats as (
   select patient_id, time_bucket(interval '1 day', event_time, timestamp '1970-01-01') as ws, count(*) as n_readings, """ + ", ".join(
@@ -111,10 +111,10 @@ scores as (select *, {_tier_sql('total_score', 'ews_red')} as risk_tier from com
 _id = "substr(sha256(patient_id || '|' || alert_type || '|' || strftime(ws, " + FMT + ")), 1, 32)"
 ALERTS_SQL = SCORES_SQL + """,
 raised as (""" + " union all ".join(
-    f"select patient_id, ws, ws + interval '1 day' as we, '{a}' as alert_type, '{sev}' as severity, {v}_{'max' if how == '>' else 'min'}::double as observed_value, {float(limit)}::double as threshold from stats where breach_{a} >= 2"
-    for a, (v, how, limit, sev) in rules.THRESHOLDS.items()) + """
-  union all select patient_id, ws, ws + interval '1 day', 'RISK_HIGH', 'critical', total_score::double, 7.0::double from scores where risk_tier = 'HIGH'
-  union all select patient_id, ws, we, 'TREND_DETERIORATING', 'medium', worse, 5.0::double from trends where trend = 'deteriorating'),
+    f"select patient_id, ws, ws + interval '1 day' as we, '{a}' as alert_type, '{sev}' as severity, {v}_{'max' if how == '>' else 'min'}::double as observed_value, {float(limit)}::double as threshold, printf('{v} {how} {limit}: worst %.1f, %d readings in window', {v}_{'max' if how == '>' else 'min'}::double, breach_{a}) as message from stats where breach_{a} >= {least}"
+    for a, (v, how, limit, least, sev) in rules.THRESHOLDS.items()) + """
+  union all select patient_id, ws, ws + interval '1 day', 'RISK_HIGH', 'critical', total_score::double, 7.0::double, printf('risk score %d (EWS %d + labs %d + trend %d)', total_score, ews_score::int, lab_adjustment, case when trend = 'deteriorating' then 1 else 0 end) from scores where risk_tier = 'HIGH'
+  union all select patient_id, ws, we, 'TREND_DETERIORATING', 'medium', worse, 5.0::double, printf('sustained deterioration over 4 h (index %.1f; HR %+.1f/h, SpO2 %+.2f/h, SBP %+.1f/h, T %+.2f/h)', worse, heart_rate_slope, spo2_slope, systolic_bp_slope, temperature_slope) from trends where trend = 'deteriorating'),
 alerts as (select *, """ + _id + " as alert_id from raised)"
 
 
@@ -294,49 +294,77 @@ def deadletter_parse(s, d):
 
 
 # Labs -------------------------------------------------------------------------------------------------------------
-LAB_RAW_SQL = fx.LABS_SQL + """,
-faulted as (select *, case when split_part(sample_id, '-', 1)::bigint % 33 = 0 then (split_part(sample_id, '-', 1)::bigint // 33 + split_part(sample_id, '-', 2)::bigint) % 8 end as fault from labs),
+LAB_FAULTS = 11
+LAB_RAW_SQL = fx.LABS_SQL + "," + fx.ROSTER_SQL + f""",
+faulted as (select *, split_part(sample_id, '-', 2)::int as row_number, case when split_part(sample_id, '-', 1)::bigint % 33 = 0 then (split_part(sample_id, '-', 1)::bigint // 33 + split_part(sample_id, '-', 2)::bigint) % {LAB_FAULTS} end as fault from labs),
 raw_labs as (
-  select sample_id, case when fault = 0 then '' when fault = 1 then 'X9' else patient_id end as patient_id, case when fault = 4 then 'GLU' else test_type end as test_type,
+  select sample_id, row_number, case when fault = 0 then '' when fault = 1 then 'X9' when fault = 10 then 'P950' else patient_id end as patient_id, case when fault = 4 then 'GLU' else test_type end as test_type,
     case when fault = 2 then 'haemolysed' when fault = 3 then '99999999' else round(result_value, 3)::varchar end as result_value,
+    case when fault = 8 then ' ' else case test_type """ + " ".join(f"when '{t}' then '{u}'" for t, (u, *_) in rules.LAB_CATALOGUE.items()) + """ end end as unit,
     case when fault = 5 then 'normal' else reference_range end as reference_range,
-    case when fault = 6 then 'morning' else strftime(collected_at, '%Y-%m-%d %H:%M:%S') end as collected_at, case when fault = 7 then file_day + 1 else file_day end as file_day
+    case when fault = 6 then 'morning' when fault = 9 then strftime(collected_at, '%Y-%m-%dT%H:%M:%S') else strftime(collected_at, '%Y-%m-%dT%H:%M:%SZ') end as collected_at,
+    case when fault = 7 then file_day + 1 else file_day end as file_day, case when fault = 8 then null else 1 end as schema_version
   from faulted)"""
 _plausible = " or ".join(f"(test_type = '{t}' and value between {lo} and {hi})" for t, (_, lo, hi) in rules.LAB_CATALOGUE.items())
 _tests = ", ".join(f"'{t}'" for t in rules.LAB_CATALOGUE)
-LAB_CODED_SQL = LAB_RAW_SQL + f""",
-cast_labs as (select *, try_cast(result_value as double) as value, try_cast(collected_at as timestamp) as cat from raw_labs),
-coded as (
-  select *, list_filter([case when patient_id = '' then 'missing:patient_id' end, case when patient_id <> '' and not regexp_full_match(patient_id, 'P[0-9]{{3}}') then 'bad_patient_id' end,
-    case when test_type not in ({_tests}) then 'unknown_test' end, case when value is null then 'non_numeric_result' end,
+_ID = "case when patient_id <> '' and not regexp_full_match(patient_id, 'P[0-9]{3}') then 'bad_patient_id' end"
+_UNKNOWN = "case when regexp_full_match(patient_id, 'P[0-9]{3}') and patient_id not in (select patient_id from roster) then 'unknown_patient' end"
+_CONTENT = f"""case when test_type not in ({_tests}) then 'unknown_test' end, case when value is null then 'non_numeric_result' end,
     case when test_type in ({_tests}) and value is not null and not ({_plausible}) then 'implausible_result' end,
     case when reference_range = 'normal' then 'bad_reference_range' end, case when cat is null then 'bad_collected_at' end,
-    case when cat::date <> file_day then 'collected_outside_file_day' end], lambda x: x is not null) as codes from cast_labs)"""
+    case when cat::date <> file_day then 'collected_outside_file_day' end"""
+_BLANK = "case when patient_id = '' then 'missing:patient_id' end, case when trim(unit) = '' then 'missing:unit' end"
+LAB_CODED_SQL = LAB_RAW_SQL + f""",
+cast_labs as (select *, try_cast(result_value as double) as value, case when collected_at like '%Z' then try_cast(rtrim(collected_at, 'Z') as timestamp) end as cat from raw_labs),
+coded as (select *, list_filter([{_BLANK}, {_ID}, {_UNKNOWN}, {_CONTENT}], lambda x: x is not null) as codes,
+  list_filter([{_BLANK}, case when schema_version is null then 'missing:schema_version' end, {_ID}, {_CONTENT}, {_UNKNOWN}], lambda x: x is not null) as message_codes from cast_labs)"""
 
 
 def _raw_labs(s, d):
+    """Lab cells of which some are faulty, by kind."""
     parts = F.split("sample_id", "-")
-    fault = F.when(F.get(parts, F.lit(0)).cast("long") % 33 == 0, ((F.get(parts, F.lit(0)).cast("long") / 33).cast("long") + F.get(parts, F.lit(1)).cast("long")) % 8)
-    l = fx.labs(s, d).withColumn("fault", fault)
+    fault = F.when(F.get(parts, F.lit(0)).cast("long") % 33 == 0, ((F.get(parts, F.lit(0)).cast("long") / 33).cast("long") + F.get(parts, F.lit(1)).cast("long")) % LAB_FAULTS)
+    l = fx.labs(s, d).withColumns({"fault": fault, "row_number": F.get(parts, F.lit(1)).cast("int")})
     is_ = lambda n: F.col("fault") == n
+    unit = F.create_map(*[F.lit(x) for t, (u, *_) in rules.LAB_CATALOGUE.items() for x in (t, u)])
     return l.select(
-        "sample_id", F.when(is_(0), "").when(is_(1), "X9").otherwise(F.col("patient_id")).alias("patient_id"), F.when(is_(4), "GLU").otherwise(F.col("test_type")).alias("test_type"),
-        F.when(is_(2), "haemolysed").when(is_(3), "99999999").otherwise(F.round("result_value", 3).cast("string")).alias("result_value"),
-        F.when(is_(5), "normal").otherwise(F.col("reference_range")).alias("reference_range"), F.when(is_(6), "morning").otherwise(at("collected_at")).alias("collected_at"),
-        F.when(is_(7), F.date_add("file_day", 1)).otherwise(F.col("file_day")).alias("file_day"),
+        "sample_id", "row_number", F.when(is_(0), "").when(is_(1), "X9").when(is_(10), "P950").otherwise(F.col("patient_id")).alias("patient_id"), F.when(is_(4), "GLU").otherwise(F.col("test_type")).alias("test_type"),
+        F.when(is_(2), "haemolysed").when(is_(3), "99999999").otherwise(F.round("result_value", 3).cast("string")).alias("result_value"), F.when(is_(8), " ").otherwise(unit[F.col("test_type")]).alias("unit"),
+        F.when(is_(5), "normal").otherwise(F.col("reference_range")).alias("reference_range"),
+        F.when(is_(6), "morning").when(is_(9), F.date_format("collected_at", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("collected_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("collected_at"),
+        F.when(is_(7), F.date_add("file_day", 1)).otherwise(F.col("file_day")).alias("file_day"), F.when(is_(8), None).otherwise(1).alias("schema_version"),
     )
 
 
 def _coded_labs(s, d):
-    return val.lab_errors(_raw_labs(s, d))
+    return val.lab_errors(_raw_labs(s, d), fx.roster(s, d))
 
 
-@query("with " + LAB_CODED_SQL + " select sample_id, test_type, result_value, array_to_string(codes, ',') as errors from coded")
+def _lab_messages(s, d):
+    """The cells as JSON messages; results that are numbers are JSON numbers."""
+    cells = _raw_labs(s, d)
+    number = F.col("result_value").try_cast("double").isNotNull()
+    result = F.when(number, F.col("result_value")).otherwise(F.concat(F.lit('"'), F.col("result_value"), F.lit('"')))
+    rest = F.to_json(F.struct("sample_id", "patient_id", "test_type", "unit", "reference_range", "collected_at", "schema_version", F.concat(F.lit("labs_"), F.col("file_day").cast("string"), F.lit(".csv")).alias("source_file"), F.col("file_day").cast("string").alias("file_day"), "row_number"))
+    text = F.concat(F.lit('{"result_value":'), result, F.lit(","), F.substring(rest, 2, 1 << 20))
+    return cells.select(F.col("patient_id").cast("binary").alias("key"), text.cast("binary").alias("value"), F.lit("labs.raw").alias("topic"), F.lit(0).alias("partition"), F.col("row_number").cast("long").alias("offset"))
+
+
+@query("with " + LAB_CODED_SQL + """, b as (select *, case when reference_range = 'normal' then null when reference_range like '<%' then 0 else split_part(reference_range, '-', 1)::double end as low,
+  case when reference_range = 'normal' then null when reference_range like '<%' then substr(reference_range, 2)::double else split_part(reference_range, '-', 2)::double end as high from coded)
+  select sample_id, patient_id, test_type, value as result_value, unit, low as ref_low, high as ref_high, case when value < low then 'L' when value > high then 'H' else 'N' end as abnormal_flag,
+    strftime(cat, '%Y-%m-%d %H:%M:%S') as collected_at, file_day::varchar as file_day, 'labs_' || file_day || '.csv' as source_file, array_to_string(message_codes, ',') as errors from b""")
 def parse_labs(s, d):
+    rows = val.parse_labs(_lab_messages(s, d), fx.roster(s, d))
+    return rows.select("sample_id", "patient_id", "test_type", "result_value", "unit", "ref_low", "ref_high", "abnormal_flag", at("collected_at").alias("collected_at"), F.col("file_day").cast("string").alias("file_day"), "source_file", F.array_join("error_reasons", ",").alias("errors"))
+
+
+@query("with " + LAB_CODED_SQL + " select sample_id, test_type, result_value, array_to_string(codes, ',') as errors from coded")
+def lab_csv_validate(s, d):
     return _coded_labs(s, d).select("sample_id", "test_type", "result_value", F.array_join("error_reasons", ",").alias("errors"))
 
 
-for _name, _c in {"err_missing_blank": "missing:patient_id", "err_unknown_test": "unknown_test", "err_non_numeric": "non_numeric_result", "err_implausible": "implausible_result", "err_reference_range": "bad_reference_range", "err_collected_at": "bad_collected_at", "err_file_day": "collected_outside_file_day"}.items():
+for _name, _c in {"err_missing_blank": "missing:unit", "err_unknown_test": "unknown_test", "err_non_numeric": "non_numeric_result", "err_implausible": "implausible_result", "err_reference_range": "bad_reference_range", "err_collected_at": "bad_collected_at", "err_file_day": "collected_outside_file_day"}.items():
     QUERIES[_name] = lambda s, d, c=_c: _coded_labs(s, d).where(F.array_contains("error_reasons", c)).select("sample_id", "test_type", "result_value")
     ORACLES[_name] = "with " + LAB_CODED_SQL + f" select sample_id, test_type, result_value from coded where list_contains(codes, '{_c}')"
 
@@ -390,6 +418,11 @@ def lab_file_stats(s, d):
     return tables.file_stats(_lab_files(s, d)).withColumn("reject_rate", F.round("reject_rate", 6))
 
 
+@query("with " + _FILES_SQL + " select source_file, case when good then 'duplicate_row' else codes[1] end as reason, count(*) as n from dups where not (good and nth = 1) group by 1, 2")
+def lab_reject_reasons(s, d):
+    return tables.reject_reasons(_lab_files(s, d))
+
+
 @query("with " + _FILES_SQL + " select source_file, case when (rows_total - rows_valid)::double / rows_total > 0.02 then 'quarantined' else 'loaded' end as status from fstats")
 def lab_file_decision(s, d):
     return tables.file_decision(tables.file_stats(_lab_files(s, d)), 0.02).select("source_file", "status")

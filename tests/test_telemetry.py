@@ -84,12 +84,41 @@ def test_reference_ranges(spark):
 
 def test_files_of_a_folder(spark, tmp_path):
     head = "sample_id,patient_id,test_type,result_value,unit,reference_range,collected_at\n"
-    (tmp_path / "labs_2026-01-03.csv").write_text(head + "a,P001,CRP,3,mg/L,<5,2026-01-03T08:00:00Z\n")
+    rest = 'CRP,3,mg/L,<5,2026-01-03T08:00:00Z\n'
+    rows = ["a,P001," + rest, "\n", '"b, 2",P001,"CRP",3,mg/L,"<5",2026-01-03T08:00:00Z\n', "c,P001," + rest.strip() + ",more\n", "d,P001," + rest.strip() + ",\n", "e,P001,CRP\n", "a,P001, crp" + rest[3:], "f,P950," + rest, "g,P001,CRP,3,mg/L,<5,2026-01-03T08:00:00\n"]
+    (tmp_path / "labs_2026-01-03.csv").write_text(head + "".join(rows))
     (tmp_path / "labs_2026-01-04.csv").write_text("wrong\nx\n")
     (tmp_path / "labs_2026-01-05.csv").write_bytes(b"\xff\xfe")
-    rows = {r["source_file"]: r for r in tables.csv_rows(spark, str(tmp_path)).collect()}
-    assert rows["labs_2026-01-03.csv"]["cells"][2] == "CRP" and rows["labs_2026-01-03.csv"]["row_number"] == 1
-    assert not rows["labs_2026-01-04.csv"]["good_header"] and not rows["labs_2026-01-05.csv"]["good_header"]
+    (tmp_path / "labs_2026-01-06.csv").write_text(head)
+    known = spark.createDataFrame([("P001",)], "patient_id string")
+    got = {r["row_number"]: r for r in tables.checked_files(spark, str(tmp_path), known).collect()}
+    assert {n: r["error_reasons"] for n, r in got.items()} == {
+        1: [], 2: [], 3: ["wrong_column_count"], 4: ["wrong_column_count"], 5: [f"missing:{c}" for c in ("result_value", "unit", "reference_range", "collected_at")],
+        6: ["duplicate_row"], 7: ["unknown_patient"], 8: ["bad_collected_at"],
+    }
+    assert got[2]["sample_id"] == "b, 2"
+    files = {r["source_file"]: r for r in tables.file_checks(spark, str(tmp_path), known, 0.8).collect()}
+    assert [(files[f"labs_2026-01-0{i}.csv"]["status"], files[f"labs_2026-01-0{i}.csv"]["rows_total"], files[f"labs_2026-01-0{i}.csv"]["good_header"]) for i in (3, 4, 5, 6)] == [("loaded", 8, True), ("quarantined", 0, False), ("quarantined", 0, False), ("quarantined", 0, True)]
+    assert {tuple(r)[1:] for r in tables.reject_reasons(tables.checked_files(spark, str(tmp_path), known)).collect()} == {("wrong_column_count", 2), ("missing:result_value", 1), ("duplicate_row", 1), ("unknown_patient", 1), ("bad_collected_at", 1)}
+
+
+LAB = {"sample_id": "s", "patient_id": "P001", "test_type": " crp ", "result_value": 181.9, "unit": "mg/L", "reference_range": "<5", "collected_at": "2026-01-03T08:00:00Z", "schema_version": 1, "source_file": "labs_2026-01-03.csv", "file_day": "2026-01-03", "row_number": 1}
+
+
+@pytest.mark.parametrize(
+    ("change", "codes", "flag"),
+    [
+        ({}, [], "H"), ({"test_type": "WBC", "result_value": 3.1, "reference_range": "4.0-11.0"}, [], "L"), ({"test_type": "POTASSIUM", "result_value": 4.2, "reference_range": "3.5-5.3"}, [], "N"),
+        ({"result_value": "181.9"}, ["non_numeric_result"], "H"), ({"result_value": None}, ["missing:result_value"], "N"), ({"unit": " "}, ["missing:unit"], "H"), ({"row_number": None}, ["missing:row_number"], "H"),
+        ({"patient_id": "P950"}, ["unknown_patient"], "H"), ({"patient_id": 7}, ["bad_patient_id"], "H"), ({"test_type": "GLU"}, ["unknown_test"], "H"), ({"result_value": 501}, ["implausible_result"], "H"),
+        ({"reference_range": "normal"}, ["bad_reference_range"], "N"), ({"collected_at": "2026-01-03 08:00:00"}, ["bad_collected_at"], "H"), ({"file_day": "2026-01-04"}, ["collected_outside_file_day"], "H"), ("[1]", ["not_an_object"], "N"), ("{", ["invalid_json"], "N"),
+    ],
+)
+def test_lab_contract(spark, change, codes, flag):
+    text = change if isinstance(change, str) else json.dumps(LAB | change)
+    raw = spark.createDataFrame([(b"P001", text.encode(), "labs.raw", 0, 0)], "key binary, value binary, topic string, partition int, offset long")
+    row = validation.parse_labs(raw, spark.createDataFrame([("P001",)], "patient_id string")).first()
+    assert (row["error_reasons"], row["abnormal_flag"]) == (codes, flag)
 
 
 def test_resolve_and_monitors(spark):
