@@ -64,23 +64,32 @@ def significant(value: Column, digits: int = 6) -> Column:
 
 
 def latest_results(windows_with_labs: DataFrame) -> DataFrame:
-    """(patient_id, window_start, labs): the latest result of each test as an array by test, with value and flag."""
-    newest = F.max(F.struct("collected_at", "sample_id", "result_value", "reference_range")).alias("r")
+    """(patient_id, window_start, labs): the latest result of each test as an array by test, with value, unit, range, flag and time."""
+    newest = F.max(F.struct("collected_at", "sample_id", "result_value", "reference_range", "unit")).alias("r")
     each = windows_with_labs.groupBy("patient_id", "window_start", "test_type").agg(newest)
     flag = rules.abnormal_flag(F.col("r.result_value"), rules.reference_range(F.col("r.reference_range")))
-    entry = F.struct("test_type", F.col("r.result_value").alias("value"), F.coalesce(flag, F.lit("N")).alias("flag"))
+    entry = F.struct("test_type", F.col("r.result_value").alias("value"), "r.unit", F.col("r.reference_range").alias("range"), flag.alias("flag"), "r.collected_at")
     return each.groupBy("patient_id", "window_start").agg(F.sort_array(F.collect_list(entry)).alias("labs"))  # a row a test
 
 
+def labs_map(labs: Column) -> Column:
+    """The latest results as a map by test."""
+    value = lambda x: F.struct(x["value"].alias("value"), x["unit"].alias("unit"), x["range"].alias("range"), x["flag"].alias("flag"), x["collected_at"].alias("collected_at"))
+    return F.map_from_entries(F.transform(labs, lambda x: F.struct(x["test_type"], value(x))))
+
+
 def labs_text(labs: Column) -> Column:
-    """``TEST=v(H); ...`` in the order of the tests; normal results carry no flag."""
-    one = lambda x: F.concat(x["test_type"], F.lit("="), significant(x["value"]), F.when(x["flag"] == "N", "").otherwise(F.concat(F.lit("("), x["flag"], F.lit(")"))))
-    return F.array_join(F.transform(labs, one), "; ")
+    """``TEST=v(H); ...`` of a map of latest results, in the order of the tests; normal results carry no flag."""
+    one = lambda x: F.concat(x["key"], F.lit("="), significant(x["value"]["value"]), F.when(x["value"]["flag"] == "N", "").otherwise(F.concat(F.lit("("), x["value"]["flag"], F.lit(")"))))
+    return F.array_join(F.transform(F.array_sort(F.map_entries(labs), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), one), "; ")
 
 
-def report_csv(report: DataFrame, flags: DataFrame, labs: DataFrame) -> DataFrame:
-    """The report with ``lab_flags`` joined by a pipe and ``labs_latest`` as text; ``write.csv`` commits it as a whole."""
-    keys = ["report_date", "patient_id"]
-    joined = report.join(flags, keys, "left").join(labs, keys, "left")
+def report_csv(report: DataFrame) -> DataFrame:
+    """The report as cells: ``lab_flags`` joined by a pipe and ``labs`` as text in ``labs_latest``."""
     text = F.coalesce(labs_text(F.col("labs")), F.lit(""))
-    return joined.withColumns({"lab_flags": F.coalesce(F.array_join("lab_flags", "|"), F.lit("")), "labs_latest": text}).drop("labs")
+    return report.withColumns({"lab_flags": F.array_join("lab_flags", "|"), "labs_latest": text}).drop("labs")
+
+
+def write_report_csv(report: DataFrame, path: str) -> None:
+    """One CSV file of a day's report, in its order; Spark's commit replaces the folder as a whole."""
+    report_csv(report).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)

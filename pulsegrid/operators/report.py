@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import rules
 
+EXTREMES = {"heart_rate_max": F.max, "spo2_min": F.min, "systolic_bp_min": F.min, "temperature_max": F.max}
+COUNTS = ("windows", "readings", "hours_high", "hours_medium", "deteriorating_windows", "alerts_critical", "alerts_high", "alerts_medium")
+#: The columns of the report, in order.
+COLUMNS = (
+    "report_date", "patient_id", "bed", "windows", "readings", "ews_peak", "hours_high", "hours_medium", "heart_rate_max", "spo2_min", "systolic_bp_min", "temperature_max", "last_trend", "deteriorating_windows", "max_index",
+    "alerts_critical", "alerts_high", "alerts_medium", "labs", "labs_status", "ews_end", "red_flag", "trend_adjustment", "vitals_score", "total_score", "lab_adjustment", "lab_flags", "vitals_only_tier", "risk_tier", "tier_change",
+)
 
-def daily_vitals(scores: DataFrame, day: Column) -> DataFrame:
-    """Counts, peaks and extremes of a patient's windows in a day, and averages weighted by readings."""
-    n = F.col("n_readings")
-    weighted = [F.try_divide(F.sum(F.col(f"{v}_avg") * n), F.sum(n).cast("double")).alias(f"{v}_tail") for v in rules.BANDS]
+
+def daily_vitals(scores: DataFrame, day: Column, tail_hours: int = 4) -> DataFrame:
+    """Counts, peaks and extremes of a patient's windows in a day, and averages of the day's last hours weighted by readings."""
+    ends = day.cast("timestamp") + F.expr(f"interval {24 - tail_hours} hours")
+    n = F.when(F.col("window_start") >= ends, F.col("n_readings"))
+    tails = [F.try_divide(F.sum(F.col(f"{v}_avg") * n), F.sum(n).cast("double")).alias(f"{v}_tail") for v in rules.BANDS]
     return scores.groupBy(day.alias("report_date"), "patient_id").agg(
         F.count("*").alias("windows"), F.sum("n_readings").alias("readings"), F.max("ews_score").alias("ews_peak"), F.count_if(F.col("risk_tier") == "HIGH").alias("hours_high"),
-        F.count_if(F.col("risk_tier") == "MEDIUM").alias("hours_medium"), F.min("spo2_min").alias("spo2_min"), F.max("heart_rate_max").alias("heart_rate_max"), *weighted,
+        F.count_if(F.col("risk_tier") == "MEDIUM").alias("hours_medium"), *[f(c).alias(c) for c, f in EXTREMES.items()], *tails,
     )
 
 
@@ -30,27 +39,42 @@ def daily_alerts(alerts: DataFrame, day: Column) -> DataFrame:
     return alerts.groupBy(day.alias("report_date"), "patient_id").agg(*[F.count_if(F.col("severity") == s).alias(f"alerts_{s}") for s in ("critical", "high", "medium")])
 
 
-def labs_map(labs: DataFrame) -> DataFrame:
-    """The latest result of each test as a map, by patient."""
-    latest = labs.groupBy("patient_id", "test_type").agg(F.max(F.struct("collected_at", "sample_id", "result_value")).alias("r"))
-    return latest.groupBy("patient_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("test_type", "r.result_value")))).alias("labs"))
+def day_windows(days: DataFrame, patients: DataFrame) -> DataFrame:
+    """A window of each day for each patient, also those without readings: both are few."""
+    start = F.col("report_date").cast("timestamp")
+    return days.select("report_date").crossJoin(patients.select("patient_id")).select("report_date", "patient_id", start.alias("window_start"), (start + F.expr("interval 1 day")).alias("window_end"))
+
 
+def build_report(roster: DataFrame, days: DataFrame, vitals: DataFrame, trends: DataFrame, alerts: DataFrame, adjustments: DataFrame, labs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row a day and active patient, COLUMNS and the scenario, by day and then the highest tier and score first.
 
-def build_report(roster: DataFrame, days: DataFrame, vitals: DataFrame, trends: DataFrame, alerts: DataFrame, adjustments: DataFrame) -> DataFrame:
-    """One row a day and active patient: tiers without and with labs and their change; NO_DATA without windows."""
+    The vitals score is of the day's last hours and trend, the total one of labs, too; without windows both are null and
+    the tier is NO_DATA. ``ledger`` has file_day, status and arrival, at most a row a day.
+    """
     keys = ["report_date", "patient_id"]
-    base = days.join(roster.where("active").select("patient_id", "scenario"))
-    joined = base.join(vitals, keys, "left").join(trends, keys, "left").join(alerts, keys, "left").join(adjustments, keys, "left")
-    score, red = rules.early_warning({v: F.col(f"{v}_tail") for v in rules.BANDS})
-    adjusted = score + F.coalesce(F.col("lab_adjustment"), F.lit(0))
+    base = day_windows(days, roster.where("active")).select(*keys).join(roster.select("patient_id", "bed", "scenario"), "patient_id")
+    joined = base
+    for part in (vitals, trends, alerts, adjustments, labs):
+        joined = joined.join(part, keys, "left")
+    came = ledger.select(F.col("file_day").alias("report_date"), F.concat_ws("/", "status", "arrival").alias("labs_status"))
+    joined = joined.join(came, "report_date", "left")
     have = F.col("windows").isNotNull()
-    done = joined.withColumns({
-        "vitals_score": F.when(have, score), "total_score": F.when(have, adjusted.cast("int")),
-        "vitals_only_tier": F.when(have, rules.tier(score, red)).otherwise("NO_DATA"), "risk_tier": F.when(have, rules.tier(adjusted, red)).otherwise("NO_DATA"),
+    score, red = rules.early_warning({v: F.col(f"{v}_tail") for v in rules.BANDS})
+    first = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in COUNTS} | {
+        "have": have, "ews_end": F.when(have, score), "red_flag": have & red, "last_trend": F.coalesce("last_trend", F.lit("unknown")), "lab_adjustment": F.coalesce("lab_adjustment", F.lit(0)),
+        "lab_flags": F.coalesce("lab_flags", F.array().cast("array<string>")), "labs_status": F.coalesce("labs_status", F.lit("not_received")),
     })
-    change = F.when(~have, "no_data").when(rules.tier_rank(F.col("risk_tier")) > rules.tier_rank(F.col("vitals_only_tier")), "escalated").otherwise("unchanged")
-    zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("windows", "readings", "hours_high", "hours_medium", "deteriorating_windows", "alerts_critical", "alerts_high", "alerts_medium")]
-    return done.select(*keys, "scenario", "vitals_score", "total_score", "vitals_only_tier", "risk_tier", change.alias("tier_change"), F.coalesce("last_trend", F.lit("unknown")).alias("last_trend"), *zero)
+    scored = first.withColumn("trend_adjustment", (F.col("have") & (F.col("last_trend") == "deteriorating")).cast("int")).withColumn("vitals_score", F.col("ews_end") + F.col("trend_adjustment"))
+    scored = scored.withColumn("total_score", (F.col("vitals_score") + F.col("lab_adjustment")).cast("int"))
+    named = scored.withColumns({name: F.when(F.col("have"), rules.tier(F.col(c), F.col("red_flag"))).otherwise("NO_DATA") for name, c in (("vitals_only_tier", "vitals_score"), ("risk_tier", "total_score"))})
+    higher = rules.tier_rank(F.col("risk_tier")) > rules.tier_rank(F.col("vitals_only_tier"))
+    done = named.withColumn("tier_change", F.when(~F.col("have"), "no_data").when(higher, "escalated").otherwise("unchanged"))
+    return done.select(*COLUMNS, "scenario").orderBy("report_date", F.desc(rules.tier_rank(F.col("risk_tier"))), F.desc_nulls_last("total_score"), "patient_id")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Replace the days of ``report`` in the table at ``path``, whose partitions are days; other days stay."""
+    report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report_date").parquet(path)
 
 
 def report_summary(report: DataFrame) -> DataFrame:

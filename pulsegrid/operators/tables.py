@@ -12,6 +12,15 @@ from pulsegrid.functions.validation import LAB_COLUMNS, lab_errors
 _MARK = "\u0001"
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """``df``, computed once for all that follows: in the shared checkpoint folder where the session has one, else in the executors' storage."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None and folder:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+
+
 def resolve(log: DataFrame, key: Sequence[str], order: Sequence[str], first: bool = False) -> DataFrame:
     """One row a key: the last by ``order`` (last write wins), or the first (insert if absent). Partial aggregates combine before the shuffle."""
     rest = [c for c in log.columns if c not in key]

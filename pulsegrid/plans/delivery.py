@@ -123,10 +123,9 @@ def _day():
     return F.to_date("window_start")
 
 
-@query("with " + q.SCORES_SQL + """ select ws::date::varchar as report_date, patient_id, count(*) as windows, sum(n_readings)::bigint as readings, max(ews_score)::int as ews_peak, count(*) filter (where risk_tier = 'HIGH') as hours_high,
-  count(*) filter (where risk_tier = 'MEDIUM') as hours_medium, min(spo2_min) as spo2_min, max(heart_rate_max) as heart_rate_max, """ + ", ".join(f"round(sum({v}_avg * n_readings) / sum(n_readings)::double, 5) as {v}_tail" for v in rules.BANDS) + " from scores group by 1, 2")
+@query("with " + q.SCORES_SQL + "," + q.HOURLY_SQL + "," + q.VITALS_DAY_SQL + " select * exclude (report_date, " + ", ".join(f"{v}_tail" for v in rules.BANDS) + "), report_date::varchar as report_date, " + ", ".join(f"round({v}_tail, 5) as {v}_tail" for v in rules.BANDS) + " from dv")
 def daily_vitals(s, d):
-    days = report.daily_vitals(q._scores(s, d), _day())
+    days = report.daily_vitals(q._built(s, d, "1 hour")[2], _day())
     return days.withColumns({"report_date": F.col("report_date").cast("string")} | {f"{v}_tail": F.round(f"{v}_tail", 5) for v in rules.BANDS})
 
 
@@ -158,7 +157,7 @@ def labs_48h_latest(s, d):
 
 def _window_labs(s, d):
     ends = q._stats(s, d).select("patient_id", "window_start", "window_end")
-    return delivery.latest_results(windows.range_join(ends, fx.labs(s, d), "collected_at", F.expr("interval 48 hours"), 2 * DAY))
+    return delivery.latest_results(windows.range_join(ends, q._labs(s, d), "collected_at", F.expr("interval 48 hours"), 2 * DAY))
 
 
 _range = "case test_type " + " ".join(f"when '{t}' then '{r}'" for t, r in zip(fx.TESTS, fx.RANGE_TEXTS)) + " end"
@@ -171,15 +170,14 @@ texts as (select patient_id, ws, string_agg(test_type || '=' || format('{{:g}}',
 
 @query("with " + q.STATS_SQL + "," + fx.LABS_SQL + "," + q.ADJUST_SQL + "," + _TEXTS_SQL + f" select patient_id, strftime(ws, {FMT}) as window_start, n as tests, labs_latest from texts")
 def labs_map(s, d):
-    return _window_labs(s, d).select("patient_id", at("window_start").alias("window_start"), F.size("labs").cast("long").alias("tests"), delivery.labs_text(F.col("labs")).alias("labs_latest"))
+    return _window_labs(s, d).select("patient_id", at("window_start").alias("window_start"), F.size("labs").cast("long").alias("tests"), delivery.labs_text(delivery.labs_map(F.col("labs"))).alias("labs_latest"))
 
 
-@query("with " + q.REPORT_SQL + "," + _TEXTS_SQL + """ select report.*, coalesce(array_to_string(a.flags, '|'), '') as lab_flags, coalesce(t.labs_latest, '') as labs_latest
-  from report left join adjust a on a.patient_id = report.patient_id and a.ws::date::varchar = report.report_date left join texts t on t.patient_id = report.patient_id and t.ws::date::varchar = report.report_date""")
+@query("with " + q.REPORT_SQL + "," + _TEXTS_SQL.replace("latest48", "dlab").replace("patient_id, ws,", "patient_id, report_date,") + """ select report.* exclude (tests), coalesce(t.labs_latest, '') as labs_latest
+  from report left join texts t on t.patient_id = report.patient_id and t.report_date::varchar = report.report_date""")
 def report_csv_rows(s, d):
-    flags = q._scores(s, d).select(_day().alias("report_date"), "patient_id", "lab_flags")
-    labs = _window_labs(s, d).select(_day().alias("report_date"), "patient_id", "labs")
-    return delivery.report_csv(q._report(s, d), flags, labs).withColumn("report_date", F.col("report_date").cast("string"))
+    cells = delivery.report_csv(q._report(s, d))
+    return cells.withColumns({"report_date": F.col("report_date").cast("string"), "max_index": F.round("max_index", 4)})
 
 
 # Serving --------------------------------------------------------------------------------------------------------------

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import rules
 from pulsegrid.functions import validation as val
-from pulsegrid.operators import monitors, report, serving, tables, windows
+from pulsegrid.operators import delivery, monitors, report, serving, tables, windows
 from pulsegrid.sources import fixtures as fx
 
 DAY = 86400
@@ -36,14 +38,28 @@ def _trends(s, d):
     return windows.with_trend(windows.sliding_slopes(fx.readings(s, d), "4 days", "1 day", DAY), 20)
 
 
+def _labs(s, d):
+    """The results that look-backs of whole hours can need."""
+    return windows.newest_by_grain(fx.labs(s, d).select("patient_id", "test_type", "collected_at", "sample_id", "result_value", "reference_range", "unit"))
+
+
+def _built(s, d, length="1 day"):
+    """Statistics, trends and scores, each computed once."""
+    stats = tables.materialised(windows.tumbling_stats(fx.readings(s, d), length))
+    trends = tables.materialised(_trends(s, d))
+    return stats, trends, tables.materialised(windows.window_scores(stats, windows.lab_adjustments(stats, _labs(s, d)), windows.latest_trend(stats, trends, 48)))
+
+
 def _scores(s, d):
-    stats = _stats(s, d)
-    return windows.window_scores(stats, windows.lab_adjustments(stats, fx.labs(s, d)), windows.latest_trend(stats, _trends(s, d), 48))
+    return _built(s, d)[2]
+
+
+def _raised(stats, trends, scores):
+    return windows.threshold_alerts(stats).unionByName(windows.risk_alerts(scores)).unionByName(windows.trend_alerts(trends))
 
 
 def _alerts(s, d):
-    cols = ["patient_id", "window_start", "window_end", "alert_type", "severity", "observed_value", "threshold", "alert_id"]
-    return windows.threshold_alerts(_stats(s, d)).select(*cols).unionByName(windows.risk_alerts(_scores(s, d)).select(*cols)).unionByName(windows.trend_alerts(_trends(s, d)).select(*cols))
+    return _raised(*_built(s, d))
 
 
 def _parsed(s, d):
@@ -171,11 +187,11 @@ def window_scores(s, d):
     return _scores(s, d).select("patient_id", at("window_start").alias("window_start"), "ews_score", "lab_adjustment", F.array_join("lab_flags", ",").alias("flags"), "trend", "total_score", "risk_tier")
 
 
-_ALERT_SELECT = f" select alert_id, patient_id, strftime(ws, {FMT}) as window_start, alert_type, severity, round(observed_value, 4) as observed_value, threshold from alerts"
+_ALERT_SELECT = f" select alert_id, patient_id, strftime(ws, {FMT}) as window_start, alert_type, severity, round(observed_value, 4) as observed_value, threshold, message from alerts"
 
 
 def _alert_columns(df):
-    return df.select("alert_id", "patient_id", at("window_start").alias("window_start"), "alert_type", "severity", F.round("observed_value", 4).alias("observed_value"), "threshold")
+    return df.select("alert_id", "patient_id", at("window_start").alias("window_start"), "alert_type", "severity", F.round("observed_value", 4).alias("observed_value"), "threshold", "message")
 
 
 @query("with " + ALERTS_SQL + _ALERT_SELECT + " where alert_type not in ('RISK_HIGH', 'TREND_DETERIORATING')")
@@ -440,33 +456,58 @@ def file_day_parse(s, d):
 
 # Report ---------------------------------------------------------------------------------------------------------------
 def _report(s, d):
-    scores, trends, alerts = _scores(s, d), _trends(s, d), _alerts(s, d)
-    day = F.to_date("window_start")
-    days = scores.select(day.alias("report_date")).distinct()
-    adjust = scores.select(day.alias("report_date"), "patient_id", "lab_adjustment")
-    ended = F.to_date(F.col("window_end") - F.expr("interval 1 day"))
-    return report.build_report(fx.roster(s, d), days, report.daily_vitals(scores, day), report.daily_trends(trends, ended), report.daily_alerts(alerts, day), adjust)
-
-
+    """The report of all days, of hourly windows and daily alerts."""
+    stats, trends, scores = _built(s, d)
+    hourly = _built(s, d, "1 hour")[2]
+    roster, day = fx.roster(s, d), F.to_date("window_start")
+    days = tables.materialised(scores.select(day.alias("report_date")).distinct())
+    grid = report.day_windows(days, roster.where("active"))
+    labs = _labs(s, d)
+    adjust = windows.lab_adjustments(grid, labs).withColumn("report_date", F.to_date("window_start")).drop("window_start")
+    latest = delivery.latest_results(windows.range_join(grid, labs, "collected_at", F.expr("interval 48 hours"), 2 * DAY))
+    latest = latest.select("patient_id", F.to_date("window_start").alias("report_date"), delivery.labs_map(F.col("labs")).alias("labs"))
+    ended = F.to_date(F.col("window_end") - F.expr("interval 1 microsecond"))
+    came = tables.ledger_state(_ledger(s, d)).select("file_day", "status", F.when(F.dayofmonth("file_day") % 7 == 0, "late").otherwise("on_time").alias("arrival")).where(F.dayofmonth("file_day") % 5 != 0)
+    return report.build_report(roster, days, report.daily_vitals(hourly, day), report.daily_trends(trends, ended), report.daily_alerts(_raised(stats, trends, scores), day), adjust, latest, came)
+
+
+_ledger_events = """e as (select ts::date as file_day, event_id as seq, case when event_type = 'click' then 'duplicate' when event_id % 7 = 0 then 'missing' else 'result' end as event,
+  case when event_id % 3 = 0 then 'quarantined' else 'loaded' end as status from events)"""
+_H = ("stats", "ews", "within48", "latest48", "met", "adjust", "recent", "composed", "scores")
+HOURLY_SQL = re.sub(rf"\b({'|'.join(_H)})\b", r"h_\1", SCORES_SQL.replace(fx.READINGS_SQL + ",", "").replace(TRENDS_SQL + ",", "").replace(fx.LABS_SQL + ",", "").replace("interval '1 day'", "interval '1 hour'"))
 _tail_s, _tail_r = _score_sql("_tail")
-REPORT_SQL = ALERTS_SQL + "," + fx.ROSTER_SQL + """,
-dv as (select ws::date as report_date, patient_id, count(*) as windows, sum(n_readings)::bigint as readings, count(*) filter (where risk_tier = 'HIGH') as hours_high,
-  count(*) filter (where risk_tier = 'MEDIUM') as hours_medium, """ + ", ".join(f"sum({v}_avg * n_readings) / sum(n_readings)::double as {v}_tail" for v in rules.BANDS) + """, max(lab_adjustment) as lab_adjustment from scores group by 1, 2),
-dt as (select (we - interval '1 day')::date as report_date, patient_id, count(*) filter (where trend = 'deteriorating') as deteriorating_windows, coalesce(max_by(trend, we) filter (where trend <> 'insufficient_data'), 'unknown') as last_trend from trends group by 1, 2),
+_TAIL = "filter (where ws >= ws::date + interval '20 hours')"
+VITALS_DAY_SQL = """dv as (select ws::date as report_date, patient_id, count(*) as windows, sum(n_readings)::bigint as readings, max(ews_score)::int as ews_peak, count(*) filter (where risk_tier = 'HIGH') as hours_high,
+  count(*) filter (where risk_tier = 'MEDIUM') as hours_medium, max(heart_rate_max) as heart_rate_max, min(spo2_min) as spo2_min, min(systolic_bp_min) as systolic_bp_min, max(temperature_max) as temperature_max,
+  """ + ", ".join(f"sum({v}_avg * n_readings) {_TAIL} / (sum(n_readings) {_TAIL})::double as {v}_tail" for v in rules.BANDS) + " from h_scores group by 1, 2)"
+REPORT_SQL = ALERTS_SQL + "," + fx.ROSTER_SQL + "," + HOURLY_SQL + "," + VITALS_DAY_SQL + "," + _ledger_events + """,
+led as (select file_day as report_date, coalesce(max_by(status, seq) filter (where event = 'result'), 'missing') || '/' || case when day(file_day) % 7 = 0 then 'late' else 'on_time' end as labs_status from e where day(file_day) % 5 <> 0 group by file_day),
+dt as (select (we - interval '1 microsecond')::date as report_date, patient_id, count(*) filter (where trend = 'deteriorating') as deteriorating_windows, max(worse) as max_index, coalesce(max_by(trend, we) filter (where trend <> 'insufficient_data'), 'unknown') as last_trend from trends group by 1, 2),
 da as (select ws::date as report_date, patient_id, """ + ", ".join(f"count(*) filter (where severity = '{x}') as alerts_{x}" for x in ("critical", "high", "medium")) + f""" from alerts group by 1, 2),
-base as (select report_date, patient_id, scenario, dv.*, dt.*, da.*, ({_tail_s})::int as vs, {_tail_r} as red
-  from (select distinct ws::date as report_date from scores) cross join (select * from roster where active) left join dv using (report_date, patient_id) left join dt using (report_date, patient_id) left join da using (report_date, patient_id)),
-tiered as (select *, case when windows is not null then vs end as vitals_score, case when windows is not null then (vs + coalesce(lab_adjustment, 0))::int end as total_score from base),
-tiers as (select *, case when windows is null then 'NO_DATA' else {_tier_sql('vitals_score', 'red')} end as vitals_only_tier, case when windows is null then 'NO_DATA' else {_tier_sql('total_score', 'red')} end as risk_tier from tiered),
-report as (select report_date::varchar as report_date, patient_id, scenario, vitals_score, total_score, vitals_only_tier, risk_tier,
-  case when windows is null then 'no_data' when list_position(['LOW', 'MEDIUM', 'HIGH'], risk_tier) > list_position(['LOW', 'MEDIUM', 'HIGH'], vitals_only_tier) then 'escalated' else 'unchanged' end as tier_change,
-  coalesce(last_trend, 'unknown') as last_trend, """ + ", ".join(f"coalesce({c}, 0)::bigint as {c}" for c in ("windows", "readings", "hours_high", "hours_medium", "deteriorating_windows", "alerts_critical", "alerts_high", "alerts_medium")) + " from tiers)"
-REPORT_SQL = REPORT_SQL.replace("scenario, dv.*, dt.*, da.*,", "scenario, dv.* exclude (report_date, patient_id), dt.* exclude (report_date, patient_id), da.* exclude (report_date, patient_id),")
-
-
-@query("with " + REPORT_SQL + " select * from report")
+grid as (select report_date, patient_id, bed, scenario from (select distinct ws::date as report_date from scores) cross join (select * from roster where active)),
+dlab as (select g.report_date, g.patient_id, l.test_type, max_by(result_value, (collected_at, sample_id, result_value)) as result_value from grid g join labs l on l.patient_id = g.patient_id
+  and l.collected_at > g.report_date + interval '1 day' - interval '48 hours' and l.collected_at <= g.report_date + interval '1 day' group by 1, 2, 3),
+dmet as (select *, {_pts} as pts, {_flg} as flag from dlab),
+dadj as (select report_date, patient_id, least(coalesce(sum(pts), 0), 4)::int as lab_adjustment, coalesce(array_to_string(list_sort(list(flag) filter (where flag is not null)), '|'), '') as lab_flags, count(*) as tests from dmet group by 1, 2),
+joined as (select * from grid left join dv using (report_date, patient_id) left join dt using (report_date, patient_id) left join da using (report_date, patient_id) left join dadj using (report_date, patient_id) left join led using (report_date)),
+base as (select *, windows is not null as have, coalesce(lab_adjustment, 0) as lab_points, case when windows is not null then ({_tail_s})::int end as ews_end, windows is not null and {_tail_r} as red,
+  case when windows is not null and last_trend = 'deteriorating' then 1 else 0 end as tp from joined),
+tiered as (select *, ews_end + tp as vitals_score, ews_end + tp + lab_points as total_score from base),
+tiers as (select *, case when not have then 'NO_DATA' else {_tier_sql('vitals_score', 'red')} end as vitals_only_tier, case when not have then 'NO_DATA' else {_tier_sql('total_score', 'red')} end as risk_tier from tiered),
+report as (select report_date::varchar as report_date, patient_id, bed, scenario, coalesce(windows, 0)::bigint as windows, coalesce(readings, 0)::bigint as readings, ews_peak, """ + ", ".join(f"coalesce({c}, 0)::bigint as {c}" for c in ("hours_high", "hours_medium", "deteriorating_windows", "alerts_critical", "alerts_high", "alerts_medium")) + """,
+  heart_rate_max, spo2_min, systolic_bp_min, temperature_max, coalesce(last_trend, 'unknown') as last_trend, round(max_index, 4) as max_index, coalesce(tests, 0)::bigint as tests, coalesce(labs_status, 'not_received') as labs_status, ews_end, red as red_flag, tp as trend_adjustment,
+  vitals_score, total_score, lab_points::int as lab_adjustment, coalesce(lab_flags, '') as lab_flags, vitals_only_tier, risk_tier,
+  case when not have then 'no_data' when list_position(['LOW', 'MEDIUM', 'HIGH'], risk_tier) > list_position(['LOW', 'MEDIUM', 'HIGH'], vitals_only_tier) then 'escalated' else 'unchanged' end as tier_change from tiers)"""
+
+
+def _report_cells(r):
+    tests = F.coalesce(F.size(F.map_keys("labs")), F.lit(0)).cast("long")
+    return r.withColumns({"report_date": F.col("report_date").cast("string"), "max_index": F.round("max_index", 4), "tests": tests, "lab_flags": F.array_join("lab_flags", "|")}).drop("labs")
+
+
+@query("with " + REPORT_SQL + " select * from report order by report_date, case risk_tier when 'HIGH' then 0 when 'MEDIUM' then 1 when 'LOW' then 2 else 3 end, total_score desc nulls last, patient_id")
 def daily_report(s, d):
-    return _report(s, d).withColumn("report_date", F.col("report_date").cast("string"))
+    return _report_cells(_report(s, d))
 
 
 @query("with " + REPORT_SQL + """ select report_date, count(*) as patients, """ + ", ".join(f"count(*) filter (where risk_tier = '{t}') as tier_{t.lower()}" for t in rules.TIERS) + """,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.rules import LAB_CATALOGUE
+
 TESTS = ("WBC", "CRP", "LACTATE", "CREATININE", "POTASSIUM", "HAEMOGLOBIN", "TROPONIN")
 RANGE_TEXTS = ("4.0-11.0", "<5", "0.5-2.0", "45-104", "3.5-5.3", "115-180", "<14")
 
@@ -92,7 +94,8 @@ def labs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sample_id"), F.concat(F.lit("P"), F.lpad((F.col("l_suppkey") % 20 + 1).cast("string"), 3, "0")).alias("patient_id"),
         F.get(F.array(*map(F.lit, TESTS)), which).alias("test_type"), F.get(value, which).alias("result_value"), F.get(F.array(*map(F.lit, RANGE_TEXTS)), which).alias("reference_range"), at.alias("collected_at"),
     )
-    return out.withColumn("file_day", F.to_date("collected_at"))
+    unit = F.create_map(*[F.lit(x) for t, (u, *_) in LAB_CATALOGUE.items() for x in (t, u)])
+    return out.withColumns({"file_day": F.to_date("collected_at"), "unit": unit[F.col("test_type")]})
 
 
 LABS_SQL = """
