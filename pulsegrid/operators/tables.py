@@ -28,6 +28,18 @@ def resolve(log: DataFrame, key: Sequence[str], order: Sequence[str], first: boo
     return log.groupBy(*key).agg(pick(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
 
 
+def touched(log: DataFrame, key: Sequence[str], order: Sequence[str], at: str) -> DataFrame:
+    """As ``resolve`` with last write wins, and when each key was first and last seen, by ``at``."""
+    rest = [c for c in log.columns if c not in key]
+    return log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen")).select(*key, "_r.*", "first_seen", "last_seen")
+
+
+def newest_epoch(log: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row a key of a log of batches: the last by ``order`` and batch of the newest epoch; a reprocessing is an epoch."""
+    newest = log.agg(F.max("epoch").alias("epoch"))
+    return resolve(log.join(F.broadcast(newest), "epoch"), key, [*order, "batch_id"]).drop("epoch", "batch_id")  # one row
+
+
 def new_rows(candidates: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return candidates.join(known.select(key), key, "left_anti")
 
@@ -85,14 +97,20 @@ def arrival(day: Column, arrived: Column, hour: int = 6, grace_hours: int = 1) -
     return F.when(arrived <= expected + F.expr(f"interval {grace_hours} hours"), "on_time").otherwise("late")
 
 
-def csv_rows(spark, folder: str) -> DataFrame:
-    """(source_file, file_day, checksum, good_header, row_number, the cells by name, wrong_count) of waiting lab files.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def waiting_files(spark, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "labs_*.csv").load(folder)
+
+
+def csv_rows(files: DataFrame) -> DataFrame:
+    """(source_file, file_day, checksum, good_header, row_number, the cells by name, wrong_count) of lab files.
 
     Rows are numbered from 1 as data rows; blank lines are none. Cells may be quoted. A row with more cells than the
     header has ``wrong_count``; one with fewer lacks the last ones. Files that can't be decoded or whose name or header is
     another give one row without number and cells.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "labs_*.csv").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     text = F.when(F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8"))
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: x != "")
@@ -107,16 +125,16 @@ def csv_rows(spark, folder: str) -> DataFrame:
     return cells.select("source_file", "file_day", "checksum", "good_header", (F.col("at") + 1).alias("row_number"), *[F.nullif(F.col(f"c.{x}"), F.lit(_MARK)).alias(x) for x in LAB_COLUMNS], wrong.alias("wrong_count"))
 
 
-def checked_files(spark, folder: str, known: DataFrame | None = None) -> DataFrame:
-    """The numbered rows of the files with ``error_reasons``: their count of cells, else the contract, else repeats in the file."""
-    rows = lab_errors(csv_rows(spark, folder).where("row_number is not null"), known)
+def checked_rows(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The numbered rows of files with ``error_reasons``: their count of cells, else the contract, else repeats in the file."""
+    coded = lab_errors(rows.where("row_number is not null"), known)
     wrong = F.when(F.col("wrong_count"), F.array(F.lit("wrong_column_count"))).otherwise(F.col("error_reasons"))
-    return file_duplicates(rows.withColumn("error_reasons", wrong))
+    return file_duplicates(coded.withColumn("error_reasons", wrong))
 
 
-def file_checks(spark, folder: str, known: DataFrame | None = None, limit: float = 0.2) -> DataFrame:
-    """One row a waiting file: day, checksum, header, counts and status; one with another header or without rows is quarantined."""
-    files = csv_rows(spark, folder).select("source_file", "file_day", "checksum", "good_header").distinct()
-    stats = files.join(file_stats(checked_files(spark, folder, known)), "source_file", "left")
+def file_checks(rows: DataFrame, checked: DataFrame, limit: float = 0.2) -> DataFrame:
+    """One row a file: day, checksum, header, counts and status; one with another header or without rows is quarantined."""
+    files = rows.select("source_file", "file_day", "checksum", "good_header").distinct()
+    stats = files.join(file_stats(checked), "source_file", "left")
     counted = stats.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows_total", "rows_valid", "rows_rejected")} | {"reject_rate": F.coalesce("reject_rate", F.lit(1.0))})
     return file_decision(counted, limit)

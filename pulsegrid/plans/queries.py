@@ -413,6 +413,13 @@ def upsert_resolve_first(s, d):
     return tables.resolve(fx.labs(s, d).withColumn("_v", F.col("result_value")), ["sample_id", "test_type"], ["collected_at", "_v"], first=True).select("sample_id", "test_type", "result_value")
 
 
+@query("with " + fx.LABS_SQL + f" select patient_id, test_type, max_by(result_value, (collected_at, sample_id, result_value)) as result_value, strftime(min(collected_at), {FMT}) as first_seen, strftime(max(collected_at), {FMT}) as last_seen from labs group by 1, 2")
+def upsert_touch(s, d):
+    log = fx.labs(s, d).select("patient_id", "test_type", "collected_at", "sample_id", "result_value")
+    seen = tables.touched(log, ["patient_id", "test_type"], ["collected_at", "sample_id", "result_value"], "collected_at")
+    return seen.select("patient_id", "test_type", "result_value", at("first_seen").alias("first_seen"), at("last_seen").alias("last_seen"))
+
+
 @query("with " + fx.LABS_SQL + " select patient_id, count(*) as n from labs where collected_at > timestamp '2024-01-10' and collected_at <= timestamp '2024-01-12' group by 1")
 def bounded_lab_scan(s, d):
     return fx.labs(s, d).where("collected_at > timestamp'2024-01-10 00:00:00' and collected_at <= timestamp'2024-01-12 00:00:00'").groupBy("patient_id").agg(F.count("*").alias("n"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pulsegrid.functions.validation import dead_letters, parse_vitals, valid_vitals
-from pulsegrid.operators import windows
+from pulsegrid.functions.validation import dead_letters, parse_dead_letters, parse_labs, parse_vitals, valid_vitals
+from pulsegrid.operators import delivery, tables, windows
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -17,6 +19,31 @@ STATE_CONF = {
 }
 
 
+#: Messages in a batch at most, and where a stream begins.
+BROKER = {"startingOffsets": "earliest", "maxOffsetsPerTrigger": "20000", "failOnDataLoss": "false"}
+
+
+def configure(spark: SparkSession) -> None:
+    """Keep the state of streams in bounded native memory."""
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
+
+
+def broker(spark: SparkSession, topic: str, servers: str, **options) -> DataFrame:
+    """A topic from its beginning on, in bounded batches; offsets that the broker has dropped don't end the stream."""
+    return source(spark, "kafka", **BROKER | {"subscribe": topic, "kafka.bootstrap.servers": servers} | options)
+
+
+def publisher(fmt: str, path: str | None = None, **options) -> Callable[[DataFrame], None]:
+    """A topic sink for (key, value, topic) messages; a broker format routes by ``topic``, tests name a folder of files."""
+
+    def publish(messages: DataFrame) -> None:
+        writer = messages.write.format(fmt).mode("append").options(**options)
+        writer.save(path) if path else writer.save()
+
+    return publish
+
+
 def source(spark: SparkSession, fmt: str, schema: str | None = None, path: str | None = None, **options) -> DataFrame:
     """A topic stream; production names a broker format, tests a folder of files."""
     reader = spark.readStream.format(fmt).options(**options)
@@ -54,3 +81,155 @@ def write_log(path: str, epoch: int = 0) -> Callable[[DataFrame, int], None]:
 def start(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
     writer = df.writeStream.queryName(name).outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/{name}")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _logged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log of batches, an empty one before its first batch."""
+    try:
+        return spark.read.schema(f"{schema}, epoch int, batch_id long").parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], f"{schema}, epoch int, batch_id long")
+
+
+LAB_LOG = "sample_id string, test_type string, patient_id string, result_value double, unit string, reference_range string, ref_low double, ref_high double, abnormal_flag string, collected_at timestamp, file_day date, source_file string"
+TREND_LOG = "patient_id string, window_start timestamp, window_end timestamp, trend string"
+ALERT_LOG = "patient_id string, window_start timestamp, window_end timestamp, alert_type string, severity string, observed_value double, threshold double, message string, alert_id string"
+
+
+@dataclass
+class Ward:
+    """The five streaming queries of a ward over shared folders: tables are logs of batches under ``root``, messages go to ``publish``.
+
+    ``known`` gives the roster anew for every batch that asks for it. A batch writes its own folders again when it is
+    replayed; what it publishes it may publish again, under the same alert id or origin.
+    """
+
+    spark: SparkSession
+    root: str
+    checkpoint: str
+    publish: Callable[[DataFrame], None]
+    known: Callable[[], DataFrame]
+    epoch: int = 0
+    trigger: dict = field(default_factory=lambda: {"availableNow": True})
+    least_readings: int = 20
+
+    def log(self, name: str) -> Callable[[DataFrame, int], None]:
+        return write_log(f"{self.root}/{name}", self.epoch)
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        return _logged(self.spark, f"{self.root}/{name}", schema)
+
+    def raise_alerts(self, alerts: DataFrame, batch_id: int, name: str) -> None:
+        """Publish those that no earlier batch has stored, then store all: a crash in between publishes again and loses none."""
+        stored = self.table(name, ALERT_LOG).where((F.col("epoch") == self.epoch) & (F.col("batch_id") <= batch_id))
+        new = tables.new_rows(alerts, stored, "alert_id")
+        self.publish(new.select(F.col("patient_id").alias("key"), F.to_json(F.struct(*alerts.columns)).alias("value"), F.lit("alerts").alias("topic")))
+        self.log(name)(alerts, batch_id)
+
+    def score(self, batch: DataFrame) -> DataFrame:
+        """The windows of a batch scored by the labs and trends of the time that they need, read as they are now."""
+        low, high = batch.agg(F.min("window_start"), F.max("window_end")).first()
+        labs = tables.newest_epoch(self.table("lab_results", LAB_LOG), ["sample_id", "test_type"])
+        labs = labs.where((F.col("collected_at") > F.lit(low) - F.expr("interval 48 hours")) & (F.col("collected_at") <= F.lit(high)))
+        trends = tables.newest_epoch(self.table("trends", TREND_LOG), ["patient_id", "window_start"])
+        trends = trends.where((F.col("window_end") > F.lit(low) - F.expr("interval 2 hours")) & (F.col("window_end") <= F.lit(high)))
+        return windows.window_scores(batch, windows.lab_adjustments(batch, labs), windows.latest_trend(batch, trends))
+
+    def score_sink(self, batch: DataFrame, batch_id: int) -> None:
+        """Scored windows, live status, alerts and how long after its production the newest reading was processed."""
+        if batch.isEmpty():
+            return
+        scored = self.score(batch).persist()
+        try:
+            self.log("windows")(scored, batch_id)
+            self.log("live_status")(tables.resolve(scored, ["patient_id"], ["window_start"]), batch_id)
+            self.raise_alerts(windows.threshold_alerts(scored).unionByName(windows.risk_alerts(scored)), batch_id, "window_alerts")
+            self.log("latency")(scored.agg(F.current_timestamp().alias("processed_at"), F.max("last_produced_at").alias("newest_produced_at")), batch_id)
+        finally:
+            scored.unpersist()
+
+    def trend_sink(self, batch: DataFrame, batch_id: int) -> None:
+        found = windows.with_trend(batch, self.least_readings).persist()
+        try:
+            self.log("trends")(found, batch_id)
+            self.raise_alerts(windows.trend_alerts(found), batch_id, "trend_alerts")
+        finally:
+            found.unpersist()
+
+    def parsed_sink(self, parse: Callable[[DataFrame, DataFrame], DataFrame], source_name: str, keep: str | None) -> Callable[[DataFrame, int], None]:
+        """Outcomes counted, rejected rows to the dead letters, and the valid ones to the table ``keep``."""
+
+        def sink(batch: DataFrame, batch_id: int) -> None:
+            rows = parse(batch, self.known()).persist()
+            try:
+                good = F.size("error_reasons") == 0
+                self.log(f"{source_name}_outcomes")(rows.groupBy(F.when(good, "valid").otherwise(F.get("error_reasons", F.lit(0))).alias("outcome")).agg(F.count("*").alias("n")), batch_id)
+                self.publish(dead_letters(rows.where(~good), source_name).withColumn("topic", F.lit("deadletter")))
+                if keep:
+                    self.log(keep)(rows.where(good).drop("error_reasons", "raw_payload", "origin"), batch_id)
+            finally:
+                rows.unpersist()
+
+        return sink
+
+    def letter_sink(self, batch: DataFrame, batch_id: int) -> None:
+        self.log("dead_letters")(parse_dead_letters(batch.select(F.col("value").cast("string").alias("value"))), batch_id)
+
+    def file_sink(self, batch: DataFrame, batch_id: int) -> None:
+        """Publish the rows of loadable files, valid and rejected ones in one frame of two topics, then write the ledger.
+
+        The stream's checkpoint marks the files only after both, so that a crash replays them.
+        """
+        rows = tables.csv_rows(batch).persist()
+        try:
+            checked = tables.checked_rows(rows, self.known())
+            checks = tables.file_checks(rows, checked).persist()
+            loaded = checked.join(checks.where("status = 'loaded'").select("source_file"), "source_file", "left_semi")
+            letters = delivery.rejected_rows(loaded)
+            bad = letters.select(F.lit("labs").alias("key"), F.to_json(F.struct(*letters.columns)).alias("value"), F.lit("deadletter").alias("topic"))
+            self.publish(delivery.lab_events(loaded).withColumn("topic", F.lit("labs.raw")).unionByName(bad))
+            self.log("file_ledger")(checks, batch_id)
+            checks.unpersist()
+        finally:
+            rows.unpersist()
+
+    def start_files(self, folder: str) -> StreamingQuery:
+        """Every waiting lab file of a folder."""
+        files = self.spark.readStream.format("binaryFile").schema(tables.FILE_SCHEMA).option("pathGlobFilter", "labs_*.csv").load(folder)
+        return start(files, "lab_files", self.file_sink, self.checkpoint, trigger=self.trigger)
+
+    def start(self, vitals: DataFrame, labs: DataFrame, letters: DataFrame) -> list[StreamingQuery]:
+        """All queries in one session; each goes on where its checkpoint ends."""
+        configure(self.spark)
+        known = self.known()
+        return [
+            start(vitals, "quality", self.parsed_sink(parse_vitals, "vitals", None), self.checkpoint, trigger=self.trigger),
+            start(labs, "labs", self.parsed_sink(parse_labs, "labs", "lab_results"), self.checkpoint, trigger=self.trigger),
+            start(trends(vitals, known), "trends", self.trend_sink, self.checkpoint, trigger=self.trigger),
+            start(windowed(vitals, known), "windows", self.score_sink, self.checkpoint, "update", self.trigger),
+            start(letters, "dead_letters", self.letter_sink, self.checkpoint, trigger=self.trigger),
+        ]
+
+
+def await_all(queries: list[StreamingQuery]) -> None:
+    """Until every query has ended; one that fails stops the others and raises."""
+    try:
+        while any(q.isActive for q in queries):
+            next(q for q in queries if q.isActive).awaitTermination(1)
+            for q in queries:
+                if (failure := q.exception()) is not None:
+                    raise failure
+        for q in queries:
+            if (failure := q.exception()) is not None:
+                raise failure
+    finally:
+        for q in queries:
+            if q.isActive:
+                q.stop()
+
+
+def latency_seconds(log: DataFrame) -> DataFrame:
+    """(batch_id, latency) from the newest reading's production to its processing."""
+    return log.select("batch_id", ((F.unix_micros("processed_at") - F.unix_micros("newest_produced_at")) / 1e6).alias("latency"))

@@ -49,23 +49,31 @@ def progress_row(progress: dict) -> dict:
 
 
 class ProgressLog(StreamingQueryListener):
-    """Appends each query's progress to a table of JSON lines at ``path``, a row a batch, through Spark's writer."""
+    """Appends each query's progress to a table of JSON lines at ``path``, through Spark's writer, ``rows`` batches at a time
+    and when a query ends."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self._spark, self._path = spark, path
+    def __init__(self, spark: SparkSession, path: str, rows: int = 100) -> None:
+        self._spark, self._path, self._rows = spark, path, rows
+        self._held: list[tuple[str]] = []
+
+    def flush(self) -> None:
+        held, self._held = self._held, []
+        if held:
+            self._spark.createDataFrame(held, "value string").coalesce(1).write.mode("append").text(self._path)
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        line = json.dumps(progress_row(json.loads(event.progress.json)))
-        self._spark.createDataFrame([(line,)], "value string").write.mode("append").text(self._path)
+        self._held.append((json.dumps(progress_row(json.loads(event.progress.json))),))
+        if len(self._held) >= self._rows:
+            self.flush()
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self.flush()
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import rules, validation
-from pulsegrid.operators import delivery, monitors, tables, windows
+from pulsegrid.operators import delivery, monitors, report, tables, windows
 from pulsegrid.streaming import jobs, progress
 
 START = dt.datetime(2026, 1, 3, 8)
@@ -91,15 +91,17 @@ def test_files_of_a_folder(spark, tmp_path):
     (tmp_path / "labs_2026-01-05.csv").write_bytes(b"\xff\xfe")
     (tmp_path / "labs_2026-01-06.csv").write_text(head)
     known = spark.createDataFrame([("P001",)], "patient_id string")
-    got = {r["row_number"]: r for r in tables.checked_files(spark, str(tmp_path), known).collect()}
+    rows = tables.csv_rows(tables.waiting_files(spark, str(tmp_path)))
+    checked = tables.checked_rows(rows, known)
+    got = {r["row_number"]: r for r in checked.collect()}
     assert {n: r["error_reasons"] for n, r in got.items()} == {
         1: [], 2: [], 3: ["wrong_column_count"], 4: ["wrong_column_count"], 5: [f"missing:{c}" for c in ("result_value", "unit", "reference_range", "collected_at")],
         6: ["duplicate_row"], 7: ["unknown_patient"], 8: ["bad_collected_at"],
     }
     assert got[2]["sample_id"] == "b, 2"
-    files = {r["source_file"]: r for r in tables.file_checks(spark, str(tmp_path), known, 0.8).collect()}
+    files = {r["source_file"]: r for r in tables.file_checks(rows, checked, 0.8).collect()}
     assert [(files[f"labs_2026-01-0{i}.csv"]["status"], files[f"labs_2026-01-0{i}.csv"]["rows_total"], files[f"labs_2026-01-0{i}.csv"]["good_header"]) for i in (3, 4, 5, 6)] == [("loaded", 8, True), ("quarantined", 0, False), ("quarantined", 0, False), ("quarantined", 0, True)]
-    assert {tuple(r)[1:] for r in tables.reject_reasons(tables.checked_files(spark, str(tmp_path), known)).collect()} == {("wrong_column_count", 2), ("missing:result_value", 1), ("duplicate_row", 1), ("unknown_patient", 1), ("bad_collected_at", 1)}
+    assert {tuple(r)[1:] for r in tables.reject_reasons(checked).collect()} == {("wrong_column_count", 2), ("missing:result_value", 1), ("duplicate_row", 1), ("unknown_patient", 1), ("bad_collected_at", 1)}
 
 
 LAB = {"sample_id": "s", "patient_id": "P001", "test_type": " crp ", "result_value": 181.9, "unit": "mg/L", "reference_range": "<5", "collected_at": "2026-01-03T08:00:00Z", "schema_version": 1, "source_file": "labs_2026-01-03.csv", "file_day": "2026-01-03", "row_number": 1}
@@ -201,3 +203,122 @@ def test_progress_log_and_late_rows(spark, tmp_path):
     assert windows_out.count() == windows_out.select("patient_id", "window_start").distinct().count()  # each window once
     first = windows_out.where(F.col("window_start") == START).first()
     assert first["n_readings"] == 3  # without the late row
+
+
+def test_ward_goes_on_after_a_crash(spark, tmp_path):
+    """All five queries: a crash between publishing and storing alerts publishes again and loses nothing; a replay adds nothing."""
+    schema = "key binary, value binary, topic string, partition int, offset long"
+
+    def put(topic, n, bodies):
+        spark.createDataFrame([(b"P001", json.dumps(x).encode() if isinstance(x, dict) else x, topic, 0, n * 1000 + i) for i, x in enumerate(bodies)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / topic))
+
+    def vitals(n, hours, **change):
+        when = [(START + dt.timedelta(minutes=60 * h + 5 * i)).strftime("%Y-%m-%dT%H:%M:%SZ") for h in hours for i in range(12)]
+        return [GOOD | {"event_id": f"e{n}-{i}", "timestamp": t, "produced_at": t} | change for i, t in enumerate(when)]
+
+    sent, pending, broken = [], [], [True]
+
+    def publish(messages):
+        rows = messages.collect()
+        sent.extend((r["topic"], r["value"]) for r in rows)
+        pending.extend(r["value"].encode() for r in rows if r["topic"] == "deadletter")
+
+    def ward():
+        own = jobs.Ward(spark, str(tmp_path / "out"), str(tmp_path / "ckpt"), publish, lambda: spark.createDataFrame([("P001",)], "patient_id string"))
+        whole = own.log
+
+        def log(name):
+            if name == "window_alerts" and broken[0]:
+                raise RuntimeError("crash before alerts are stored")
+            return whole(name)
+
+        own.log = log
+        return own
+
+    def run():
+        put("letters", len(sent), [pending.pop() for _ in range(len(pending))])
+        stream = lambda topic: jobs.source(spark, "parquet", schema, str(tmp_path / topic))
+        jobs.await_all(ward().start(stream("vitals"), stream("labs"), stream("letters")))
+
+    put("labs", 0, [LAB, LAB | {"sample_id": "x", "unit": ""}])
+    put("vitals", 0, vitals(0, [0], spo2=85) + [b"broken"])
+    with pytest.raises(Exception, match="crash before alerts"):
+        run()
+    broken[0] = False
+    run()
+    put("vitals", 1, vitals(1, [1, 9]))
+    for _ in range(2):
+        run()
+    table = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    alerts = [json.loads(v)["alert_id"] for t, v in sent if t == "alerts"]
+    stored = {r["alert_id"] for r in table("window_alerts").collect()}
+    assert set(alerts) == stored and len(stored) >= 1 and len(alerts) == 2 * len(stored)  # each before the crash, and after it
+    live = tables.newest_epoch(table("live_status"), ["patient_id"], ["window_start"]).first()
+    assert live["window_start"] == START + dt.timedelta(hours=9)
+    first = tables.newest_epoch(table("windows"), ["patient_id", "window_start"]).where(F.col("window_start") == START).first()
+    assert first["n_readings"] == 12 and first["ews_red_flag"] and first["lab_adjustment"] == 1
+    assert table("lab_results").count() == 1 and jobs.latency_seconds(table("latency")).where("latency > 0").count() >= 2
+    reasons = {tuple(r["error_reasons"]) for r in table("dead_letters").collect()}
+    assert reasons == {("invalid_json",), ("missing:unit",)}
+    assert {(r["outcome"], r["n"]) for r in table("vitals_outcomes").where("batch_id = 0").collect()} == {("valid", 12), ("invalid_json", 1)}
+
+
+def test_lab_files_are_published_before_they_are_marked(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    head = "sample_id,patient_id,test_type,result_value,unit,reference_range,collected_at\n"
+    good = "".join(f"s{i},P001,CRP,3,mg/L,<5,2026-01-03T08:00:00Z\n" for i in range(9))
+    (folder / "labs_2026-01-03.csv").write_text(head + good + "s9,P001,CRP,oops,mg/L,<5,2026-01-03T08:00:00Z\n")
+    (folder / "labs_2026-01-04.csv").write_text("wrong\n")
+    sent, broken = [], [True]
+    ward = jobs.Ward(spark, str(tmp_path / "out"), str(tmp_path / "ckpt"), lambda m: sent.extend(map(tuple, m.select("topic", "key").collect())), lambda: spark.createDataFrame([("P001",)], "patient_id string"))
+    whole = ward.log
+    ward.log = lambda name: whole("other" if broken[0] and 1 / 0 else name)
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        ward.start_files(str(folder)).awaitTermination()
+    broken[0] = False
+    for _ in range(2):
+        ward.start_files(str(folder)).awaitTermination()
+    assert sorted(set(sent)) == [("deadletter", "labs"), ("labs.raw", "P001")] and sent.count(("labs.raw", "P001")) == 18
+    ledger = {r["source_file"]: (r["status"], r["rows_valid"], r["rows_total"]) for r in tables.newest_epoch(spark.read.parquet(str(tmp_path / "out" / "file_ledger")), ["source_file"]).collect()}
+    assert ledger == {"labs_2026-01-03.csv": ("loaded", 9, 10), "labs_2026-01-04.csv": ("quarantined", 0, 0)}
+
+
+def test_epochs_publishing_and_report_days(spark, tmp_path):
+    log = spark.createDataFrame([("a", "old", 0, 5), ("a", "new", 1, 0), ("b", "gone", 0, 1)], "k string, v string, epoch int, batch_id long")
+    assert [tuple(r) for r in tables.newest_epoch(log, ["k"]).collect()] == [("a", "new")]
+    messages = spark.createDataFrame([("k", "v", "t")], "key string, value string, topic string")
+    for _ in range(2):
+        jobs.publisher("json", str(tmp_path / "topic"))(messages)
+    assert spark.read.json(str(tmp_path / "topic")).count() == 2
+    jobs.configure(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
+    day = lambda d, n: spark.createDataFrame([(dt.date(2026, 1, d), f"P{i}") for i in range(n)], "report_date date, patient_id string")
+    for rows in (day(3, 2).union(day(4, 2)), day(4, 5)):
+        report.write_report(rows, str(tmp_path / "report"))
+    assert {(r["report_date"].day, r["count"]) for r in spark.read.parquet(str(tmp_path / "report")).groupBy("report_date").count().collect()} == {(3, 2), (4, 5)}
+
+
+def test_report_rows_and_order(spark, tmp_path):
+    """Hourly windows: only the last four hours of a day score it; order by tier, score and id; a patient without windows."""
+    roster = spark.createDataFrame([(f"P00{i}", f"B0{i}", "stable", i != 4) for i in range(1, 5)], "patient_id string, bed string, scenario string, active boolean")
+    day = dt.datetime(2026, 1, 3)
+    rows = []
+    for i, (pid, hr) in enumerate((("P001", [80.0] * 24), ("P002", [80.0] * 20 + [135.0] * 4))):
+        rows += [(f"{pid}-{h}", pid, x, 97.0, 120.0, 75.0, 37.0, day + dt.timedelta(hours=h), day + dt.timedelta(hours=h)) for h, x in enumerate(hr)]
+    scored = windows.with_early_warning(windows.tumbling_stats(spark.createDataFrame(rows, READING))).withColumn("risk_tier", rules.tier(F.col("ews_score"), F.col("ews_red_flag")))
+    days = spark.createDataFrame([(day.date(),)], "report_date date")
+    none = lambda schema: spark.createDataFrame([], f"report_date date, patient_id string, {schema}")
+    trends = spark.createDataFrame([(day.date(), "P002", 3, 6.0, "deteriorating")], "report_date date, patient_id string, deteriorating_windows long, max_index double, last_trend string")
+    adjust = spark.createDataFrame([(day.date(), "P002", 4, ["crp_very_high"]), (day.date(), "P003", 2, ["wbc_high"])], "report_date date, patient_id string, lab_adjustment int, lab_flags array<string>")
+    ledger = spark.createDataFrame([(day.date(), "loaded", "late")], "file_day date, status string, arrival string")
+    labs = none("labs map<string, struct<value: double, unit: string, `range`: string, flag: string, collected_at: timestamp>>")
+    done = report.build_report(roster, days, report.daily_vitals(scored, F.to_date("window_start")), trends, none("alerts_critical long, alerts_high long, alerts_medium long"), adjust, labs, ledger)
+    got = done.collect()
+    assert [r["patient_id"] for r in got] == ["P002", "P001", "P003"] and done.columns == [*report.COLUMNS, "scenario"]
+    assert (got[0]["ews_end"], got[0]["vitals_score"], got[0]["total_score"], got[0]["vitals_only_tier"], got[0]["risk_tier"], got[0]["tier_change"]) == (3, 4, 8, "MEDIUM", "HIGH", "escalated")
+    assert (got[1]["risk_tier"], got[1]["labs_status"], got[1]["windows"]) == ("LOW", "loaded/late", 24)
+    assert (got[2]["risk_tier"], got[2]["total_score"], got[2]["lab_adjustment"], got[2]["windows"], got[2]["last_trend"]) == ("NO_DATA", None, 2, 0, "unknown")
+    delivery.write_report_csv(done, str(tmp_path / "csv"))
+    cells = spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()
+    assert [r["patient_id"] for r in cells] == ["P002", "P001", "P003"] and cells[0]["lab_flags"] == "crp_very_high"
