@@ -6,30 +6,64 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+DAY = 86_400
+
+
+def _trailing(counts: DataFrame, key: str, seconds: int, **sums: str) -> DataFrame:
+    """``counts`` (key, t, ...) with sums over the trailing range of each row.
+
+    The windows are of a key and a stretch of time, at least as long as the range, so that a long history is split; rows
+    near the end of a stretch also go to the next one, which looks back on them.
+    """
+    width = max(seconds, DAY)
+    own = F.floor(F.col("t") / width)
+    near = F.when(F.col("t") >= (own + 1) * width - seconds, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = counts.withColumn("_own", own).withColumn("_stretch", F.explode(near))
+    w = Window.partitionBy(key, "_stretch").orderBy("t").rangeBetween(-seconds, 0)
+    return dealt.withColumns({to: F.sum(c).over(w) for to, c in sums.items()}).where("_own = _stretch").drop("_own", "_stretch")
+
+
 def trailing_share(events: DataFrame, key: str, at: str, bad: str, seconds: int, limit: float) -> DataFrame:
     """For every second with events: the share of bad rows in the trailing range, and whether it is above the limit."""
     counts = events.groupBy(key, F.unix_timestamp(at).alias("t")).agg(F.count("*").alias("n"), F.count_if(bad).alias("m"))
-    w = Window.partitionBy(key).orderBy("t").rangeBetween(-seconds, 0)
-    share = F.sum("m").over(w).cast("double") / F.sum("n").over(w).cast("double")
-    return counts.select(key, "t", share.alias("share")).withColumn("firing", F.col("share") > limit)
+    share = F.col("bad").cast("double") / F.col("all").cast("double")
+    return _trailing(counts, key, seconds, bad="m", all="n").select(key, "t", share.alias("share")).withColumn("firing", F.col("share") > limit)
+
+
+def _runs(states: DataFrame, flag: str, order: str, *by: str) -> DataFrame:
+    """The runs of equal flags in order: flag, since, until."""
+    w = Window.partitionBy(*by).orderBy(order)
+    starts = F.when(F.coalesce(F.lag(flag).over(w) != F.col(flag), F.lit(True)), 1).otherwise(0)
+    numbered = states.withColumn("_s", starts).withColumn("_i", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*by, flag, "_i").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("_i")
 
 
 def sustained(states: DataFrame, key: str, at: str, flag: str, seconds: int) -> DataFrame:
-    """The stretches in which a flag holds without a break for at least so long."""
-    w = Window.partitionBy(key).orderBy(at)
-    starts = F.when(F.coalesce(F.lag(flag).over(w), F.lit(False)) != F.col(flag), 1).otherwise(0)
-    island = states.withColumn("_s", starts).withColumn("_i", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    held = island.where(flag).groupBy(key, "_i").agg(F.min(at).alias("since"), F.max(at).alias("until"))
-    return held.where(F.col("until") - F.col("since") >= seconds).drop("_i")
+    """The stretches in which a flag holds without a break for at least so long; runs of a day are joined to longer ones."""
+    daily = states.select(key, flag, F.col(at).alias("since"), F.col(at).alias("until"), F.floor(F.col(at) / DAY).alias("_day"))
+    held = _runs(_runs(daily, flag, "since", key, "_day"), flag, "since", key).where(flag)
+    return held.where(F.col("until") - F.col("since") >= seconds).select(key, "since", "until")
 
 
 def stale_sources(events: DataFrame, key: str, at: str, now, seconds: int) -> DataFrame:
-    last = events.groupBy(key).agg(F.max(F.unix_timestamp(at)).alias("last_seen"))
+    """Sources that have been seen last more than ``seconds`` ago, or never; ``rate`` counts what came a second since then."""
+    seen = F.unix_timestamp(at)
+    last = events.groupBy(key).agg(F.max(seen).alias("last_seen"), (F.count_if(seen > now - seconds) / float(seconds)).alias("rate"))
     return last.withColumn("stale", F.coalesce(F.lit(now) - F.col("last_seen") > seconds, F.lit(True)))
 
 
 def trailing_count(events: DataFrame, key: str, at: str, bad, seconds: int, limit: int) -> DataFrame:
     """For every second with events: how many bad rows the trailing range has, and whether that is above the limit."""
     counts = events.groupBy(key, F.unix_timestamp(at).alias("t")).agg(F.count_if(bad).alias("m"))
-    n = F.sum("m").over(Window.partitionBy(key).orderBy("t").rangeBetween(-seconds, 0))
-    return counts.select(key, "t", n.alias("n")).withColumn("firing", F.col("n") > limit)
+    return _trailing(counts, key, seconds, n="m").select(key, "t", "n").withColumn("firing", F.col("n") > limit)
+
+
+def held_alerts(shares: DataFrame, key: str, seconds: int) -> DataFrame:
+    """When a share or count has been firing for so long without a break: the alert's since and until."""
+    return sustained(shares.select(key, "t", "firing"), key, "t", "firing", seconds)
+
+
+def inactive_queries(progress: DataFrame, now, seconds: int) -> DataFrame:
+    """Streaming queries whose last batch is older than so long."""
+    last = progress.groupBy("name").agg(F.max(F.unix_timestamp("at")).alias("last_batch"))
+    return last.withColumn("inactive", F.lit(now) - F.col("last_batch") > seconds)

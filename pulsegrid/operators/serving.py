@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +65,35 @@ def missing_days(days: DataFrame, ledger: DataFrame, now: Column, hour: int = 6,
     return overdue.join(received(ledger), "file_day", "left_anti")
 
 
-def overdue(moments: DataFrame, ledger: DataFrame, hour: int = 6, sla_hours: int = 4) -> DataFrame:
-    """``moments`` (``now``) with the hours that the file of the day before is late, 0 if received, and whether that is past its limit."""
+def overdue(moments: DataFrame, ledger: DataFrame, hour: int = 6, sla_hours: int = 4, late_hours: int = 2) -> DataFrame:
+    """``moments`` (``now``) with the hours that the file of the day before is late, 0 if received, whether that is past its
+    limit, and whether it is late but not past it."""
     asked = moments.withColumn("file_day", F.date_sub(F.to_date("now"), 1))
     come = received(ledger).distinct().withColumn("_come", F.lit(True))
     passed = (F.unix_micros("now") - F.unix_micros(scheduled(F.col("file_day"), hour))) / 3.6e9
     late = F.when(F.col("_come"), 0.0).otherwise(F.greatest(passed, F.lit(0.0)))
-    return asked.join(come, "file_day", "left").select("now", "file_day", (late > sla_hours).cast("int").alias("overdue"), F.round(late, 2).alias("hours_late"))
+    return asked.join(come, "file_day", "left").select("now", "file_day", (late > sla_hours).cast("int").alias("overdue"), F.round(late, 2).alias("hours_late"), ((late > late_hours) & (late <= sla_hours)).alias("late"))
+
+
+def filtered(alerts: DataFrame, patient_id: str | None = None, severities=None, alert_types=None, since: Column | None = None, acknowledged: bool | None = None) -> DataFrame:
+    """Alerts that meet those of the filters that are given."""
+    wanted = []
+    if patient_id is not None:
+        wanted.append(F.col("patient_id") == patient_id)
+    if severities is not None:
+        wanted.append(F.col("severity").isin(*severities))
+    if alert_types is not None:
+        wanted.append(F.col("alert_type").isin(*alert_types))
+    if since is not None:
+        wanted.append(F.col("window_start") >= since)
+    if acknowledged is not None:
+        wanted.append(F.col("acknowledged") == acknowledged)
+    return alerts.where(F.expr("true") if not wanted else reduce(Column.__and__, wanted))
+
+
+def freshness(log: DataFrame, at: str, now: Column) -> DataFrame:
+    """(lag_minutes): the age of a table's newest row, to a tenth of a minute."""
+    return log.agg(F.round((F.unix_micros(now) - F.unix_micros(F.max(at))) / 6e7, 1).alias("lag_minutes"))
 
 
 def acknowledged(alerts: DataFrame, acks: DataFrame) -> DataFrame:
@@ -89,7 +112,7 @@ def patient_detail(patients: DataFrame, labs: DataFrame, alerts: DataFrame, now:
 
 
 def report_envelope(report: DataFrame) -> DataFrame:
-    """Each day's count of patients by tier, as a map, and how many labs escalated."""
+    """Each day's count of patients by tier, as a map, how many labs escalated, and the newest ``generated_at``, if there."""
     tiers = report.groupBy("report_date", "risk_tier").agg(F.count("*").alias("n"), F.count_if(F.col("tier_change") == "escalated").alias("up"))
     entries = F.sort_array(F.collect_list(F.struct("risk_tier", "n")))  # a row a tier
     return tiers.groupBy("report_date").agg(F.map_from_entries(entries).alias("tiers"), F.sum("up").alias("escalated_by_labs"), F.sum("n").alias("patients"))

@@ -221,6 +221,11 @@ def active_alerts(s, d):
     return _alerts(s, d).orderBy(rank, F.desc("window_end"), "alert_id").limit(50).select("alert_id", "patient_id", "alert_type", "severity")
 
 
+@query("with " + ALERTS_SQL + """ select alert_id, patient_id, alert_type, severity from alerts where patient_id = 'P001' and severity in ('critical', 'high') and ws >= timestamp '2024-01-10'""")
+def filtered_alerts(s, d):
+    return serving.filtered(_alerts(s, d), patient_id="P001", severities=["critical", "high"], since=F.expr("timestamp'2024-01-10 00:00:00'")).select("alert_id", "patient_id", "alert_type", "severity")
+
+
 @query("with " + ALERTS_SQL + " select alert_id from alerts where ws >= timestamp '2024-01-16'")
 def new_alerts_antijoin(s, d):
     a = _alerts(s, d)
@@ -554,7 +559,7 @@ def ledger_state(s, d):
     return tables.ledger_state(_ledger(s, d)).withColumn("file_day", F.col("file_day").cast("string"))
 
 
-@query("with " + fx.READINGS_SQL + ", m as (select patient_id, max(floor(epoch(event_time))::bigint) as last_seen from readings group by 1) select patient_id, last_seen, 1706659200 - last_seen > 86400 as stale from m")
+@query("with " + fx.READINGS_SQL + ", m as (select patient_id, max(floor(epoch(event_time))::bigint) as last_seen, count(*) filter (where floor(epoch(event_time))::bigint > 1706659200 - 86400)::double / 86400.0::double as rate from readings group by 1) select patient_id, last_seen, rate, 1706659200 - last_seen > 86400 as stale from m")
 def monitor_stale(s, d):
     return monitors.stale_sources(fx.readings(s, d), "patient_id", "event_time", 1706659200, DAY)
 
@@ -680,11 +685,11 @@ def lab_missing_days(s, d):
 @query("with " + _GAPPY_SQL + """, asked as (select event_id, ts, (ts::date - interval '1 day')::date as file_day from events),
 late as (select event_id, case when l.file_day is not null then 0 else greatest((epoch_us(ts) - epoch_us(asked.file_day + interval '30 hours'))::double / 3600000000.0::double, 0) end as h
   from asked left join (select file_day from led where status in ('loaded', 'quarantined')) l on l.file_day = asked.file_day)
-  select event_id, (h > 4)::int as overdue, round(h, 2) as hours_late from late""")
+  select event_id, (h > 4)::int as overdue, round(h, 2) as hours_late, h > 2 and h <= 4 as late from late""")
 def lab_overdue(s, d):
     moments = s.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("now"))
     asked = serving.overdue(moments.select("now").distinct(), _gappy_ledger(s, d))
-    return moments.join(asked, "now").select("event_id", "overdue", "hours_late")
+    return moments.join(asked, "now").select("event_id", "overdue", "hours_late", "late")
 
 
 @query("""select event_id, case when ts + to_hours(24 + event_id % 12) <= date_trunc('day', ts) + interval '31 hours' then 'on_time' else 'late' end as arrival from events""")
