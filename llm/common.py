@@ -59,10 +59,11 @@ def text_hash(text: Column, salt: int = 0) -> Column:
 def range_numbered(df: DataFrame, *order: str) -> DataFrame:
     """Sort by ``order`` over all partitions and add ``part`` and ``idx``, the place of a row inside its part.
 
-    (part, idx) follows the order. The result is checkpointed, because range bounds are sampled and a second
-    evaluation could place rows otherwise. No part holds more than a range partition.
+    (part, idx) follows the order. The rows, which are to be narrow, are written before they are sampled for the range
+    bounds, so that what they are computed from is read once. The result is checkpointed, because a second evaluation
+    could place rows otherwise. No part holds more than a range partition.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = cut(df).repartitionByRange(*order).sortWithinPartitions(*order)
     row = F.monotonically_increasing_id()
     return cut(ordered.withColumn("_row", row)).select(
         *df.columns, F.shiftright("_row", 33).alias("part"), F.col("_row").bitwiseAND((1 << 33) - 1).alias("idx")
