@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
@@ -27,9 +28,9 @@ from pyspark.sql.types import StructType
 from llm.common import ship_code, table
 
 #: A Python worker forgets the pieces that it knows when they are more than these.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Characters of text that are cut into pieces at a time.
-GROUP = 1 << 21
+GROUP = 1 << 19
 #: Rows of a batch that are in Python at a time.
 ROWS = 1 << 9
 Path = str | Callable[[], str]
@@ -46,14 +47,14 @@ class PairRanks:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bits = 20
-        pairs = {}
+        pairs, merged = array("q"), array("i")  # a pair is there once, as the token that it makes and its place in it tell
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left = ranks.get(token[:i])
                 if left is not None and (right := ranks.get(token[i:])) is not None:
-                    pairs[left << self.bits | right] = rank
-        keys = np.fromiter(pairs, np.int64, len(pairs))
-        values = np.fromiter(pairs.values(), np.int32, len(pairs))
+                    pairs.append(left << self.bits | right)
+                    merged.append(rank)
+        keys, values = np.array(pairs, np.int64), np.array(merged, np.int32)
         self.size_bits = max(4, int(len(pairs) * 3).bit_length())
         self.keys, self.values = np.full(1 << self.size_bits, -1, np.int64), np.full(1 << self.size_bits, NONE, np.int32)
         slots = self._slot(keys)

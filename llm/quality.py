@@ -23,7 +23,7 @@ SHARDS, EPOCHS = 4, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.0
 THRESHOLD = 0.3
 #: Bytes of text that are turned into features at a time, a multiple of the powers below.
-PART = 1 << 19
+PART = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -133,17 +133,22 @@ def _parts(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = stop
 
 
-def _counted(raw: bytes) -> tuple[np.ndarray, int]:
-    """How often each slot is a feature of a text, and its words. A text in parts has the features that it has whole."""
-    found, words = np.zeros(DIMENSIONS, np.int64), 0
+def _counted(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """The slots of a text's features, how often each is one, and the text's words. A text in parts has the features that it has whole."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    words = 0
     last = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     for spelled, shapes in _parts(raw):
         if len(spelled):
             both = np.concatenate((last[0], spelled)), np.concatenate((last[1], shapes))
-            found += np.bincount(features(np.zeros(len(both[0]), np.int8), *both, carried=len(last[0]) > 0)[1], minlength=DIMENSIONS)
+            found.append(np.unique(features(np.zeros(len(both[0]), np.int8), *both, carried=len(last[0]) > 0)[1], return_counts=True))
             words += len(spelled)
             last = spelled[-1:], shapes[-1:]
-    return found, words
+        if len(found) > 1:  # one table for all parts so far
+            slots, place = np.unique(np.concatenate([s for s, _ in found]), return_inverse=True)
+            found = [(slots, np.bincount(place, np.concatenate([n for _, n in found])).astype(np.int64))]
+    slots, counts = found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return slots, counts, words
 
 
 def dot_products(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
@@ -166,8 +171,8 @@ def dot_products(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
         if len(raw) > PART:
-            found, words = _counted(raw)
-            total[i] = found @ weights / max(words, 1)
+            slots, counts, words = _counted(raw)
+            total[i] = weights[slots] @ counts / max(words, 1)
             continue
         held.append(raw)
         which.append(i)
@@ -181,9 +186,8 @@ def dot_products(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
 
 
 def _vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-    found, words = _counted(text.encode("utf-8", "surrogatepass"))
-    slots = np.flatnonzero(found)
-    return slots, found[slots] / max(words, 1)
+    slots, counts, words = _counted(text.encode("utf-8", "surrogatepass"))
+    return slots, counts / max(words, 1)
 
 
 def ftrl(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> np.ndarray:

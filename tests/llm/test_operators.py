@@ -322,9 +322,9 @@ def test_quality_parts_of_a_long_text_score_as_one(monkeypatch):
     texts = ["word. " * 9000, "", None, "A b " * 5000, "x" * 9000, "aB1" * 9000 + " " + prose(rnd, 3000) + " " + "Zz9!" * 5000 + " end", " " * 20000, prose(rnd, 4000) + " " + "q" * 8192, "é" * 9001 + " é"]
     whole, counted = quality.dot_products(texts, w), [quality._counted((t or "").encode()) for t in texts]
     monkeypatch.setattr(quality, "PART", 1 << 12)
-    for text, (slots, words) in zip(texts, counted):
-        found, n = quality._counted((text or "").encode())
-        assert n == words == len(split(text)) and np.array_equal(found, slots)
+    for text, (slots, counts, words) in zip(texts, counted):
+        found, times, n = quality._counted((text or "").encode())
+        assert n == words == len(split(text)) and np.array_equal(found, slots) and np.array_equal(times, counts)
     assert np.allclose(quality.dot_products(texts, w), whole, rtol=1e-9, atol=1e-9)
 
 
