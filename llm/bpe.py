@@ -30,7 +30,7 @@ from llm.common import ship_code, table
 #: A Python worker forgets the pieces that it knows when they are more than these.
 REMEMBERED = 1 << 17
 #: Characters of text that are cut into pieces at a time.
-GROUP = 1 << 19
+GROUP = 1 << 20
 #: Rows of a batch that are in Python at a time.
 ROWS = 1 << 9
 Path = str | Callable[[], str]
