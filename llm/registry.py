@@ -1,6 +1,6 @@
 """The queries of this package, and SQL where SQL can express them."""
 
-from llm import bpe, fingerprints, html_text, line_dedup, mixing, neighbours, quality, sharding, simhash, toxicity
+from llm import bpe, codes, fingerprints, html_text, line_dedup, mixing, neighbours, packing, quality, sharding, simhash, toxicity, whitening
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,9 @@ QUERIES = {
         bpe.op8_bpe,
         toxicity.op9_toxicity,
         html_text.op10_html,
+        codes.op11_codes,
+        whitening.op12_whitening,
+        packing.op13_packing,
     )
 }
-ORACLES = {"op1_mixing": mixing.OP1_SQL, "op6_line_dedup": line_dedup.OP6_SQL}
+ORACLES = {"op1_mixing": mixing.OP1_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op11_codes": codes.OP11_SQL}
