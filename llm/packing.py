@@ -22,6 +22,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ QUEUES = 4096
 #: Up to so many (task, source) pairs their starts are broadcast; they are counted first.
 BROADCAST_STARTS = 200_000
 #: A Python worker keeps the units of text that it met last, at least so many and at most twice as many.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Characters of text that are encoded at a time.
-GROUP = 1 << 20
+GROUP = 1 << 22
 Path = str | Callable[[], str]
 #: What the tokenizer's pattern takes for white space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -60,19 +61,26 @@ class Units:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def packed(self, texts: list[list[str]]) -> list[bytes]:
+    def __call__(self, units: list[str]) -> list[bytes]:
+        """The packed ids of different units."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        young, missing = self.young, []
-        for unit in set().union(*texts).difference(young):
-            if (found := self.old.get(unit)) is not None:
-                young[unit] = found
-            else:
-                missing.append(unit)
-        if missing:
-            young.update(zip(missing, self.encode([self.text(unit) for unit in missing])))
-        find = young.__getitem__
-        return [b"".join(map(find, units)) for units in texts]
+        young, old = self.young, self.old
+        if missing := [unit for unit in units if unit not in young]:
+            new = [unit for unit in missing if unit not in old]
+            young.update((unit, old[unit]) for unit in missing if unit in old)
+            young.update(zip(new, self.encode([self.text(unit) for unit in new])))
+        return [young[unit] for unit in units]
+
+    def joined(self, lists: pa.ListArray, skip: int = 0) -> list[bytes]:
+        """The packed ids of each list of units, but for its first ``skip`` units; each different unit is looked up once."""
+        found = lists.flatten().dictionary_encode()
+        ids = pa.array(self(found.dictionary.to_pylist()), pa.large_binary()).take(found.indices)
+        if not len(ids):
+            return [b""] * len(lists)
+        ends, raw = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2])
+        bounds = lists.offsets.to_numpy()
+        return [bytes(raw[a:b]) for a, b in zip(ends[np.minimum(bounds[:-1] + skip, bounds[1:])].tolist(), ends[bounds[1:]].tolist())]
 
 
 class Encoder:
@@ -92,7 +100,7 @@ class Encoder:
         self.units = Units(self._encode)
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        """The ids of units that begin with white space are found in long strings of them, for less work; the others' alone."""
+        """The ids of units that begin with white space are found in strings of 64 of them, for less work; the others' alone."""
         alone = [i for i, u in enumerate(units) if u[0] not in " \n" or u[-1] in " \n"]
         long = sorted(set(range(len(units))).difference(alone))
         out: list[bytes] = [b""] * len(units)
@@ -100,9 +108,10 @@ class Encoder:
             some = alone[at : at + 4096]
             for i, found in zip(some, self.tokenizer.encode_batch_fast([units[i] for i in some], add_special_tokens=False)):
                 out[i] = np.array(found.ids, self.kind).tobytes()
-        for at in range(0, len(long), 1024):
-            some = long[at : at + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(units[i] for i in some)], add_special_tokens=False)[0].ids, self.kind)
+        for at in range(0, len(long), 4096):
+            some = long[at : at + 4096]
+            strings = ["".join(units[i] for i in some[k : k + 64]) for k in range(0, len(some), 64)]
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
             ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(units[i].encode()) for i in some])) + 1
             raw, ends = ids.tobytes(), (ends * self.kind.itemsize).tolist()
             for i, a, b in zip(some, [0, *ends], ends):
@@ -111,9 +120,11 @@ class Encoder:
 
     def _group(self, texts: list[str]) -> list[bytes]:
         plain = [bool(t) and not t[0].isspace() and not any(x in t for x in _PAIRS) and not any(x in t for x in _OTHER_ASCII) and (t.isascii() or not any(x in t for x in _OTHER)) for t in texts]
-        # the first unit of a text is like the first of a line, without the line end's id
-        fast = iter(self.spaced.packed([("\n" + t).replace("\n", " \n").split(" ")[1:] for t, p in zip(texts, plain) if p]))
-        slow = iter(self.units.packed([_UNIT.findall(t) for t, p in zip(texts, plain) if not p]))
+        # Line ends become units' first characters. The first unit of a text is like that of a line, without the line end's
+        # id; before it is an empty unit.
+        lines = pa.array([("\n" + t).replace("\n", " \n") for t, p in zip(texts, plain) if p], pa.string())
+        fast = iter(self.spaced.joined(pc.split_pattern(lines, " "), 1))
+        slow = iter(self.units.joined(pa.array([_UNIT.findall(t) for t, p in zip(texts, plain) if not p], pa.list_(pa.string()))))
         return [next(fast)[self.kind.itemsize :] if p else next(slow) for p in plain]
 
     def _parts(self, text: str) -> Iterator[str]:
