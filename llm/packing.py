@@ -261,24 +261,37 @@ class Plan:
         bounds = start + np.concatenate([np.zeros((1, len(left)), np.int64), np.cumsum(served, axis=0)])
         return np.ascontiguousarray(bounds.T), np.ascontiguousarray((np.cumsum(served, axis=1) - served).T)
 
-    def pieces(self, queue: int, start: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of tokens ``start`` on of a queue: each piece's place among them, its length, its window and its offset there."""
+    def windows_of(self, queue: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows that take tokens ``start`` to ``end`` of a queue: the first token, its offset there, and the window.
+
+        A window that takes none has the first token of the next one.
+        """
         block = min(start * self.total // (self.totals[queue] * self.width * self.block), (self.windows - 1) // self.block)
         while self.before(block)[queue] > start:
             block -= 1
         while self.before(block + 1)[queue] <= start:
             block += 1
-        found, at, end = [], start, start + size
+        found, at = [], start
         while at < end:
             bounds, offsets = (x[queue] for x in self.dealt(block))
-            one, last = np.searchsorted(bounds, at, "right") - 1, min(int(np.searchsorted(bounds, end, "left")), len(bounds) - 1)
-            cuts = np.concatenate(([at], bounds[one + 1 : last], [min(end, bounds[-1])]))
-            length = np.diff(cuts)
-            some = length > 0
-            found.append((cuts[:-1][some] - start, length[some], (np.arange(one, last) + block * self.block)[some], (offsets[one:last] + cuts[:-1] - bounds[one:last])[some]))
-            at, block = int(cuts[-1]), block + 1
+            found.append((bounds[:-1], offsets, block * self.block + np.arange(len(offsets))))
+            at, block = int(bounds[-1]), block + 1
         return tuple(np.concatenate(x) for x in zip(*found))
 
+    def pieces(self, queue: int, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents that follow each other in a queue, up to ``end``: each piece's first token, its document, length, window and offset there."""
+        first, offsets, windows = self.windows_of(queue, int(starts[0]), end)
+        cuts = np.unique(np.concatenate((starts, first[(first > starts[0]) & (first < end)])))
+        at = np.searchsorted(first, cuts, "right") - 1
+        return cuts, np.searchsorted(starts, cuts, "right") - 1, np.diff(cuts, append=end), windows[at], offsets[at] + cuts - first[at]
+
+
+def _runs(queue: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of documents that follow each other in a queue, in their order."""
+    order = np.lexsort((first, queue))
+    new = (np.diff(queue[order]) != 0) | (first[order][1:] != (first + n)[order][:-1])
+    yield from np.split(order, np.flatnonzero(new) + 1)
+
 
 def queues(rows: DataFrame) -> tuple[DataFrame, list[int]]:
     """(source, part, queue, first): each task's place in its source's queue, and the tokens of every queue.
@@ -322,18 +335,19 @@ def pack(docs: DataFrame, path: Path, width: int = WIDTH) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan(totals, width)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                found, sums, times = [], [], []
-                for queue, first, n, ids in zip(*(rows.column(c).to_pylist() for c in ("queue", "first", "n", "ids"))):
-                    own = plan.pieces(queue, first, n)
-                    raw = memoryview(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes())
-                    sums += [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(own[0].tolist(), own[1].tolist())]
-                    found.append(own)
-                    times.append(len(own[0]))
-                each = np.repeat(np.arange(len(times)), times)
-                start, length, window, offset = (np.concatenate(x) for x in zip(*found))
-                columns = [rows.column("doc_id").take(pa.array(each)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), rows.column("n").take(pa.array(each)), pa.array(window), pa.array(offset)]
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                queue, first, n = (rows.column(c).to_numpy() for c in ("queue", "first", "n"))
+                ids, found, sums = rows.column("ids"), [], []
+                for run in _runs(queue, first, n):
+                    cuts, document, length, window, offset = plan.pieces(int(queue[run[0]]), first[run], int(first[run[-1]] + n[run[-1]]))
+                    raw = b"".join(ids[i].as_py() for i in run.tolist())
+                    raw = memoryview(np.frombuffer(raw, "<u2" if len(raw) == 2 * n[run].sum() else "<u4").astype("<u4").tobytes())
+                    edges = (4 * (np.append(cuts, cuts[-1] + length[-1]) - cuts[0])).tolist()
+                    sums += [zlib.crc32(raw[a:b]) for a, b in zip(edges, edges[1:])]
+                    found.append((run[document], cuts - first[run][document], length, window, offset))
+                row, start, length, window, offset = (np.concatenate(x) for x in zip(*found))
+                columns = [rows.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(n[row]), pa.array(window), pa.array(offset)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
