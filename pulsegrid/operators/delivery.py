@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import rules
-from pulsegrid.functions.validation import LAB_COLUMNS
+from pulsegrid.functions.validation import LAB_COLUMNS, number
 from pulsegrid.operators.tables import resolve
 
 
@@ -15,7 +15,7 @@ def lab_events(rows: DataFrame, schema_version: int = 1) -> DataFrame:
     """(key, value) messages of valid lab rows: cells trimmed, the test in upper case, the result as a number."""
     cells = {c: F.trim(F.col(c).cast("string")) for c in LAB_COLUMNS}
     cells["test_type"] = F.upper(cells["test_type"])
-    cells["result_value"] = cells["result_value"].try_cast("double")
+    cells["result_value"] = number(cells["result_value"])
     body = F.struct(*[x.alias(c) for c, x in cells.items()], F.lit(schema_version).alias("schema_version"), "source_file", F.col("file_day").cast("string").alias("file_day"), "row_number")
     return rows.where(F.size("error_reasons") == 0).select(cells["patient_id"].alias("key"), F.to_json(body).alias("value"))
 
@@ -33,18 +33,29 @@ def dead_letter_table(letters: DataFrame, order: str = "detected_at") -> DataFra
     return resolve(letters.withColumn("_at", F.col(order)), ["source", "origin"], ["_at"], first=True).drop("_at")
 
 
-def deliveries(files: DataFrame) -> DataFrame:
-    """What each delivery (file_day, seq, checksum, decision) does: ``outcome``.
+#: Deliveries of a day that are scanned together, by ``seq``.
+BLOCK = 4096
+
+
+def deliveries(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """What each delivery (file_day, seq, checksum, decision, and ``origin`` for equal seq) does: ``outcome``.
 
     Once a day is loaded only another good file replaces it, so the ledger row before a delivery is the last good one
     before it. Equal content is a ``duplicate``; a bad file after a loaded one is ``quarantined_file_only`` and leaves
-    the row as it is; else the ledger takes the decision. A day has a handful of deliveries, so a window by day is small.
+    the row as it is; else the ledger takes the decision. Days of any number of deliveries are scanned in blocks of seq:
+    the last good one of each block is carried into the next ones, and within a block a window looks back.
     """
-    before = Window.partitionBy("file_day").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    turn = ["seq", *(c for c in ("origin",) if c in files.columns)]
     good = F.col("decision") == "loaded"
-    loaded = F.last(F.when(good, F.col("checksum")), ignorenulls=True).over(before)
+    dealt = files.withColumn("_block", F.floor(F.col("seq") / block))
+    last = dealt.where(good).groupBy("file_day", "_block").agg(F.max_by("checksum", F.struct(*turn)).alias("_last"))
+    ahead = Window.partitionBy("file_day").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = dealt.select("file_day", "_block").distinct().join(last, ["file_day", "_block"], "left").withColumn("_carried", F.last("_last", ignorenulls=True).over(ahead))
+    before = Window.partitionBy("file_day", "_block").orderBy(*turn).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(blocks.select(F.col("file_day").alias("_day"), F.col("_block").alias("_of"), "_carried"), F.col("file_day").eqNullSafe(F.col("_day")) & (F.col("_block") == F.col("_of")))
+    loaded = F.coalesce(F.last(F.when(good, F.col("checksum")), ignorenulls=True).over(before), "_carried")
     outcome = F.when(loaded == F.col("checksum"), "duplicate").when(~good & loaded.isNotNull(), "quarantined_file_only").otherwise(F.col("decision"))
-    return files.withColumn("outcome", outcome)
+    return joined.withColumn("outcome", outcome).select(*files.columns, "outcome")
 
 
 def labs_ready(ledger: DataFrame, stored: DataFrame) -> DataFrame:

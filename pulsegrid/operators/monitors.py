@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 DAY = 86_400
 
 
-def _trailing(counts: DataFrame, key: str, seconds: int, **sums: str) -> DataFrame:
-    """``counts`` (key, t, ...) with sums over the trailing range of each row.
+def _trailing(counts: DataFrame, key: str, seconds: int, total=F.sum, **sums: str) -> DataFrame:
+    """``counts`` (key, t, ...) with sums, or another aggregate, over the trailing range of each row.
 
     The windows are of a key and a stretch of time, at least as long as the range, so that a long history is split; rows
     near the end of a stretch also go to the next one, which looks back on them.
@@ -20,7 +20,7 @@ def _trailing(counts: DataFrame, key: str, seconds: int, **sums: str) -> DataFra
     near = F.when(F.col("t") >= (own + 1) * width - seconds, F.array(own, own + 1)).otherwise(F.array(own))
     dealt = counts.withColumn("_own", own).withColumn("_stretch", F.explode(near))
     w = Window.partitionBy(key, "_stretch").orderBy("t").rangeBetween(-seconds, 0)
-    return dealt.withColumns({to: F.sum(c).over(w) for to, c in sums.items()}).where("_own = _stretch").drop("_own", "_stretch")
+    return dealt.withColumns({to: total(F.col(c)).over(w) for to, c in sums.items()}).where("_own = _stretch").drop("_own", "_stretch")
 
 
 def trailing_share(events: DataFrame, key: str, at: str, bad: str, seconds: int, limit: float) -> DataFrame:
@@ -31,17 +31,33 @@ def trailing_share(events: DataFrame, key: str, at: str, bad: str, seconds: int,
 
 
 def _runs(states: DataFrame, flag: str, order: str, *by: str) -> DataFrame:
-    """The runs of equal flags in order: flag, since, until."""
+    """The runs of equal flags in order: flag, since, until. Where there is ``apart``, a state that has it begins a run in any case."""
     w = Window.partitionBy(*by).orderBy(order)
-    starts = F.when(F.coalesce(F.lag(flag).over(w) != F.col(flag), F.lit(True)), 1).otherwise(0)
-    numbered = states.withColumn("_s", starts).withColumn("_i", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    breaks = F.coalesce(F.lag(flag).over(w) != F.col(flag), F.lit(True)) | (F.col("apart") if "apart" in states.columns else F.lit(False))
+    numbered = states.withColumn("_s", F.when(breaks, 1).otherwise(0)).withColumn("_i", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(*by, flag, "_i").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("_i")
 
 
-def sustained(states: DataFrame, key: str, at: str, flag: str, seconds: int) -> DataFrame:
-    """The stretches in which a flag holds without a break for at least so long; runs of a day are joined to longer ones."""
+def runs(states: DataFrame, key: str, at: str, flag: str) -> DataFrame:
+    """(key, flag, since, until): the longest stretches of equal flags of each key.
+
+    A day is summarised by its runs. Those between its first and its last one are done; only these two can go on into the
+    neighbouring days, so two rows a day and key are all that is merged over a key's history, however often a flag flips.
+    """
     daily = states.select(key, flag, F.col(at).alias("since"), F.col(at).alias("until"), F.floor(F.col(at) / DAY).alias("_day"))
-    held = _runs(_runs(daily, flag, "since", key, "_day"), flag, "since", key).where(flag)
+    found = _runs(daily, flag, "since", key, "_day")
+    day = Window.partitionBy(key, "_day")
+    placed = found.withColumns({"_first": F.min("since").over(day), "_last": F.max("since").over(day), "_n": F.count("*").over(day)})
+    edge = (F.col("since") == F.col("_first")) | (F.col("since") == F.col("_last"))
+    inner = placed.where(~edge).select(key, flag, "since", "until")
+    # a day's last run doesn't go on from its first one where others lie between
+    ends = placed.where(edge).select(key, flag, "since", "until", ((F.col("_n") > 2) & (F.col("since") == F.col("_last"))).alias("apart"))
+    return _runs(ends, flag, "since", key).unionByName(inner)
+
+
+def sustained(states: DataFrame, key: str, at: str, flag: str, seconds: int) -> DataFrame:
+    """The stretches in which a flag holds without a break for at least so long."""
+    held = runs(states, key, at, flag).where(flag)
     return held.where(F.col("until") - F.col("since") >= seconds).select(key, "since", "until")
 
 
@@ -58,12 +74,79 @@ def trailing_count(events: DataFrame, key: str, at: str, bad, seconds: int, limi
     return _trailing(counts, key, seconds, n="m").select(key, "t", "n").withColumn("firing", F.col("n") > limit)
 
 
-def held_alerts(shares: DataFrame, key: str, seconds: int) -> DataFrame:
-    """When a share or count has been firing for so long without a break: the alert's since and until."""
-    return sustained(shares.select(key, "t", "firing"), key, "t", "firing", seconds)
+def _with_neighbour(samples: DataFrame, key: str, value: str, name: str, ahead: bool) -> DataFrame:
+    """``samples`` (key, t, ...) with the value of the sample before (or after) each, of any distance.
+
+    Windows are of a key and a day; the first (last) sample of each day looks at a table of a row a day.
+    """
+    dealt = samples.withColumn("_day", F.floor(F.col("t") / DAY))
+    end = F.min_by(value, "t") if ahead else F.max_by(value, "t")
+    days, inside = Window.partitionBy(key).orderBy("_day"), Window.partitionBy(key, "_day").orderBy("t")
+    look = F.lead if ahead else F.lag
+    carried = dealt.groupBy(key, "_day").agg(end.alias("_end")).withColumn("_carried", look("_end").over(days)).select(F.col(key).alias("_key"), F.col("_day").alias("_of"), "_carried")
+    joined = dealt.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_day") == F.col("_of")))
+    return joined.withColumn(name, F.coalesce(look(value).over(inside), "_carried")).drop("_day", "_key", "_of", "_carried")
+
+
+def increments(counters: DataFrame, key: str, value: str) -> DataFrame:
+    """``counters`` (key, t, a cumulative count) with ``increment`` since the sample before.
+
+    A count that is less than before has been reset and counts from 0 again. A first sample tells of no increment.
+    """
+    before = _with_neighbour(counters, key, value, "_before", ahead=False)
+    return before.withColumn("increment", F.when(F.col("_before").isNull(), 0).when(F.col(value) < F.col("_before"), F.col(value)).otherwise(F.col(value) - F.col("_before"))).drop("_before")
+
+
+def increase(counters: DataFrame, key: str, value: str, seconds: int) -> DataFrame:
+    """(key, t, increase, rate): what a counter counted in the trailing range of each sample, resets or not, and that a second.
+
+    The range is (t - seconds, t]. Counts are as they are, not stretched to the ends of the range.
+    """
+    found = _trailing(increments(counters, key, value), key, seconds - 1, increase="increment")
+    return found.select(key, "t", "increase", (F.col("increase") / float(seconds)).alias("rate"))
+
+
+def delta(gauges: DataFrame, key: str, value: str, seconds: int) -> DataFrame:
+    """(key, t, delta): how much a gauge has changed over the samples in the trailing range of each; changes may be negative."""
+    found = _trailing(gauges, key, seconds - 1, F.first, _first=value)
+    return found.select(key, "t", (F.col(value) - F.col("_first")).alias("delta"))
+
+
+def evaluated(samples: DataFrame, key: str, value: str, step: int, look_back: int, until: int) -> DataFrame:
+    """(key, t, value, absent): the samples (key, t, value) as they are seen at each multiple of ``step`` from a key's first one to ``until``.
+
+    What is seen is the last sample, unless it is ``look_back`` old; from then on to the next one the value is absent. So
+    a condition can hold, and a source can be missed, at times at which nothing comes.
+    """
+    after = _with_neighbour(samples.where(F.col("t") <= until).select(key, "t", value), key, "t", "_next", ahead=True)
+    first = F.ceil(F.col("t") / step) * step
+    last = F.floor((F.coalesce(F.col("_next") - 1, F.lit(until))) / step) * step
+    points = F.when(first <= last, F.sequence(first, last, F.lit(step).cast("long")))
+    seen = after.select(key, F.col("t").alias("_at"), value, F.explode(points).alias("t"))
+    absent = F.col("t") - F.col("_at") >= look_back
+    return seen.select(key, "t", F.when(~absent, F.col(value)).alias(value), absent.alias("absent"))
+
+
+def alert_states(points: DataFrame, key: str, condition, hold: int, step: int) -> DataFrame:
+    """(key, pending_at, firing_at, resolved_at): the alerts of a condition over the points of an evaluation (key, t, ...).
+
+    An alert is pending from the first point at which the condition holds, firing from the first one at which it has held for
+    ``hold``, and resolved at the first one at which it doesn't. ``firing_at`` is null for one that never fired,
+    ``resolved_at`` for one that still is. A condition that is null doesn't hold.
+    """
+    states = points.select(key, "t", F.coalesce(condition, F.lit(False)).alias("_holds"))
+    ends = states.groupBy(F.col(key).alias("_key")).agg(F.max("t").alias("_end"))
+    found = runs(states, key, "t", "_holds").where("_holds").join(ends, F.col(key).eqNullSafe(F.col("_key")))
+    fires = F.ceil((F.col("since") + hold) / step) * step
+    return found.select(key, F.col("since").alias("pending_at"), F.when(fires <= F.col("until"), fires).alias("firing_at"), F.when(F.col("until") < F.col("_end"), F.col("until") + step).alias("resolved_at"))
+
+
+def held_alerts(shares: DataFrame, key: str, hold: int, step: int, until: int, look_back: int = 300) -> DataFrame:
+    """The alerts of a share or count that is firing at each point of an evaluation for ``hold`` without a break."""
+    return alert_states(evaluated(shares.select(key, "t", "firing"), key, "firing", step, look_back, until), key, F.col("firing"), hold, step)
 
 
-def inactive_queries(progress: DataFrame, now, seconds: int) -> DataFrame:
-    """Streaming queries whose last batch is older than so long."""
-    last = progress.groupBy("name").agg(F.max(F.unix_timestamp("at")).alias("last_batch"))
-    return last.withColumn("inactive", F.lit(now) - F.col("last_batch") > seconds)
+def inactive_queries(progress: DataFrame, until: int, step: int, look_back: int, hold: int) -> DataFrame:
+    """The alerts of streaming queries (name, at) of which no batch has been seen for ``look_back``, found between batches."""
+    batches = progress.groupBy("name", F.unix_timestamp("at").alias("t")).agg(F.count("*").alias("batches"))
+    return alert_states(evaluated(batches, "name", "batches", step, look_back, until), "name", F.col("absent"), hold, step)

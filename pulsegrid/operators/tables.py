@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.validation import LAB_COLUMNS, lab_errors
 
-_MARK = "\u0001"
-
 
 def materialised(df: DataFrame) -> DataFrame:
     """``df``, computed once for all that follows: in the shared checkpoint folder where the session has one, else in the executors' storage."""
@@ -62,20 +62,20 @@ def ledger_state(events: DataFrame) -> DataFrame:
     )
 
 
-def file_duplicates(rows: DataFrame) -> DataFrame:
+def file_duplicates(rows: DataFrame, file: str = "source_file") -> DataFrame:
     """Rows without an error that repeat (sample_id, test_type) of an earlier valid row of their file get ``duplicate_row``."""
     from pyspark.sql import Window
 
     valid = F.size("error_reasons") == 0
-    nth = F.row_number().over(Window.partitionBy("source_file", F.trim("sample_id"), F.upper(F.trim("test_type")), valid).orderBy("row_number"))
+    nth = F.row_number().over(Window.partitionBy(file, F.trim("sample_id"), F.upper(F.trim("test_type")), valid).orderBy("row_number"))
     return rows.withColumn("error_reasons", F.when(valid & (nth > 1), F.array(F.lit("duplicate_row"))).otherwise(F.col("error_reasons")))
 
 
-def file_stats(rows: DataFrame) -> DataFrame:
+def file_stats(rows: DataFrame, file: str = "source_file") -> DataFrame:
     """Rows, valid and rejected rows and the reject rate of each file; an empty file has rate 1."""
     valid = F.count_if(F.size("error_reasons") == 0)
     total = F.count("*")
-    return rows.groupBy("source_file").agg(total.alias("rows_total"), valid.alias("rows_valid"), (total - valid).alias("rows_rejected"), F.coalesce(F.try_divide((total - valid).cast("double"), total.cast("double")), F.lit(1.0)).alias("reject_rate"))
+    return rows.groupBy(file).agg(total.alias("rows_total"), valid.alias("rows_valid"), (total - valid).alias("rows_rejected"), F.coalesce(F.try_divide((total - valid).cast("double"), total.cast("double")), F.lit(1.0)).alias("reject_rate"))
 
 
 def reject_reasons(rows: DataFrame) -> DataFrame:
@@ -104,37 +104,57 @@ def waiting_files(spark, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "labs_*.csv").load(folder)
 
 
+def _records(text: Column) -> Column:
+    """The records of a CSV text as arrays of cells; blank ones after the header are none.
+
+    A text without a quote is split by line ends and commas. In others a cell that begins with a quote can hold commas, line
+    ends and doubled quotes, so these are read in order, by one pass over the file.
+    """
+
+    @F.udf("array<array<string>>")
+    def read(quoted: str | None) -> list[list[str]] | None:
+        if quoted is None:
+            return None
+        csv.field_size_limit(1 << 31 - 1)
+        found = csv.reader(io.StringIO(quoted, newline=""))
+        return [record for i, record in enumerate(found) if record or not i]
+
+    has_quote = F.contains(text, F.lit('"'))
+    lines = F.split(text, "\r\n|\r|\n")
+    plain = F.transform(F.filter(lines, lambda x, i: (x != "") | (i == 0)), lambda x: F.split(x, ","))
+    return F.when(has_quote, read(F.when(has_quote, text))).otherwise(plain)
+
+
 def csv_rows(files: DataFrame) -> DataFrame:
-    """(source_file, file_day, checksum, good_header, row_number, the cells by name, wrong_count) of lab files.
+    """(source_file, file_day, checksum, good_header, origin, seq, row_number, the cells by name, wrong_count) of lab files.
 
-    Rows are numbered from 1 as data rows; blank lines are none. Cells may be quoted. A row with more cells than the
-    header has ``wrong_count``; one with fewer lacks the last ones. Files that can't be decoded or whose name or header is
-    another give one row without number and cells.
+    ``origin`` is the delivery's path and ``seq`` when it came, in milliseconds. Rows are numbered from 1 as data records;
+    blank ones are none, and a quoted cell may hold line ends. A row with more cells than the header has ``wrong_count``;
+    one with fewer lacks the last ones. Files that can't be decoded or whose name or header is another give one row
+    without number and cells.
     """
     name = F.element_at(F.split("path", "/"), -1)
     text = F.when(F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8"))
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: x != "")
-    good = F.coalesce(F.get(lines, F.lit(0)) == ",".join(LAB_COLUMNS), F.lit(False)) & file_day(name).isNotNull()
-    base = files.select(name.alias("source_file"), file_day(name).alias("file_day"), F.sha2("content", 256).alias("checksum"), good.alias("good_header"), F.when(good, F.slice(lines, 2, 1 << 30)).alias("lines"))
-    rows = base.select("source_file", "file_day", "checksum", "good_header", F.posexplode_outer("lines").alias("at", "line"))
-    # a mark after the last cell tells a row of as many cells as the header from others
-    schema = ", ".join(f"{c} string" for c in (*LAB_COLUMNS, "mark"))
-    cells = rows.withColumn("c", F.from_csv(F.concat("line", F.lit(f",{_MARK}")), schema, {"mode": "PERMISSIVE"}))
-    short = F.array_contains(F.array(*[F.coalesce(F.col(f"c.{x}"), F.lit("")) for x in LAB_COLUMNS]), _MARK)
-    wrong = F.col("line").isNotNull() & ~short & ~F.coalesce(F.col("c.mark") == _MARK, F.lit(False))
-    return cells.select("source_file", "file_day", "checksum", "good_header", (F.col("at") + 1).alias("row_number"), *[F.nullif(F.col(f"c.{x}"), F.lit(_MARK)).alias(x) for x in LAB_COLUMNS], wrong.alias("wrong_count"))
+    base = files.select(name.alias("source_file"), file_day(name).alias("file_day"), F.sha2("content", 256).alias("checksum"), F.col("path").alias("origin"), F.unix_millis("modificationTime").alias("seq"), _records(text).alias("records"))
+    header = F.array(*map(F.lit, LAB_COLUMNS))
+    good = F.coalesce(F.get("records", F.lit(0)) == header, F.lit(False)) & F.col("file_day").isNotNull()
+    named = ["source_file", "file_day", "checksum", "good_header", "origin", "seq"]
+    rows = base.withColumn("good_header", good).select(*named, F.posexplode_outer(F.when(good, F.slice("records", 2, 1 << 30))).alias("at", "cells"))
+    cells = [F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(LAB_COLUMNS)]
+    wrong = F.coalesce(F.size("cells") > len(LAB_COLUMNS), F.lit(False))
+    return rows.select(*named, (F.col("at") + 1).alias("row_number"), *cells, wrong.alias("wrong_count"))
 
 
 def checked_rows(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The numbered rows of files with ``error_reasons``: their count of cells, else the contract, else repeats in the file."""
     coded = lab_errors(rows.where("row_number is not null"), known)
     wrong = F.when(F.col("wrong_count"), F.array(F.lit("wrong_column_count"))).otherwise(F.col("error_reasons"))
-    return file_duplicates(coded.withColumn("error_reasons", wrong))
+    return file_duplicates(coded.withColumn("error_reasons", wrong), "origin")
 
 
 def file_checks(rows: DataFrame, checked: DataFrame, limit: float = 0.2) -> DataFrame:
-    """One row a file: day, checksum, header, counts and status; one with another header or without rows is quarantined."""
-    files = rows.select("source_file", "file_day", "checksum", "good_header").distinct()
-    stats = files.join(file_stats(checked), "source_file", "left")
+    """One row a delivered file: day, checksum, header, counts and status; one with another header or without rows is quarantined."""
+    files = rows.select("source_file", "file_day", "checksum", "good_header", "origin", "seq").distinct()
+    stats = files.join(file_stats(checked, "origin"), "origin", "left")
     counted = stats.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows_total", "rows_valid", "rows_rejected")} | {"reject_rate": F.coalesce("reject_rate", F.lit(1.0))})
     return file_decision(counted, limit)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.functions.validation import dead_letters, parse_dead_letters, parse_labs, parse_vitals, valid_vitals
 from pulsegrid.operators import delivery, tables, windows
+from pulsegrid.streaming import logs
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -83,27 +85,48 @@ def start(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None], chec
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _logged(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A log of batches, an empty one before its first batch."""
-    try:
-        return spark.read.schema(f"{schema}, epoch int, batch_id long").parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], f"{schema}, epoch int, batch_id long")
-
-
 LAB_LOG = "sample_id string, test_type string, patient_id string, result_value double, unit string, reference_range string, ref_low double, ref_high double, abnormal_flag string, collected_at timestamp, file_day date, source_file string"
 TREND_LOG = "patient_id string, window_start timestamp, window_end timestamp, trend string"
 ALERT_LOG = "patient_id string, window_start timestamp, window_end timestamp, alert_type string, severity string, observed_value double, threshold double, message string, alert_id string"
 
 
+FILE_LOG = "file_day date, seq long, source_file string, event string, status string, checksum string, rows_total long, rows_valid long, rows_rejected long"
+
+
+@dataclass(frozen=True)
+class Table:
+    """How a table's rows are told apart, which time has their day, and which of them wins."""
+
+    key: tuple[str, ...] = ()
+    at: str | None = None
+    order: tuple[str, ...] = ()
+    moves: bool = False
+
+
+#: A table that isn't listed keeps every row.
+TABLES = {
+    "windows": Table(("patient_id", "window_start"), "window_start"),
+    "trends": Table(("patient_id", "window_start"), "window_end"),
+    "window_alerts": Table(("alert_id",), "window_start"),
+    "trend_alerts": Table(("alert_id",), "window_start"),
+    "lab_results": Table(("sample_id", "test_type"), "collected_at", moves=True),
+    "live_status": Table(("patient_id",), None, ("window_start",)),  # a row a patient, of no day
+    "dead_letters": Table((), "detected_at"),
+    "latency": Table((), "processed_at"),
+    "vitals_outcomes": Table((), "processed_at"),
+    "labs_outcomes": Table((), "processed_at"),
+    "file_ledger": Table((), "file_day"),
+}
+
+
 @dataclass
 class Ward:
-    """The five streaming queries of a ward over shared folders: tables are logs of batches under ``root``, messages go to ``publish``.
+    """The five streaming queries of a ward over shared folders: tables are keyed logs under ``root``, messages go to ``publish``.
 
-    ``known`` gives the roster anew for every batch that asks for it. A batch writes its own folders again when it is
-    replayed; what it publishes it may publish again, under the same alert id or origin.
+    ``known`` gives the roster anew for every batch that asks for it; the stateful queries plan the frame that it gives at
+    their start anew for every batch, so that a roster read by JDBC is the present one there too. A batch writes its own
+    folders again when it is replayed; what it publishes it may publish again, under the same alert id or origin.
+    What a batch looks up is bounded by its own days and by the tails of the logs, not by their history.
     """
 
     spark: SparkSession
@@ -114,27 +137,32 @@ class Ward:
     epoch: int = 0
     trigger: dict = field(default_factory=lambda: {"availableNow": True})
     least_readings: int = 20
+    tail: int = logs.TAIL
 
-    def log(self, name: str) -> Callable[[DataFrame, int], None]:
-        return write_log(f"{self.root}/{name}", self.epoch)
+    def stored(self, name: str) -> logs.KeyedLog:
+        own = TABLES.get(name, Table())
+        return logs.KeyedLog(self.spark, f"{self.root}/{name}", own.key, own.at, own.order, own.moves, self.epoch, self.tail)
 
-    def table(self, name: str, schema: str) -> DataFrame:
-        return _logged(self.spark, f"{self.root}/{name}", schema)
+    def log(self, name: str) -> Callable[[DataFrame, int], None]:
+        return self.stored(name).append
 
     def raise_alerts(self, alerts: DataFrame, batch_id: int, name: str) -> None:
-        """Publish those that no earlier batch has stored, then store all: a crash in between publishes again and loses none."""
-        stored = self.table(name, ALERT_LOG).where((F.col("epoch") == self.epoch) & (F.col("batch_id") <= batch_id))
-        new = tables.new_rows(alerts, stored, "alert_id")
-        self.publish(new.select(F.col("patient_id").alias("key"), F.to_json(F.struct(*alerts.columns)).alias("value"), F.lit("alerts").alias("topic")))
+        """Publish those that no earlier batch has stored, then store all: a crash in between publishes again and loses none.
+
+        An alert's id fixes its window, so only the days of the batch's windows are looked through.
+        """
+        low, high = alerts.agg(F.to_date(F.min("window_start")), F.to_date(F.max("window_start"))).first()
+        if low is not None:
+            stored = self.stored(name).rows(ALERT_LOG, low, high).where(F.col("batch_id") <= batch_id)
+            new = tables.new_rows(alerts, stored, "alert_id")
+            self.publish(new.select(F.col("patient_id").alias("key"), F.to_json(F.struct(*alerts.columns)).alias("value"), F.lit("alerts").alias("topic")))
         self.log(name)(alerts, batch_id)
 
     def score(self, batch: DataFrame) -> DataFrame:
         """The windows of a batch scored by the labs and trends of the time that they need, read as they are now."""
         low, high = batch.agg(F.min("window_start"), F.max("window_end")).first()
-        labs = tables.newest_epoch(self.table("lab_results", LAB_LOG), ["sample_id", "test_type"])
-        labs = labs.where((F.col("collected_at") > F.lit(low) - F.expr("interval 48 hours")) & (F.col("collected_at") <= F.lit(high)))
-        trends = tables.newest_epoch(self.table("trends", TREND_LOG), ["patient_id", "window_start"])
-        trends = trends.where((F.col("window_end") > F.lit(low) - F.expr("interval 2 hours")) & (F.col("window_end") <= F.lit(high)))
+        labs = self.stored("lab_results").table(LAB_LOG, low - timedelta(hours=48), high)
+        trends = self.stored("trends").table(TREND_LOG, low - timedelta(hours=2), high)
         return windows.window_scores(batch, windows.lab_adjustments(batch, labs), windows.latest_trend(batch, trends))
 
     def score_sink(self, batch: DataFrame, batch_id: int) -> None:
@@ -165,7 +193,7 @@ class Ward:
             rows = parse(batch, self.known()).persist()
             try:
                 good = F.size("error_reasons") == 0
-                self.log(f"{source_name}_outcomes")(rows.groupBy(F.when(good, "valid").otherwise(F.get("error_reasons", F.lit(0))).alias("outcome")).agg(F.count("*").alias("n")), batch_id)
+                self.log(f"{source_name}_outcomes")(rows.groupBy(F.when(good, "valid").otherwise(F.get("error_reasons", F.lit(0))).alias("outcome")).agg(F.count("*").alias("n"), F.current_timestamp().alias("processed_at")), batch_id)
                 self.publish(dead_letters(rows.where(~good), source_name).withColumn("topic", F.lit("deadletter")))
                 if keep:
                     self.log(keep)(rows.where(good).drop("error_reasons", "raw_payload", "origin"), batch_id)
@@ -178,28 +206,60 @@ class Ward:
         self.log("dead_letters")(parse_dead_letters(batch.select(F.col("value").cast("string").alias("value"))), batch_id)
 
     def file_sink(self, batch: DataFrame, batch_id: int) -> None:
-        """Publish the rows of loadable files, valid and rejected ones in one frame of two topics, then write the ledger.
+        """Publish the rows of files that are to be loaded, valid and rejected ones in one frame of two topics, then write the ledger.
 
-        The stream's checkpoint marks the files only after both, so that a crash replays them.
+        What a file does is decided before anything is published, by the ledger of its day and the files of the batch before
+        it: one with the content of the loaded one is a duplicate, and a bad one after a good one leaves the day as it is. The
+        stream's checkpoint marks the files only after all, so that a crash replays them: the ledger of this batch is not
+        looked at then, and decisions are the same again.
         """
         rows = tables.csv_rows(batch).persist()
         try:
             checked = tables.checked_rows(rows, self.known())
-            checks = tables.file_checks(rows, checked).persist()
-            loaded = checked.join(checks.where("status = 'loaded'").select("source_file"), "source_file", "left_semi")
+            days = rows.agg(F.min("file_day"), F.max("file_day")).first()
+            before = self.stored("file_ledger").rows(FILE_LOG, *days) if days[0] else self.spark.createDataFrame([], f"{FILE_LOG}, batch_id long")
+            loaded_before = before.where((F.col("batch_id") < batch_id) & (F.col("event") == "result") & (F.col("status") == "loaded"))
+            checks = tables.file_checks(rows, checked).withColumnRenamed("status", "decision")
+            held = loaded_before.groupBy("file_day").agg(F.max_by("checksum", "seq").alias("checksum")).withColumns({"seq": F.lit(-1).cast("long"), "decision": F.lit("loaded"), "origin": F.lit("")})
+            both = checks.select("file_day", "checksum", "seq", "decision", "origin").unionByName(held)
+            decided = delivery.deliveries(both).where("seq >= 0").select("origin", "outcome")
+            found = checks.join(decided, "origin").persist()
+            loaded = checked.join(found.where("outcome = 'loaded'").select("origin"), "origin", "left_semi")
             letters = delivery.rejected_rows(loaded)
             bad = letters.select(F.lit("labs").alias("key"), F.to_json(F.struct(*letters.columns)).alias("value"), F.lit("deadletter").alias("topic"))
             self.publish(delivery.lab_events(loaded).withColumn("topic", F.lit("labs.raw")).unionByName(bad))
-            self.log("file_ledger")(checks, batch_id)
-            checks.unpersist()
+            event = F.when(F.col("outcome").isin("loaded", "quarantined"), "result").otherwise(F.col("outcome"))
+            ledger = found.withColumns({"event": event, "status": F.col("decision")}).select(*[c.split()[0] for c in FILE_LOG.split(", ")])
+            self.log("file_ledger")(ledger, batch_id)
+            found.unpersist()
         finally:
             rows.unpersist()
 
+    def receive(self, folder: str) -> int:
+        """Move the waiting lab files of a folder to this ward's inbox, each to a folder of its own, so that a name can come again.
+
+        A delivery's folder is named by when the file came, and its day's deliveries are taken in that order. Files are renamed,
+        one a lab day or so; what another process has moved meanwhile is left to it.
+        """
+        landing, moved = logs.Folder(self.spark, folder), 0
+        for name in sorted(n for n in landing.names() if n.startswith("labs_") and n.endswith(".csv")):
+            moved += landing.move(name, f"{self.inbox}/{landing.modified(name):013d}-{uuid.uuid4().hex}/{name}")
+        return moved
+
+    @property
+    def inbox(self) -> str:
+        return f"{self.root}/inbox"
+
     def start_files(self, folder: str) -> StreamingQuery:
-        """Every waiting lab file of a folder."""
-        files = self.spark.readStream.format("binaryFile").schema(tables.FILE_SCHEMA).option("pathGlobFilter", "labs_*.csv").load(folder)
+        """Every lab file that waits in a folder; deliveries under a name that came before are deliveries of their own."""
+        self.receive(folder)
+        files = self.spark.readStream.format("binaryFile").schema(tables.FILE_SCHEMA).option("pathGlobFilter", "labs_*.csv").option("recursiveFileLookup", "true").load(self.inbox)
         return start(files, "lab_files", self.file_sink, self.checkpoint, trigger=self.trigger)
 
+    def file_ledger(self) -> DataFrame:
+        """The ledger as it is now, a row a file day."""
+        return tables.ledger_state(self.stored("file_ledger").table(FILE_LOG))
+
     def start(self, vitals: DataFrame, labs: DataFrame, letters: DataFrame) -> list[StreamingQuery]:
         """All queries in one session; each goes on where its checkpoint ends."""
         configure(self.spark)

@@ -280,7 +280,7 @@ def test_lab_files_are_published_before_they_are_marked(spark, tmp_path):
     for _ in range(2):
         ward.start_files(str(folder)).awaitTermination()
     assert sorted(set(sent)) == [("deadletter", "labs"), ("labs.raw", "P001")] and sent.count(("labs.raw", "P001")) == 18
-    ledger = {r["source_file"]: (r["status"], r["rows_valid"], r["rows_total"]) for r in tables.newest_epoch(spark.read.parquet(str(tmp_path / "out" / "file_ledger")), ["source_file"]).collect()}
+    ledger = {r["source_file"]: (r["status"], r["rows_valid"], r["rows_total"]) for r in ward.stored("file_ledger").table(jobs.FILE_LOG).collect()}
     assert ledger == {"labs_2026-01-03.csv": ("loaded", 9, 10), "labs_2026-01-04.csv": ("quarantined", 0, 0)}
 
 
