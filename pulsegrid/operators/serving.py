@@ -91,11 +91,6 @@ def filtered(alerts: DataFrame, patient_id: str | None = None, severities=None,
     return alerts.where(F.expr("true") if not wanted else reduce(Column.__and__, wanted))
 
 
-def freshness(log: DataFrame, at: str, now: Column) -> DataFrame:
-    """(lag_minutes): the age of a table's newest row, to a tenth of a minute."""
-    return log.agg(F.round((F.unix_micros(now) - F.unix_micros(F.max(at))) / 6e7, 1).alias("lag_minutes"))
-
-
 def acknowledged(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     """Alerts with their last acknowledgement; the acknowledgements are a log of their own, so a re-raised alert keeps its one."""
     last = resolve(acks.select("alert_id", "acknowledged_at", "acknowledged_by"), ["alert_id"], ["acknowledged_at", "acknowledged_by"])
@@ -112,14 +107,38 @@ def patient_detail(patients: DataFrame, labs: DataFrame, alerts: DataFrame, now:
 
 
 def report_envelope(report: DataFrame) -> DataFrame:
-    """Each day's count of patients by tier, as a map, how many labs escalated, and the newest ``generated_at``, if there."""
-    tiers = report.groupBy("report_date", "risk_tier").agg(F.count("*").alias("n"), F.count_if(F.col("tier_change") == "escalated").alias("up"))
+    """Each day's count of patients by tier, as a map, how many labs escalated, and the newest ``generated_at``."""
+    tiers = report.groupBy("report_date", "risk_tier").agg(F.count("*").alias("n"), F.count_if(F.col("tier_change") == "escalated").alias("up"), F.max("generated_at").alias("at"))
     entries = F.sort_array(F.collect_list(F.struct("risk_tier", "n")))  # a row a tier
-    return tiers.groupBy("report_date").agg(F.map_from_entries(entries).alias("tiers"), F.sum("up").alias("escalated_by_labs"), F.sum("n").alias("patients"))
+    return tiers.groupBy("report_date").agg(F.map_from_entries(entries).alias("tiers"), F.sum("up").alias("escalated_by_labs"), F.sum("n").alias("patients"), F.max("at").alias("generated_at"))
 
 
 def lab_effect(report: DataFrame) -> DataFrame:
-    """How labs changed the tiers of the latest report."""
+    """How labs changed the tiers of the latest report, and by which flags; the most endangered first."""
     latest = report.join(report.agg(F.max("report_date").alias("report_date")), "report_date", "left_semi")
-    change = F.when(F.col("tier_change") == "escalated", "↑ raised by labs").otherwise("")
-    return latest.select("patient_id", "vitals_only_tier", "risk_tier", change.alias("change"), "total_score")
+    change = F.when(F.col("tier_change") == "escalated", "↑ raised by labs").otherwise("")  # fixed value: the dashboard's text
+    urgency = F.when(F.col("risk_tier") == "HIGH", 0).when(F.col("risk_tier") == "MEDIUM", 1).otherwise(2)
+    ordered = latest.orderBy(urgency, F.desc_nulls_last("total_score"), "patient_id")
+    return ordered.select("patient_id", "vitals_only_tier", "risk_tier", change.alias("change"), "total_score", F.array_join("lab_flags", ", ").alias("lab_flags"))
+
+
+def ward_summary(roster: DataFrame, live: DataFrame, alerts: DataFrame, ledger: DataFrame, report: DataFrame, now: Column, active_since: Column) -> DataFrame:
+    """One row: the ward at a glance.
+
+    Active patients, their tiers and averages, how many deteriorate, the age of the newest reading in minutes, alerts
+    since a time that nobody has acknowledged by severity, the newest lab file and the date of the latest report.
+    """
+    active = roster.where("active").select("patient_id")
+    present = live.join(active, "patient_id", "left_semi")
+    counts = lambda rows, by: F.map_from_entries(F.sort_array(F.collect_list(F.struct(by, "n"))))
+    tiers = present.groupBy("risk_tier").agg(F.count("*").alias("n")).agg(counts(present, "risk_tier").alias("tiers"))
+    open_ = alerts.where(~F.col("acknowledged") & (F.col("window_end") >= active_since)).groupBy("severity").agg(F.count("*").alias("n")).agg(counts(alerts, "severity").alias("active_alerts"))
+    means = [F.round(F.avg(f"{v}_avg"), n).alias(a) for v, n, a in (("heart_rate", 1, "hr_avg"), ("spo2", 1, "spo2_avg"), ("systolic_bp", 1, "sbp_avg"), ("temperature", 2, "temp_avg"))]
+    lag = F.round((F.unix_micros(now) - F.unix_micros(F.max("last_event_time"))) / 6e7, 1).alias("lag_minutes")
+    vitals = present.agg(F.count("*").alias("patients_reporting"), *means, lag, F.count_if(F.col("trend") == "deteriorating").alias("deteriorating"))
+    newest = ledger.agg(F.max(F.struct("file_day", "status", "rows_valid")).alias("latest_lab_file"))
+    dates = report.agg(F.max("report_date").alias("latest_report_date"))
+    out = active.agg(F.count("*").alias("patients"))
+    for one in (tiers, open_, vitals, newest, dates):
+        out = out.crossJoin(one)  # of one row each
+    return out

@@ -43,10 +43,10 @@ def _labs(s, d):
     return windows.newest_by_grain(fx.labs(s, d).select("patient_id", "test_type", "collected_at", "sample_id", "result_value", "reference_range", "unit"))
 
 
-def _built(s, d, length="1 day"):
-    """Statistics, trends and scores, each computed once."""
+def _built(s, d, length="1 day", trends=None):
+    """Statistics, trends and scores, each computed once; ``trends`` that are there already serve other windows too."""
     stats = tables.materialised(windows.tumbling_stats(fx.readings(s, d), length))
-    trends = tables.materialised(_trends(s, d))
+    trends = tables.materialised(_trends(s, d)) if trends is None else trends
     return stats, trends, tables.materialised(windows.window_scores(stats, windows.lab_adjustments(stats, _labs(s, d)), windows.latest_trend(stats, trends, 48)))
 
 
@@ -251,9 +251,9 @@ def patients_by_risk(s, d):
     return fx.roster(s, d).where("active").join(live_status(s, d), "patient_id", "left").orderBy(F.desc_nulls_last("total_score"), "patient_id").select("patient_id", "bed", "total_score", "risk_tier")
 
 
-@query("with " + EWS_SQL + f" select patient_id, strftime(ws, {FMT}) as window_start, round(heart_rate_avg, 1) as hr, round(spo2_avg, 1) as spo2 from ews where patient_id = 'P001' and ws >= timestamp '2024-01-10'")
+@query("with " + EWS_SQL + f" select patient_id, strftime(ws, {FMT}) as window_start, round(heart_rate_avg, 1) as hr, round(spo2_avg, 1) as spo2 from ews where ws >= timestamp '2024-01-10' order by patient_id, ws")
 def patient_vitals_history(s, d):
-    return _stats(s, d).where("patient_id = 'P001' and window_start >= timestamp'2024-01-10 00:00:00'").orderBy("window_start").select("patient_id", at("window_start").alias("window_start"), F.round("heart_rate_avg", 1).alias("hr"), F.round("spo2_avg", 1).alias("spo2"))
+    return _stats(s, d).where("window_start >= timestamp'2024-01-10 00:00:00'").orderBy("patient_id", "window_start").select("patient_id", at("window_start").alias("window_start"), F.round("heart_rate_avg", 1).alias("hr"), F.round("spo2_avg", 1).alias("spo2"))
 
 
 # Validation -----------------------------------------------------------------------------------------------------------
@@ -315,12 +315,12 @@ def deadletter_parse(s, d):
 
 
 # Labs -------------------------------------------------------------------------------------------------------------
-LAB_FAULTS = 11
+LAB_FAULTS = 13
 LAB_RAW_SQL = fx.LABS_SQL + "," + fx.ROSTER_SQL + f""",
 faulted as (select *, split_part(sample_id, '-', 2)::int as row_number, case when split_part(sample_id, '-', 1)::bigint % 33 = 0 then (split_part(sample_id, '-', 1)::bigint // 33 + split_part(sample_id, '-', 2)::bigint) % {LAB_FAULTS} end as fault from labs),
 raw_labs as (
   select sample_id, row_number, case when fault = 0 then '' when fault = 1 then 'X9' when fault = 10 then 'P950' else patient_id end as patient_id, case when fault = 4 then 'GLU' else test_type end as test_type,
-    case when fault = 2 then 'haemolysed' when fault = 3 then '99999999' else round(result_value, 3)::varchar end as result_value,
+    case when fault = 2 then 'haemolysed' when fault = 3 then '99999999' when fault = 11 then round(result_value, 3) || 'd' when fault = 12 then round(result_value, 3) || 'f' else round(result_value, 3)::varchar end as result_value,
     case when fault = 8 then ' ' else case test_type """ + " ".join(f"when '{t}' then '{u}'" for t, (u, *_) in rules.LAB_CATALOGUE.items()) + """ end end as unit,
     case when fault = 5 then 'normal' else reference_range end as reference_range,
     case when fault = 6 then 'morning' when fault = 9 then strftime(collected_at, '%Y-%m-%dT%H:%M:%S') else strftime(collected_at, '%Y-%m-%dT%H:%M:%SZ') end as collected_at,
@@ -350,7 +350,7 @@ def _raw_labs(s, d):
     unit = F.create_map(*[F.lit(x) for t, (u, *_) in rules.LAB_CATALOGUE.items() for x in (t, u)])
     return l.select(
         "sample_id", "row_number", F.when(is_(0), "").when(is_(1), "X9").when(is_(10), "P950").otherwise(F.col("patient_id")).alias("patient_id"), F.when(is_(4), "GLU").otherwise(F.col("test_type")).alias("test_type"),
-        F.when(is_(2), "haemolysed").when(is_(3), "99999999").otherwise(F.round("result_value", 3).cast("string")).alias("result_value"), F.when(is_(8), " ").otherwise(unit[F.col("test_type")]).alias("unit"),
+        F.when(is_(2), "haemolysed").when(is_(3), "99999999").otherwise(F.concat(F.round("result_value", 3).cast("string"), F.when(is_(11), "d").when(is_(12), "f").otherwise(""))).alias("result_value"), F.when(is_(8), " ").otherwise(unit[F.col("test_type")]).alias("unit"),
         F.when(is_(5), "normal").otherwise(F.col("reference_range")).alias("reference_range"),
         F.when(is_(6), "morning").when(is_(9), F.date_format("collected_at", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("collected_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("collected_at"),
         F.when(is_(7), F.date_add("file_day", 1)).otherwise(F.col("file_day")).alias("file_day"), F.when(is_(8), None).otherwise(1).alias("schema_version"),
@@ -364,7 +364,7 @@ def _coded_labs(s, d):
 def _lab_messages(s, d):
     """The cells as JSON messages; results that are numbers are JSON numbers."""
     cells = _raw_labs(s, d)
-    number = F.col("result_value").try_cast("double").isNotNull()
+    number = val.number(F.col("result_value")).isNotNull()
     result = F.when(number, F.col("result_value")).otherwise(F.concat(F.lit('"'), F.col("result_value"), F.lit('"')))
     rest = F.to_json(F.struct("sample_id", "patient_id", "test_type", "unit", "reference_range", "collected_at", "schema_version", F.concat(F.lit("labs_"), F.col("file_day").cast("string"), F.lit(".csv")).alias("source_file"), F.col("file_day").cast("string").alias("file_day"), "row_number"))
     text = F.concat(F.lit('{"result_value":'), result, F.lit(","), F.substring(rest, 2, 1 << 20))
@@ -470,7 +470,7 @@ def file_day_parse(s, d):
 def _report(s, d):
     """The report of all days, of hourly windows and daily alerts."""
     stats, trends, scores = _built(s, d)
-    hourly = _built(s, d, "1 hour")[2]
+    hourly = _built(s, d, "1 hour", trends)[2]
     roster, day = fx.roster(s, d), F.to_date("window_start")
     days = tables.materialised(scores.select(day.alias("report_date")).distinct())
     grid = report.day_windows(days, roster.where("active"))
@@ -642,15 +642,19 @@ def ward_averages(s, d):
     return _live(s, d).agg(F.count("*").alias("patients_reporting"), *means, F.count_if(F.col("trend") == "deteriorating").alias("deteriorating"))
 
 
-@query("with " + REPORT_SQL + """, counted as (select report_date, risk_tier, count(*) as n, count(*) filter (where tier_change = 'escalated') as up from report group by 1, 2)
-  select report_date, string_agg(risk_tier || '=' || n, ',' order by risk_tier) as tiers, sum(up)::bigint as escalated_by_labs, sum(n)::bigint as patients from counted group by 1""")
+@query("with " + REPORT_SQL + """, counted as (select report_date, risk_tier, count(*) as n, count(*) filter (where tier_change = 'escalated') as up, max(windows) as w from report group by 1, 2)
+  select report_date, string_agg(risk_tier || '=' || n, ',' order by risk_tier) as tiers, sum(up)::bigint as escalated_by_labs, sum(n)::bigint as patients,
+    strftime(report_date::date + interval '1 day' + to_minutes(max(w)), '%Y-%m-%d %H:%M:%S') as generated_at from counted group by report_date""")
 def report_envelope(s, d):
+    # a patient's row is made so many minutes after midnight as the day has windows
+    made = F.date_add("report_date", 1).cast("timestamp") + F.make_dt_interval(mins=F.col("windows").cast("int"))
     text = F.array_join(F.transform(F.map_entries("tiers"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return serving.report_envelope(_report(s, d)).select(F.col("report_date").cast("string").alias("report_date"), text.alias("tiers"), "escalated_by_labs", "patients")
+    found = serving.report_envelope(_report(s, d).withColumn("generated_at", made))
+    return found.select(F.col("report_date").cast("string").alias("report_date"), text.alias("tiers"), "escalated_by_labs", "patients", at("generated_at").alias("generated_at"))
 
 
-@query("with " + REPORT_SQL + """ select patient_id, vitals_only_tier, risk_tier, case when tier_change = 'escalated' then '↑ raised by labs' else '' end as change, total_score
-  from report where report_date = (select max(report_date) from report)""")
+@query("with " + REPORT_SQL + """ select patient_id, vitals_only_tier, risk_tier, case when tier_change = 'escalated' then '↑ raised by labs' else '' end as change, total_score, replace(lab_flags, '|', ', ') as lab_flags
+  from report where report_date = (select max(report_date) from report) order by case risk_tier when 'HIGH' then 0 when 'MEDIUM' then 1 else 2 end, total_score desc nulls last, patient_id""")
 def dash_lab_effect(s, d):
     return serving.lab_effect(_report(s, d))
 
