@@ -1,11 +1,12 @@
 """Operator 10: the main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one a block element. Scripts, styles and furniture (menus, page headers, footers,
-sidebars, adverts, notices, forms, reader comments) are stripped with what they hold. The lengths of the other lines
-are summed over a sliding window; a stretch of lines is text where that sum surges, and ends where it dives to nothing.
+Markup is stripped to lines, one a block element; scripts and styles go with what they hold. The masses of the lines
+are summed over a sliding window; a stretch of lines is text where that sum surges, and ends where it dives.
 
-Markup gives lines a level: those in a main element, those in an article inside a part that a layout class marks, and
-the others. The text is that of the highest level at which the distribution surges.
+The mass of a line is its length times a weight that markup gives it. From the lightest: furniture (menus, page headers,
+footers, sidebars, adverts, notices, forms, reader comments), lines that nothing marks, an article inside a part that a
+layout class marks, a main element. A character outweighs all lighter lines of its page together, so that a main element
+surges however short it is, and beside it the distribution dives at a block without such a mark, however long that is.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from llm.common import ship_code, table
 
-#: Lines in a window, and the characters it must have to surge; on a page without so many, as many as its fullest has.
+#: Lines in a window, and the characters without a mark that surge; on a page without so many, as many as its fullest has.
 WINDOW, SURGE = 3, 80
 
 RAW = frozenset("script style noscript template iframe svg math object textarea select title xmp noembed noframes".split())
@@ -50,8 +51,8 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _PARTS = re.compile(r"[^\W_]+")
 _LONG_NUMBER = re.compile(r"&#0*+(\d*+);?")
-#: Levels of lines.
-PLAIN, HELD, MARKED = 1, 2, 3
+#: Levels of lines, from the lightest.
+LEVELS = FURNISHED, PLAIN, HELD, MARKED = range(4)
 
 
 def hints(attributes: str) -> set[str]:
@@ -96,9 +97,13 @@ class _Open:
 
 
 def lines_of(html: str) -> list[Line]:
-    """The page's non-empty lines in order, without furniture. Every character is read a fixed number of times."""
+    """The page's non-empty lines in order. Every character is read a fixed number of times.
+
+    Furniture within a line is a line of its own before it.
+    """
     lines: list[Line] = []
     parts: list[str] = []
+    furnished: list[str] = []
     linked = heading = at = region = 0
     stack: list[_Open] = []
     names: dict[str, int] = {}  # of the stack
@@ -107,6 +112,9 @@ def lines_of(html: str) -> list[Line]:
 
     def flush() -> None:
         nonlocal linked
+        if furnished and (text := " ".join("".join(furnished).split())):
+            lines.append(Line(text, len(text), FURNISHED, 0))
+        furnished.clear()
         if parts:
             if text := " ".join("".join(parts).split()):
                 main = kinds["main"] + kinds["held"] > 0
@@ -130,7 +138,9 @@ def lines_of(html: str) -> list[Line]:
     while True:
         start = html.find("<", at)
         piece = _decoded(html[at:] if start < 0 else html[at:start])
-        if piece and not kinds["furniture"] and not kinds["hint"]:
+        if piece and (kinds["furniture"] or kinds["hint"]):
+            furnished.append(piece)
+        elif piece:
             parts.append(piece)
             if in_link:
                 linked += len(piece)
@@ -145,8 +155,7 @@ def lines_of(html: str) -> list[Line]:
             at = len(html) if end < 0 else end + 1
             continue
         if not re.match("/?[a-zA-Z]", html[start + 1 : start + 3]):
-            if not kinds["furniture"] and not kinds["hint"]:
-                parts.append("<")
+            (furnished if kinds["furniture"] or kinds["hint"] else parts).append("<")
             at = start + 1
             continue
         tag = _TAG.match(html, start) if quotes else None
@@ -208,16 +217,29 @@ def lines_of(html: str) -> list[Line]:
     return lines
 
 
-def block_sums(lines: list[Line]) -> list[int]:
+def weights(lines: list[Line]) -> list[int]:
+    """The weight of a character of each level: more than all lines of lower levels weigh together."""
+    weight = [1]
+    for level in LEVELS[:-1]:
+        weight.append(weight[-1] * (1 + sum(x.mass for x in lines if x.level == level)))
+    return weight
+
+
+def block_sums(masses: list[int]) -> list[int]:
     """The distribution: for each line the mass of the window that it begins."""
-    return [sum(x.mass for x in lines[i : i + WINDOW]) for i in range(len(lines))]
+    return [sum(masses[i : i + WINDOW]) for i in range(len(masses))]
 
 
 def stretches(lines: list[Line], level: int) -> list[list[Line]]:
-    """The lines between dives, a whole window without mass, and between main elements if these count; without massless ends."""
+    """The lines of a level and above between dives, without massless ends.
+
+    The distribution dives where a window of these lines has no mass, and between main elements if these count.
+    """
     out: list[list[Line]] = [[]]
     massless = 0
     for line in lines:
+        if line.level < level:
+            continue
         massless = 0 if line.mass else massless + 1
         run = out[-1]
         if run and (massless >= WINDOW or level > PLAIN and line.region != run[-1].region):
@@ -232,14 +254,15 @@ def stretches(lines: list[Line], level: int) -> list[list[Line]]:
 
 def main_text(html: str | None) -> str:
     """The text between the surges and dives of the page's line-block distribution, its lines joined by line feeds."""
-    every = lines_of(html or "")
-    levels = [(level, [x for x in every if x.level >= level]) for level in (MARKED, HELD, PLAIN)]
-    fullest = [max(block_sums(lines), default=0) for _, lines in levels]
-    # the highest level that surges, else the highest with text
-    chosen = next((i for i, most in enumerate(fullest) if most >= SURGE), next((i for i, most in enumerate(fullest) if most), 0))
-    level, lines = levels[chosen]
-    least = min(SURGE, fullest[chosen])
-    return "\n".join(x.text for run in stretches(lines, level) if max(block_sums(run)) >= least for x in run)
+    lines = lines_of(html or "")
+    weight = weights(lines)
+    fullest = max(block_sums([x.mass * weight[x.level] for x in lines]), default=0)
+    level = max(x for x in LEVELS if x == FURNISHED or weight[x] <= fullest)
+    if level == FURNISHED:
+        return ""
+    least = min(SURGE * weight[PLAIN], fullest) if level == PLAIN else weight[level]
+    surging = (run for run in stretches(lines, level) if max(block_sums([x.mass * weight[x.level] for x in run])) >= least)
+    return "\n".join(x.text for run in surging for x in run)
 
 
 def text_column(html: Column) -> Column:

@@ -51,13 +51,25 @@ def test_is_as_a_plain_version_on_generated_pages():
 def test_surges_and_dives_decide():
     menu = "<ul>" + "<li><a href=/x>Somewhere else</a></li>" * 5 + "</ul>"
     assert html_text.main_text(f"{menu}<div>Short.</div><div>{LONG}</div><p>End.</p>{menu}<div>(c) me</div>") == f"Short.\n{LONG}\nEnd."
-    # a main element that has next to no text is overruled, and of several the ones that surge are text
-    assert html_text.main_text(f"<article>Teaser</article>{menu}<div>{LONG}</div>") == LONG
-    assert html_text.main_text(f"<article>{LONG}</article><article>Teaser</article>") == LONG
+    # main elements surge however short they are, and blocks beside them do not, however long
+    assert html_text.main_text(f"<article>Brief.</article>{menu}<div>{LONG * 50}</div><p>Copyright text line here</p>") == "Brief."
+    assert html_text.main_text(f"<article>{LONG}</article><article>Brief.</article>") == f"{LONG}\nBrief."
+    assert html_text.main_text(f"<article><p>Short one.</p></article><p>{LONG}</p><article><p>{LONG}</p></article>") == f"Short one.\n{LONG}"
+    assert html_text.main_text(f"<div class=sidebar><article>{LONG}</article></div>") == LONG
+    assert html_text.main_text(f"<div class=sidebar><article>{LONG}</article></div><article>A</article>") == "A"
     assert html_text.main_text("<article><h1>To</h1><p>Be.</p></article>") == "To\nBe."
     assert html_text.main_text(f"{menu}<div class=ad>{LONG}</div><footer>{LONG}</footer>") == ""
 
 
+def test_pages_of_the_table_need_surges_and_dives(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    for html in pages:
+        lines = html_text.lines_of(html)
+        assert html_text.main_text(html) != "\n".join(x.text for x in lines if x.mass)
+        assert html_text.main_text(html) == "\n".join(x.text for x in lines if x.level == html_text.MARKED)
+    assert len(pages) == 50
+
+
 def test_hints_are_whole_names():
     for name in ("content no-sidebar", "has-sidebar", "layout with-comments", "download", "header2"):
         assert html_text.main_text(f"<div class='{name}'><p>{LONG}</p></div>") == LONG
