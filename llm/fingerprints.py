@@ -83,7 +83,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     Next: in descending doc_id, null ids last, rows of one id by text hash; after the last, the first. Null texts count
     as empty. Rows with equal id and text are one document in that order, and each of them gets its result. A single
-    document is its own next. An empty table gives no rows. Other columns of ``docs`` are neither read nor returned.
+    document is its own next. An empty table gives no rows. Other columns of ``docs`` are neither read nor returned. A
+    very long text is sketched whole, inside its row. ``contained_*`` is the share of the text's shingles that the edited
+    or the next one has, and ``distinct_shingles`` how many it has, both as the sketches estimate them.
 
     The order comes from a distributed sort of narrow rows. Texts are shuffled once, by id; both joins use that
     shuffle, which carries their sketches, and what travels to the preceding document is the piece that it needs and a
@@ -118,6 +120,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         as_string(F.col("changed")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
         resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("own"), F.col("changed")).alias("contained_edited"),
+        containment(F.col("own"), F.col("next_sketch")).alias("contained_next"),
+        distinct_shingles(F.col("own")).alias("distinct_shingles"),
     )
     if repeated:
         result = whole.select("id", "hash").join(result, ["id", "hash"])

@@ -22,7 +22,8 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame
     Size: UTF-8 bytes of the text (null: none) plus 16. Both sorts move narrow rows without texts and split a hot
     source over range partitions. A null source is a source of its own; rows with equal id and text are
     interchangeable, so either order gives the same result. With fewer rows than shards some shards are empty; an
-    empty table gives no rows. Other columns of ``docs`` are neither read nor returned.
+    empty table gives no rows. Of a very long text only its size and hashes leave the scan. Other columns of ``docs`` are
+    neither read nor returned.
     """
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     rows = docs.select(

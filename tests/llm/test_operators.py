@@ -88,6 +88,24 @@ def test_shards_hold_the_mixture(docs, empty):
     assert max(share) - min(share) <= 2
 
 
+def test_shards_are_as_by_definition(docs, spark):
+    long = spark.createDataFrame([(900, "word " * 200_000, "a"), (901, "", None), (901, "", None), (None, None, "a")], "doc_id long, text string, source string")
+    rows = docs.select("doc_id", "text", "source").unionByName(long)
+    drawn = rows.select("doc_id", "text", "source", F.xxhash64(F.lit(0), "doc_id", "text").alias("drawn")).collect()
+    key = lambda x: (x is not None, x if x is not None else 0)  # noqa: E731  nulls first
+    entries = []
+    for source in {r["source"] for r in drawn}:
+        of = sorted((r["drawn"], key(r["doc_id"]), zlib.crc32((r["text"] or "").encode()), r["doc_id"], len((r["text"] or "").encode())) for r in drawn if r["source"] == source)
+        entries += [((i + 0.5) / len(of), source is not None, source or "", *x) for i, x in enumerate(of)]
+    entries.sort(key=lambda x: x[:6])
+    firsts, want = {}, []
+    for i, (_, _, _, _, _, crc, doc_id, size) in enumerate(entries):
+        shard = i * 7 // len(entries)
+        want.append((doc_id, size + 16, crc, "rows", shard, i - firsts.setdefault(shard, i), None))
+    got = sharding.assign_shards(rows, 7).drop("source").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def shingles(text, n):
     w = split(text)
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
@@ -111,6 +129,9 @@ def test_fingerprints(docs, empty, spark):
         a, b, c = (shingles(x, 5) for x in (t, edited, after))
         for near, x in ((r["near_edited"], b), (r["near_next"], c)):  # exact while the union is below k
             assert near == pytest.approx(jaccard(a, x), abs=1e-9 if len(a | x) <= fingerprints.SKETCH_SIZE else 0.1)
+        for inside, x in ((r["contained_edited"], b), (r["contained_next"], c)):
+            assert inside == pytest.approx(len(a & x) / len(a) if a else 1.0, abs=1e-9 if len(a | x) < fingerprints.SKETCH_SIZE else 0.2)
+        assert r["distinct_shingles"] == pytest.approx(len(a), rel=1e-9 if len(a) < fingerprints.SKETCH_SIZE else 0.35)
     assert got[100]["fingerprint"] == got[7]["fingerprint"]
     twice = fingerprints.edited_fingerprints(docs.unionByName(docs)).collect()
     assert len(twice) == 2 * len(got) and all(r == got[r["doc_id"]] for r in twice)
