@@ -55,11 +55,28 @@ def merged(a: Column, b: Column, k: int = SKETCH_SIZE) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def resemblance(a: Column, b: Column, k: int = SKETCH_SIZE) -> Column:
-    """The estimated Jaccard index of two shingle sets; 1 for two empty ones."""
+def compared(a: Column, b: Column, k: int = SKETCH_SIZE) -> Column:
+    """What two sketches say of their union: ``union``, its sketch, and ``both``, how many of its hashes are in either one.
+
+    Kept as a column, it gives the estimates of resemblance and containment without another comparison.
+    """
     union = merged(a, b, k)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b))).cast("double")
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(union), F.lit(1)).cast("double"))
+    return F.struct(union.alias("union"), F.size(F.array_intersect(union, F.array_intersect(a, b))).cast("double").alias("both"))
+
+
+def _resemblance(pair: Column) -> Column:
+    n = F.size(pair["union"])
+    return F.when(n == 0, F.lit(1.0)).otherwise(pair["both"] / F.greatest(n, F.lit(1)).cast("double"))
+
+
+def _containment(pair: Column, a: Column, k: int = SKETCH_SIZE) -> Column:
+    shared = _resemblance(pair) * distinct_shingles(pair["union"], k)
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), shared / F.greatest(distinct_shingles(a, k), F.lit(1.0))))
+
+
+def resemblance(a: Column, b: Column, k: int = SKETCH_SIZE) -> Column:
+    """The estimated Jaccard similarity of two sketches; 1 for two empty ones."""
+    return _resemblance(compared(a, b, k))
 
 
 def distinct_shingles(a: Column, k: int = SKETCH_SIZE) -> Column:
@@ -70,8 +87,7 @@ def distinct_shingles(a: Column, k: int = SKETCH_SIZE) -> Column:
 
 def containment(a: Column, b: Column, k: int = SKETCH_SIZE) -> Column:
     """The estimated share of a's shingles that b has; 1 for an empty a."""
-    both = resemblance(a, b, k) * distinct_shingles(merged(a, b, k), k)
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), both / F.greatest(distinct_shingles(a, k), F.lit(1.0))))
+    return _containment(compared(a, b, k), a, k)
 
 
 def as_string(a: Column) -> Column:
@@ -110,6 +126,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 3)"), F.col("piece"))
     joined = texts.join(pieces, ["id", "hash"]).select("id", "hash", n.cast("long").alias("n_chars"), "own", edited.alias("edited"), "next_sketch")
     done = joined.select("*", sketch(F.col("edited")).alias("changed"))
+    own, edits, nexts = F.col("own"), F.col("edits"), F.col("nexts")
+    done = done.select("*", compared(own, F.col("changed")).alias("edits"), compared(own, F.col("next_sketch")).alias("nexts"))
     result = done.select(
         "id",
         "hash",
@@ -118,11 +136,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         as_string(F.col("own")).alias("fingerprint"),
         as_string(F.col("changed")).alias("edited_fingerprint"),
-        resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
-        resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("own"), F.col("changed")).alias("contained_edited"),
-        containment(F.col("own"), F.col("next_sketch")).alias("contained_next"),
-        distinct_shingles(F.col("own")).alias("distinct_shingles"),
+        _resemblance(edits).alias("near_edited"),
+        _resemblance(nexts).alias("near_next"),
+        _containment(edits, own).alias("contained_edited"),
+        _containment(nexts, own).alias("contained_next"),
+        distinct_shingles(own).alias("distinct_shingles"),
     )
     if repeated:
         result = whole.select("id", "hash").join(result, ["id", "hash"])
