@@ -345,7 +345,7 @@ def _raw_labs(s, d):
     """Lab cells of which some are faulty, by kind."""
     parts = F.split("sample_id", "-")
     fault = F.when(F.get(parts, F.lit(0)).cast("long") % 33 == 0, ((F.get(parts, F.lit(0)).cast("long") / 33).cast("long") + F.get(parts, F.lit(1)).cast("long")) % LAB_FAULTS)
-    l = fx.labs(s, d).withColumns({"fault": fault, "row_number": F.get(parts, F.lit(1)).cast("int")})
+    l = fx.spread(fx.labs(s, d), "sample_id").withColumns({"fault": fault, "row_number": F.get(parts, F.lit(1)).cast("int")})
     is_ = lambda n: F.col("fault") == n
     unit = F.create_map(*[F.lit(x) for t, (u, *_) in rules.LAB_CATALOGUE.items() for x in (t, u)])
     return l.select(

@@ -11,6 +11,16 @@ TESTS = ("WBC", "CRP", "LACTATE", "CREATININE", "POTASSIUM", "HAEMOGLOBIN", "TRO
 RANGE_TEXTS = ("4.0-11.0", "<5", "0.5-2.0", "45-104", "3.5-5.3", "115-180", "<14")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df``, dealt to all cores by a hash of ``by`` where its scan has fewer tasks than there are cores.
+
+    A small table can be one row group, which one task reads; work on its rows is to be shared. A scan with a task or
+    more a core isn't shuffled. A hash deals a lost task's rows anew as before.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
 def readings(spark: SparkSession, sf_dir: str, patients: int = 20) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("event_time"), (F.col("user_id") % patients).alias("p"), F.get_json_object("props", "$.k").cast("long").alias("k"))
     day = F.datediff("event_time", F.lit("2024-01-01").cast("date")).cast("long")
@@ -41,7 +51,7 @@ readings as (
 
 def raw_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readings as JSON messages of which some are corrupted and some come twice."""
-    r = readings(spark, sf_dir)
+    r = spread(readings(spark, sf_dir), "event_id")
     fault = F.when(F.col("event_id") % 50 == 7, (F.col("event_id") / 50).cast("long") % 7)
     number = lambda c: F.col(c).cast("long").cast("string")
     tenths = F.round(F.col("temperature") * 10).cast("long")
