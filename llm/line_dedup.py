@@ -1,13 +1,14 @@
 """Operator 6: delete later copies of repeated runs of lines.
 
 Lines get ids; prefix doubling gives every suffix of a document's line sequence its rank by the first 1, 2, 4, ...
-lines, in sorted order, for all suffixes that share such a prefix with another one. The suffixes whose longest common
-prefix reaches from a line to the end of a run are those with equal ranks at both ends of the run: that is the
-longest-common-prefix interval of the run in the suffix array. Its first occurrence stays, later copies go.
+lines. Suffixes sorted by the last of these ranks are the suffix array; the ranks also tell the longest common prefix of
+neighbours in it. Where that is shorter than a run, one interval of suffixes that share the run ends and the next
+begins: these are the longest-common-prefix intervals. Of an interval the first occurrence stays, later copies go.
 
 A run counts from ``min_words`` words. The shortest such runs from every line forward and from every line backward
 together cover exactly the lines of all maximal repeated runs of that size, and have ``min_words`` lines at most; so
-the number of doubling rounds is bounded, however long the copies are.
+the number of doubling rounds is bounded, however long the copies are, and common prefixes are followed to the power of
+two that the longest of these runs fits in.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import cut, table, word_count
+from llm.common import cut, range_numbered, released, table, word_count
 
 MIN_WORDS = 50
 _LAST = (1 << 63) - 1
@@ -41,28 +42,31 @@ def _ranked(keys: DataFrame, *by: str, to: str) -> DataFrame:
 
 
 def _doubled(level: DataFrame, span: int) -> DataFrame:
-    """The ranks by twice as many lines of those suffixes that share so many with another one."""
+    """``level`` with one more rank of each suffix, by twice as many lines; where a stretch ends, that comes before any line."""
     ahead = Window.partitionBy("id", "hash").orderBy("pos").rangeBetween(span, span)
-    pairs = level.withColumn("then", F.first("rank").over(ahead)).where("then is not null")
-    shared = pairs.groupBy("rank", "then").count().where("count > 1").drop("count")
-    longer = pairs.join(_ranked(shared, "rank", "then", to="longer"), ["rank", "then"])
-    return cut(longer.select("id", "hash", "pos", F.col("longer").alias("rank")))
+    rank = F.element_at("ranks", -1)
+    pairs = level.withColumn("rank", rank).withColumn("then", F.coalesce(F.first("rank").over(ahead), F.lit(-1)))
+    ranked = _ranked(pairs.select("rank", "then").distinct(), "rank", "then", to="longer")
+    return cut(pairs.join(ranked, ["rank", "then"]).select("id", "hash", "pos", F.array_append("ranks", F.col("longer")).alias("ranks")))
 
 
-def _windows(level: DataFrame, min_words: int) -> DataFrame:
-    """(pos, lines) of the shortest runs with ``min_words`` words from each line forward and from each line backward.
+def _stretches(level: DataFrame, min_words: int) -> DataFrame:
+    """``level`` with unbroken stretches of repeated lines: their name, first and last place, and sums of words.
 
-    Only unbroken stretches of repeated lines can hold a repeated run.
+    Only a stretch of ``min_words`` words can hold a repeated run; others go.
     """
-    doc = Window.partitionBy("id", "hash").orderBy("pos")
-    stretched = level.withColumn("stretch", F.col("pos") - F.row_number().over(doc))
+    stretched = level.withColumn("stretch", F.col("pos") - F.row_number().over(Window.partitionBy("id", "hash").orderBy("pos")))
+    stretch = Window.partitionBy("id", "hash", "stretch")
+    summed = stretched.withColumns({"until": F.sum("words").over(stretch.orderBy("pos")), "all": F.sum("words").over(stretch)})
+    ends = {"before": F.col("until") - F.col("words"), "last": F.max("pos").over(stretch), "first": F.min("pos").over(stretch)}
+    return summed.where(F.col("all") >= min_words).withColumns(ends)
+
+
+def _windows(stretches: DataFrame, min_words: int) -> DataFrame:
+    """(pos, lines) of the shortest runs with ``min_words`` words from each line forward and from each line backward."""
     stretch = Window.partitionBy("id", "hash", "stretch")
-    summed = stretched.withColumn("until", F.sum("words").over(stretch.orderBy("pos"))).withColumn("before", F.col("until") - F.col("words"))
     far = (Window.unboundedPreceding, -min_words)
-    ends = summed.withColumns({
-        "last": F.max("pos").over(stretch),
-        "first": F.min("pos").over(stretch),
-        "all": F.max("until").over(stretch),
+    ends = stretches.withColumns({
         "next": F.min("pos").over(stretch.orderBy(F.col("before").desc()).rangeBetween(*far)),
         "prev": F.max("pos").over(stretch.orderBy("until").rangeBetween(*far)),
     })
@@ -73,6 +77,65 @@ def _windows(level: DataFrame, min_words: int) -> DataFrame:
     return found.distinct()
 
 
+def _agreeing(a: str, b: str, levels: Column | None = None) -> Column:
+    """At how many levels two suffixes have the same rank, of the first so many; they differ at all longer ones."""
+    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
+    return F.coalesce(F.aggregate(same if levels is None else F.slice(same, F.lit(1), levels), F.lit(0), lambda n, x: n + x), F.lit(0))
+
+
+#: The lines of the longest level at which two suffixes agree.
+_STEP = "if(agree > 0, shiftleft(1, agree - 1), 0)"
+
+
+def _suffix_array(suffixes: DataFrame) -> DataFrame:
+    """``suffixes`` in sorted order, (part, idx), each with the one before it: ``agree`` and its place p, null for the first.
+
+    Equal ranks are told apart by place, so that a run that is everywhere is dealt to many parts. The last suffixes of the
+    parts, a row a part, are broadcast.
+    """
+    numbered = range_numbered(suffixes.withColumn("rank", F.element_at("ranks", -1)), "rank", "id", "hash", "pos")
+    own = F.struct("id", "hash", "pos", "ranks")
+    order = Window.partitionBy("part").orderBy("idx")
+    last = numbered.groupBy("part").agg(F.max_by(own, "idx").alias("p")).select("part", F.lag("p").over(Window.orderBy("part")).alias("edge"))
+    placed = numbered.withColumn("p", F.lag(own).over(order)).join(F.broadcast(last), "part").withColumn("p", F.coalesce("p", "edge"))
+    return cut(placed.withColumn("agree", _agreeing("ranks", "p.ranks")).select("part", "idx", "id", "hash", "pos", "left", "depths", "agree", F.expr(_STEP).alias("matched"), F.col("p.id").alias("p_id"), F.col("p.hash").alias("p_hash"), F.col("p.pos").alias("p_pos")))
+
+
+def _common_prefixes(array: DataFrame, level: DataFrame, levels: int) -> DataFrame:
+    """``array`` with ``lcp``: how many lines each suffix shares with the one before it.
+
+    The largest power of two of lines that both share is passed over, then the next one behind it, as often as there are
+    levels. A prefix is followed as far as it may reach the shortest run that starts there, and no further than the longest.
+    """
+    places = level.select("id", "hash", F.col("pos").alias("at"), F.col("ranks").alias("own"))
+    theirs = level.select(F.col("id").alias("p_id"), F.col("hash").alias("p_hash"), F.col("pos").alias("p_at"), F.col("ranks").alias("other"))
+    may = (F.expr("shiftleft(1, agree)") > F.array_min("depths")) & (F.col("matched") < F.col("left")) & F.col("agree").between(2, levels - 1)
+    state = ["part", "idx", "id", "hash", "at", "p_id", "p_hash", "p_at", "matched", "agree"]
+    going = cut(array.where(may).withColumns({"at": F.col("pos") + F.col("matched"), "p_at": F.col("p_pos") + F.col("matched")}).select(*state))
+    ended = []
+    while not going.isEmpty():
+        met = going.withColumn("below", F.col("agree") - 1).join(places, ["id", "hash", "at"], "left").join(theirs, ["p_id", "p_hash", "p_at"], "left")
+        more = met.withColumn("agree", _agreeing("own", "other", F.col("below")))
+        more = cut(more.withColumns({c: F.col(c) + F.expr(_STEP) for c in ("at", "p_at", "matched")}).select(*state))
+        ended.append(more.where("agree < 2").select("part", "idx", F.col("matched").alias("followed")))
+        going = more.where("agree > 1")
+    if ended:
+        array = array.join(reduce(DataFrame.unionByName, ended), ["part", "idx"], "left").withColumn("matched", F.coalesce("followed", "matched"))
+    return array.withColumn("lcp", F.least("matched", "left"))
+
+
+def _intervals(array: DataFrame) -> DataFrame:
+    """(id, hash, pos, lines, interval) of all runs: those of equal lines and interval are copies of each other.
+
+    Intervals of a length are numbered in each part of the suffix array; what earlier parts have is added, a row a part and length.
+    """
+    runs = array.select("part", "idx", "id", "hash", "pos", F.explode("depths").alias("lines"), "lcp").withColumn("new", (F.col("lcp") < F.col("lines")).cast("long"))
+    counted = runs.withColumn("nth", F.sum("new").over(Window.partitionBy("part", "lines").orderBy("idx")))
+    before = Window.partitionBy("lines").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.groupBy("part", "lines").agg(F.sum("new").alias("new")).select("part", "lines", F.coalesce(F.sum("new").over(before), F.lit(0)).alias("carry"))
+    return counted.join(carried, ["part", "lines"]).select("id", "hash", "pos", "lines", (F.col("carry") + F.col("nth")).alias("interval"))
+
+
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, hash, gone): for each document that has them, the places of the lines, among those with a word, in later copies."""
     lines = _identified(docs).select("id", "hash", F.posexplode(_full_lines(F.col("text"))).alias("pos", "entry"))
@@ -81,24 +144,25 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     repeated = lines.groupBy("a", "b").count().where("count > 1").drop("count")
     first = lines.join(_ranked(repeated, "a", "b", to="rank"), ["a", "b"]).select("id", "hash", "pos", "words", "rank")
     # a row that is there twice is one document
-    level = cut(first.repartition("id", "hash").dropDuplicates(["id", "hash", "pos"]))
-    windows = cut(_windows(level, min_words))
+    once = first.repartition("id", "hash").dropDuplicates(["id", "hash", "pos"])
+    stretches = cut(_stretches(once, min_words))
+    windows = cut(_windows(stretches, min_words))
     longest = windows.agg(F.max("lines")).first()[0] or 0
 
-    levels, span = [level.drop("words")], 1
-    while span * 2 <= longest:
-        levels.append(_doubled(levels[-1], span))
-        span *= 2
-    every = reduce(DataFrame.unionByName, [x.withColumn("k", F.lit(k)) for k, x in enumerate(levels)])
-
-    k = F.floor(F.log2(F.col("lines").cast("double") + 0.5)).cast("int")
-    heads = windows.withColumn("k", k).withColumn("tail", F.col("pos") + F.col("lines") - F.expr("shiftleft(1, k)"))
-    named = heads.join(every.withColumnRenamed("rank", "head_rank"), ["id", "hash", "pos", "k"])
-    named = named.join(every.select("id", "hash", "k", F.col("pos").alias("tail"), F.col("rank").alias("tail_rank")), ["id", "hash", "tail", "k"])
-    named = cut(named.select("id", "hash", "pos", "lines", "head_rank", "tail_rank"))
-    intervals = named.groupBy("lines", "head_rank", "tail_rank").agg(F.min(F.struct("id", "hash", "pos")).alias("kept"), F.count("*").alias("n"))
+    level, span, levels = stretches.select("id", "hash", "pos", F.array("rank").alias("ranks")), 1, 1
+    while span < longest:
+        shorter, level = level, _doubled(level, span)
+        if span > 1:
+            released(shorter)
+        span, levels = span * 2, levels + 1
+    places = stretches.select("id", "hash", "pos", (F.col("last") + 1 - F.col("pos")).alias("left"))
+    starts = windows.groupBy("id", "hash", "pos").agg(F.collect_set("lines").alias("depths"))
+    suffixes = level.join(places, ["id", "hash", "pos"]).join(starts, ["id", "hash", "pos"])
+    named = cut(_intervals(_common_prefixes(_suffix_array(suffixes), level, levels)))
+    released(level if span > 1 else lines, windows)
+    intervals = named.groupBy("lines", "interval").agg(F.min(F.struct("id", "hash", "pos")).alias("kept"), F.count("*").alias("n"))
     # written first: a join of two plain shuffles is one whose hot keys Spark splits
-    later = named.join(cut(intervals.where("n > 1")), ["lines", "head_rank", "tail_rank"]).where(F.struct("id", "hash", "pos") != F.col("kept"))
+    later = named.join(cut(intervals.where("n > 1")), ["lines", "interval"]).where(F.struct("id", "hash", "pos") != F.col("kept"))
     gone = later.select("id", "hash", F.explode(F.expr("sequence(pos, pos + lines - 1)")).alias("pos"))
     return gone.groupBy("id", "hash").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 

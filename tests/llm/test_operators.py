@@ -156,6 +156,47 @@ def test_line_dedup_is_as_sql_has_it(docs, empty, spark):
     assert line_dedup.deduplicated(docs.unionByName(docs)).count() == 2 * docs.count()
 
 
+def test_line_dedup_of_nested_and_overlapping_runs(spark):
+    """Against SQL: lines of few kinds and many lengths, a line that repeats on and on, and one very long text."""
+    rng = random.Random(5)
+    kinds = [" ".join(f"{k}w{i}" for i in range(n)) for k, n in enumerate((1, 3, 8, 20, 49, 60))]
+    rows = [(i, "\n".join(rng.choices(kinds, k=rng.randint(0, 30)))) for i in range(60)] + [(90, "\n".join(kinds[:1] * 200))]
+    once = [(i, "\n".join(f"{j} " + " ".join(f"u{j}x{k}" for k in range(12)) for j in range(n))) for i, n in ((91, 3000), (92, 3000), (93, 7))]
+    frame = spark.createDataFrame(rows + once, "doc_id long, text string").repartition(7)
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    want = {r[0]: r[3] for r in con.sql(line_dedup.OP6_SQL).fetchall()}
+    got = {r["doc_id"]: ",".join(map(str, r["_removed"])) for r in line_dedup.deduplicated(frame).collect()}
+    assert got == want and got[92].count(",") == 2999 and not got[91]
+
+
+def test_suffix_array_and_common_prefixes(spark):
+    """Against sorted suffixes: their order, and how many lines neighbours share."""
+    rng = random.Random(6)
+    texts = {i: [rng.choice([0, 0, 0, 1, 2]) for _ in range(rng.randint(1, 40))] for i in range(12)}
+    rows = [(i, 0, p, 1, len(x) - p, [v]) for i, x in texts.items() for p, v in enumerate(x)]
+    level = spark.createDataFrame(rows, "id long, hash long, pos int, words int, left int, ranks array<long>")
+    whole, span = level.select("id", "hash", "pos", "ranks"), 1
+    while span < 16:
+        whole, span = line_dedup._doubled(whole, span), span * 2
+    suffixes = whole.join(level.select("id", "hash", "pos", "left"), ["id", "hash", "pos"]).withColumn("depths", F.array(F.lit(16)))
+    array = line_dedup._suffix_array(suffixes)
+    found = {(r["id"], r["pos"]): r for r in line_dedup._common_prefixes(array, whole, 5).collect()}
+    order = sorted(((x[p : p + 16], i, p) for i, x in texts.items() for p in range(len(x))))
+    assert [(i, p) for _, i, p in order] == [k for k, r in sorted(found.items(), key=lambda kv: (kv[1]["part"], kv[1]["idx"]))]
+    for (a, *_), (b, i, p) in zip(order, order[1:]):
+        shared = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        lcp = found[i, p]["lcp"]
+        assert lcp == shared or (shared < 16 and lcp <= shared), "exact, or known to be less than the shortest run"
+        assert (lcp >= 16) == (shared >= 16)
+    exact = line_dedup._common_prefixes(array.withColumn("depths", F.array(F.lit(1))), whole, 5).collect()
+    for r in exact:
+        if r["p_id"] is not None:
+            a, b = texts[r["p_id"]][r["p_pos"] :], texts[r["id"]][r["pos"] :]
+            assert r["lcp"] == next((n for n, (x, y) in enumerate(zip(a[:16], b[:16])) if x != y), min(len(a), len(b), 16))
+    assert len(exact) == len(order)
+
+
 def brute_simhash(text):
     w = split(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
