@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 DAY = 86_400
 
 
-def _trailing(counts: DataFrame, key: str, seconds: int, total=F.sum, **sums: str) -> DataFrame:
+def _trailing(counts: DataFrame, key: str, seconds: int, own=F.sum, rest=F.sum, both=lambda x, y: F.coalesce(x + y, x, y), **sums: str) -> DataFrame:
     """``counts`` (key, t, ...) with sums, or another aggregate, over the trailing range of each row.
 
-    The windows are of a key and a stretch of time, at least as long as the range, so that a long history is split; rows
-    near the end of a stretch also go to the next one, which looks back on them.
+    Stretches of time are as long as ranges, so a range is the stretch up to its row and the end of the one before. Both
+    are running aggregates, ``own`` and, from the latest row back, ``rest``: a step a row, however many rows a range has.
+    Where a range begins is looked up among the rows of the stretch before; ``both`` puts the two together, null for none.
     """
-    width = max(seconds, DAY)
-    own = F.floor(F.col("t") / width)
-    near = F.when(F.col("t") >= (own + 1) * width - seconds, F.array(own, own + 1)).otherwise(F.array(own))
-    dealt = counts.withColumn("_own", own).withColumn("_stretch", F.explode(near))
-    w = Window.partitionBy(key, "_stretch").orderBy("t").rangeBetween(-seconds, 0)
-    return dealt.withColumns({to: total(F.col(c)).over(w) for to, c in sums.items()}).where("_own = _stretch").drop("_own", "_stretch")
+    width = seconds + 1
+    stretch = Window.partitionBy(key, "_stretch")
+    up, down = stretch.orderBy("t"), stretch.orderBy(F.desc("t"))
+    ends = F.struct(*[rest(F.col(c)).over(down).alias(to) for to, c in sums.items()])
+    rows = counts.where("t is not null").withColumn("_stretch", F.floor(F.col("t") / width)).withColumns({f"_own_{to}": own(F.col(c)).over(up) for to, c in sums.items()} | {"_rest": ends})
+    place = F.struct(F.col("_stretch").alias("_in"), F.col("t").alias("_at"), F.lit(False).alias("_asks"))
+    start = F.struct((F.col("_stretch") - 1).alias("_in"), (F.col("t") - seconds).alias("_at"), F.lit(True).alias("_asks"))
+    met = rows.withColumn("_p", F.explode(F.array(place, start))).select("*", "_p.*")
+    back = Window.partitionBy(key, "_in").orderBy(F.desc("_at"))
+    asked = met.withColumn("_before", F.last(F.when(~F.col("_asks"), F.col("_rest")), ignorenulls=True).over(back)).where("_asks")
+    return asked.select(*counts.columns, *[both(F.col(f"_before.{to}"), F.col(f"_own_{to}")).alias(to) for to in sums])
 
 
 def trailing_share(events: DataFrame, key: str, at: str, bad: str, seconds: int, limit: float) -> DataFrame:
@@ -108,8 +114,9 @@ def increase(counters: DataFrame, key: str, value: str, seconds: int) -> DataFra
 
 def delta(gauges: DataFrame, key: str, value: str, seconds: int) -> DataFrame:
     """(key, t, delta): how much a gauge has changed over the samples in the trailing range of each; changes may be negative."""
-    found = _trailing(gauges, key, seconds - 1, F.first, _first=value)
-    return found.select(key, "t", (F.col(value) - F.col("_first")).alias("delta"))
+    sample = gauges.withColumn("_sample", F.struct(value))  # a sample without a value is one, too
+    found = _trailing(sample, key, seconds - 1, F.first, F.last, F.coalesce, _first="_sample")
+    return found.select(key, "t", (F.col(value) - F.col(f"_first.{value}")).alias("delta"))
 
 
 def evaluated(samples: DataFrame, key: str, value: str, step: int, look_back: int, until: int) -> DataFrame:

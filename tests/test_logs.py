@@ -234,3 +234,18 @@ def test_alerts_are_evaluated_on_a_grid(spark):
     progress = spark.createDataFrame([("w", dt.datetime(2026, 1, 1, 0, 0, s)) for s in (0, 5, 10)] + [("v", dt.datetime(2026, 1, 1, 0, 1))], "name string, at timestamp")
     start = int(dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc).timestamp())
     assert [tuple(r) for r in monitors.inactive_queries(progress, start + 75, 5, 30, 10).collect()] == [("w", start + 40, start + 50, None)]
+
+
+def test_trailing_ranges_take_a_step_a_row(spark):
+    rnd = random.Random(3)
+    rows = [(k, t, rnd.choice([None, 0, 1, 5])) for k in ("a", None) for t in sorted(rnd.sample(range(-400, 2_000), 300))]
+    df = spark.createDataFrame(rows, "k string, t long, v long")
+    for seconds in (0, 7, 299, 5_000):
+        inside = {(k, t): [v for j, u, v in rows if j == k and t - seconds <= u <= t] for k, t, _ in rows}
+        sums = monitors._trailing(df, "k", seconds, s="v")
+        assert "RangeFrame, -" not in sums._jdf.queryExecution().toString()  # such a frame is added up anew for every row
+        total = {k: sum(w) if (w := [x for x in v if x is not None]) else None for k, v in inside.items()}
+        assert {(r["k"], r["t"]): r["s"] for r in sums.collect()} == total
+        if seconds:
+            changes = {(r["k"], r["t"]): r["delta"] for r in monitors.delta(df, "k", "v", seconds + 1).collect()}
+            assert changes == {k: None if v[0] is None or v[-1] is None else v[-1] - v[0] for k, v in inside.items()}
