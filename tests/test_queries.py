@@ -28,3 +28,14 @@ def test_same_rows_as_sql(spark, name):
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert normal(QUERIES[name](spark, SF).toPandas()) == normal(con.sql(ORACLES[name]).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["parse_labs", "lab_csv_rejects", "lab_events", "parse_vitals"])
+def test_messages_are_not_shuffled_to_the_patients(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # events of any size
+    try:
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
