@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from pulsegrid.plans import queries
 from pulsegrid.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -39,3 +40,11 @@ def test_messages_are_not_shuffled_to_the_patients(spark, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_the_report_combines_labs_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries, "_labs", lambda s, d, f=queries._labs: asked.append(d) or f(s, d))
+    plan = QUERIES["report_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(asked) == 1 and "l_orderkey" not in plan  # what is read again is the checkpoint
